@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import values as V
+from .session import local_table
 
 MAX_CATALOG_ROWS = 10_000
 
@@ -115,7 +116,32 @@ def literal_guard(regex: str) -> str | None:
 
 def spans_lines_safely(regex: str) -> bool:
     """True if a match inside one line is also a match inside the whole text."""
-    return not re.search(r"\^|\$|\\[AZzbBG]|\(\?[=!<]|\(\?[a-z]*[mx]", re.sub(r"\[\^", "[", regex))
+    return not re.search(r"\^|\$|\\[AZzbBG]|\(\?[=!<]|\(\?[a-z]*[mx]", regex.replace("[^", "["))
+
+
+def prefilter_regex(regex: str) -> str | None:
+    """A regex for a linear-time engine that matches wherever this one does, or None.
+
+    White space is widened by the one character that only Java counts; constructs
+    whose meaning differs between the engines have no equivalent.
+    """
+    if re.search(r"\$|\\[bBAZzGRXhHvVpPNk1-9]|\(\?[=!<>]|[*+?}]\+|&&|\(\?[a-z]*[mxudU]", regex):
+        return None
+    out, i, in_class, negated = "", 0, False, False
+    while i < len(regex):
+        c = regex[i]
+        if c == "\\":
+            pair = regex[i : i + 2]
+            if pair == "\\s" and not negated:
+                pair = r"\s\x0B" if in_class else r"[\s\x0B]"
+            out, i = out + pair, i + 2
+            continue
+        if c == "[" and not in_class:
+            in_class, negated = True, regex[i + 1 : i + 2] == "^"
+        elif c == "]" and in_class:
+            in_class, negated = False, False
+        out, i = out + c, i + 1
+    return out
 
 
 def valid_regex(spark: SparkSession, regex: str) -> bool:
@@ -185,4 +211,4 @@ def prefix_terms(patterns: list[Pattern]) -> list[tuple[str, str, int]]:
 
 def catalog_table(spark: SparkSession, patterns: list[Pattern]) -> DataFrame:
     rows = [(p.ord, p.raw_name, p.name, p.regex) for p in patterns]
-    return spark.createDataFrame(rows, "ord int, raw_name string, name string, regex string")
+    return local_table(spark, rows, "ord int, raw_name string, name string, regex string")

@@ -41,7 +41,7 @@ def suspicious_storage(snapshots: DataFrame, client: str | None = None) -> DataF
         type="browser_storage",
         severity="MEDIUM",
         source="browser",
-        snippet=V.REDACTED,
+        snippet=F.lit(V.REDACTED),
         client="client",
         location="location",
         key="key",
@@ -75,7 +75,7 @@ def exposed_globals(snapshots: DataFrame, client: str | None = None) -> DataFram
         type="browser_global",
         severity="MEDIUM",
         source="browser",
-        snippet=V.REDACTED,
+        snippet=F.lit(V.REDACTED),
         client="client",
         key="key",
         original_length=text,

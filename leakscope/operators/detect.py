@@ -1,25 +1,59 @@
 """Pattern detection: the one scan that every detector calls.
 
-The catalog reaches the plan as literals.  A scan is a narrow projection: no
-shuffle, no group, and the text column is dropped before anything else happens.
-A matched value is never emitted; only its pattern, position-free length and the
-redaction mark are.
+A scan has two steps and no shuffle.  A filter first tests each text for all
+patterns at once: one automaton of the whole catalog runs over Arrow batches, so
+its cost does not grow with the number of patterns.  The few texts that pass get
+the exact test, where each regex is a literal of the plan.  A matched value is
+never emitted; only its pattern, its length and the redaction mark are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import values as V
-from ..catalog import Pattern, spans_lines_safely
+from ..catalog import Pattern, prefilter_regex, spans_lines_safely
 from ..functions.scalars import col
 
 HIT_COLUMNS = ("ord", "pattern", "snippet", "original_length")
 
 
+def might_match(text, regexes: Sequence[str]) -> Column | None:
+    """Whether any regex may match, by one linear pass; never false for a match.
+
+    None if a regex has no equivalent for the automaton.  Text that is not valid
+    UTF-8 passes, as the two engines decode it differently.
+    """
+    wide = [prefilter_regex(r) for r in regexes]
+    if not wide or None in wide:
+        return None
+    combined = "|".join(f"(?:{r})" for r in wide)
+    try:
+        pc.match_substring_regex(pa.array([""]), combined)
+    except pa.ArrowInvalid:
+        return None
+
+    @F.arrow_udf("boolean")
+    def test(texts: pa.Array) -> pa.Array:
+        import pyarrow.compute as compute
+
+        return compute.match_substring_regex(texts, combined)
+
+    t = col(text)
+    return test(t) | ~F.is_valid_utf8(t)
+
+
+def candidates(df: DataFrame, text: str, regexes: Sequence[str]) -> DataFrame:
+    """Rows whose text may match; all rows when that cannot be tested."""
+    test = might_match(text, regexes)
+    return df if test is None else df.where(test)
+
+
 def matches(text, pattern: Pattern) -> Column:
     """Unanchored search, with the cheap literal test first where the regex has one."""
     t = col(text)
@@ -34,24 +68,29 @@ def any_match(text, patterns: Sequence[Pattern]) -> Column:
     return test
 
 
-def _hit(text, pattern: Pattern, cap: int | None, raw: bool) -> Column:
-    length = F.length(F.regexp_extract(col(text), pattern.regex, 0))
-    if cap is not None:
-        length = F.least(length, F.lit(cap))
-    return F.when(
-        matches(text, pattern),
-        F.struct(
-            F.lit(pattern.ord).alias("ord"),
-            F.lit(pattern.raw_name if raw else pattern.name).alias("pattern"),
-            F.lit(V.REDACTED).alias("snippet"),
-            length.alias("original_length"),
-        ),
-    )
+def first_index(text, patterns: Sequence[Pattern]) -> Column:
+    """Position of the first pattern in catalog order that matches, or null."""
+    return F.coalesce(*[F.when(matches(text, p), F.lit(i)) for i, p in enumerate(patterns)])
+
+
+def _entry(values: Sequence, index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
+
 
+def _regex(patterns: Sequence[Pattern]) -> Column:
+    return _entry([p.regex for p in patterns], F.col("_i"))
 
-def first_hit(text, patterns: Sequence[Pattern], *, cap: int | None = None, raw: bool = False) -> Column:
-    """Struct of the first pattern in catalog order that matches, or null."""
-    return F.coalesce(*[_hit(text, p, cap, raw) for p in patterns])
+
+def _match_length(patterns: Sequence[Pattern]) -> Column:
+    found = F.call_function("regexp_extract", F.col("_text"), _regex(patterns), F.lit(0))
+    return F.length(found)
+
+
+def _indexes(df: DataFrame, text: str, patterns: Sequence[Pattern], keep: Sequence[str], index: Column, many: bool) -> DataFrame:
+    """``keep``, the text and ``_i``, one row per matching pattern."""
+    rows = candidates(df.select(*keep, col(text).alias("_text")), "_text", [p.regex for p in patterns])
+    found = rows.select("*", (F.explode(index) if many else index).alias("_i"))
+    return found.where(F.col("_i").isNotNull())
 
 
 def scan(
@@ -71,14 +110,19 @@ def scan(
     """
     if mode not in ("all", "first"):
         raise ValueError(f"mode must be 'all' or 'first', got {mode!r}")
-    if mode == "first":
-        hits = df.select(*keep, first_hit(text, patterns, cap=cap, raw=raw).alias("_hit"))
-    else:
-        found = F.array(*[_hit(text, p, cap, raw) for p in patterns])
-        if first_only is not None:
-            found = F.when(first_only, F.array(first_hit(text, patterns, cap=cap, raw=raw))).otherwise(found)
-        hits = df.select(*keep, F.explode(found).alias("_hit"))
-    return hits.where(F.col("_hit").isNotNull()).select(*keep, "_hit.*")
+    index = first_index("_text", patterns)
+    if mode == "all":
+        every = F.array(*[F.when(matches("_text", p), F.lit(i)) for i, p in enumerate(patterns)])
+        index = every if first_only is None else F.when(first_only, F.array(index)).otherwise(every)
+    found = _indexes(df, text, patterns, keep, index, many=mode == "all")
+    length = _match_length(patterns)
+    return found.select(
+        *keep,
+        _entry([p.ord for p in patterns], F.col("_i")).alias("ord"),
+        _entry([p.raw_name if raw else p.name for p in patterns], F.col("_i")).alias("pattern"),
+        F.lit(V.REDACTED).alias("snippet"),
+        (length if cap is None else F.least(length, F.lit(cap))).alias("original_length"),
+    )
 
 
 def scan_lines(
@@ -96,29 +140,22 @@ def scan_lines(
     line is a match inside the text, unless a regex uses anchors.
     """
     if all(spans_lines_safely(p.regex) for p in patterns):
-        df = df.where(any_match(text, patterns))
+        df = candidates(df, text, [p.regex for p in patterns])
     lines = df.select(*keep, F.posexplode(F.split(col(text), sep)).alias("line_no", "_line"))
     return scan(lines, "_line", patterns, keep=[*keep, "line_no"], cap=cap)
 
 
 def occurrences(df: DataFrame, text: str, patterns: Sequence[Pattern], *, keep: Sequence[str]) -> DataFrame:
     """Number of matches per (row, pattern) and the length of the first one."""
-    found = F.array(
-        *[
-            F.when(
-                matches(text, p),
-                F.struct(
-                    F.lit(p.ord).alias("ord"),
-                    F.lit(p.name).alias("pattern"),
-                    F.regexp_count(col(text), F.lit(p.regex)).alias("occurrences"),
-                    F.length(F.regexp_extract(col(text), p.regex, 0)).alias("original_length"),
-                ),
-            )
-            for p in patterns
-        ]
+    every = F.array(*[F.when(matches("_text", p), F.lit(i)) for i, p in enumerate(patterns)])
+    found = _indexes(df, text, patterns, keep, every, many=True)
+    return found.select(
+        *keep,
+        _entry([p.ord for p in patterns], F.col("_i")).alias("ord"),
+        _entry([p.name for p in patterns], F.col("_i")).alias("pattern"),
+        F.regexp_count("_text", _regex(patterns)).alias("occurrences"),
+        _match_length(patterns).alias("original_length"),
     )
-    hits = df.select(*keep, F.explode(found).alias("_hit"))
-    return hits.where(F.col("_hit").isNotNull()).select(*keep, "_hit.*")
 
 
 def scan_with_table(df: DataFrame, text: str, catalog: DataFrame, *, keep: Sequence[str], max_patterns: int = 1000) -> DataFrame:

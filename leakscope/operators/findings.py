@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from .. import values as V
 from ..functions import scalars as S
+from ..session import local_table
 
 FINDING = T.StructType.fromDDL(
     "finding_id string, type string, severity string, source string, summary string, "
@@ -24,13 +25,14 @@ FINDING = T.StructType.fromDDL(
 def as_findings(df: DataFrame, **cols: Column | str) -> DataFrame:
     """Project to the finding schema; a column not named is null, the id is derived.
 
-    Strings that name no column of ``df`` are taken as constants.
+    Strings are column names, except in ``type``, ``severity`` and ``source``, where
+    they are constants.
     """
 
     def value(name: str) -> Column:
         v = cols.get(name)
         if isinstance(v, str):
-            return F.col(v) if v in df.columns else F.lit(v)
+            return F.lit(v) if name in ("type", "severity", "source") else F.col(v)
         return F.lit(None) if v is None else v
 
     named = {f.name: value(f.name).cast(f.dataType) for f in FINDING}
@@ -71,7 +73,7 @@ def normalize(raw: DataFrame) -> DataFrame:
     )
     summary = S.first_text(c("summary"), c("description"), c("type"))
     given = S.first_text(c("id") if "id" in have else c("finding_id"))
-    passed = {n: n for n in ("description", "client", "header", "field", "commit", "path", "location", "key",
+    passed = {n: F.col(n) for n in ("description", "client", "header", "field", "commit", "path", "location", "key",
                              "original_length", "status", "pattern", "snippet", "type", "url", "method") if n in have}
     stamps = [F.col(n).cast("bigint") for n in ("timestamp", "ts") if n in have]
     return as_findings(
@@ -106,9 +108,7 @@ def latest(findings: DataFrame, order: Sequence[str] = ("ts",), key: str = "find
 
 def severity_summary(findings: DataFrame) -> DataFrame:
     """Counts per severity; the five known ones always appear, others as they occur."""
-    known = findings.sparkSession.createDataFrame(
-        [(s, 0) for s in V.SEVERITY_RANK], "severity string, n bigint"
-    )
+    known = local_table(findings.sparkSession, [(s, 0) for s in V.SEVERITY_RANK], "severity string, n bigint")
     found = findings.select(F.coalesce("severity", F.lit("INFO")).alias("severity"), F.lit(1).cast("bigint").alias("n"))
     return found.unionByName(known).groupBy("severity").agg(F.sum("n").alias("n"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..knowledge import KnowledgeBase
-from ..session import small
+from ..session import local_table, small
 from .findings import endpoints, latest
 
 NODE_LABELS = ("Finding", "Endpoint", "CWE", "OWASP", "Mitigation", "AttackVector", "CodeExample")
@@ -153,7 +153,7 @@ def edges(findings: DataFrame, kb: KnowledgeBase) -> DataFrame:
 def graph_stats(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     """Counts per node kind and of all edges; kinds without nodes count 0."""
     spark = node_table.sparkSession
-    names = spark.createDataFrame(list(zip(NODE_LABELS, STATS)), "label string, kind string")
+    names = local_table(spark, list(zip(NODE_LABELS, STATS)), "label string, kind string")
     counted = node_table.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     per_kind = F.broadcast(names).join(counted, "label", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
     return per_kind.unionByName(edge_table.agg(F.count(F.lit(1)).alias("n")).select(F.lit("edges").alias("kind"), "n"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import values as V
-from ..catalog import Pattern, prefix_terms
+from ..catalog import Pattern, prefix_terms, spans_lines_safely
 from ..functions.scalars import col
 from . import detect
 from .findings import as_findings
@@ -92,6 +92,12 @@ def within_budget(ranked: DataFrame, max_commits: int = 100) -> DataFrame:
     return spent.groupBy("commit").agg(F.min("commit_ts").alias("commit_ts"))
 
 
+def diffs_with(diffs: DataFrame, regexes: Sequence[str], *, diff: str = "diff") -> DataFrame:
+    """Diffs whose text may match one of the regexes, tested before they are split into lines."""
+    safe = all(spans_lines_safely(r) for r in regexes)
+    return detect.candidates(diffs, diff, regexes) if safe else diffs
+
+
 def examined_commits(lines: DataFrame, patterns: Sequence[Pattern], max_commits: int = 100) -> DataFrame:
     terms = prefix_terms(patterns)
     ranked = newest_per_term(pickaxe(lines, terms), len(terms), max_commits)
@@ -148,6 +154,17 @@ def scan_history(
     )
 
 
+def scan_diffs(diffs: DataFrame, patterns: Sequence[Pattern], **options) -> DataFrame:
+    """:func:`scan_history` over whole diffs; only diffs that may hold a secret are split.
+
+    ``dedupe="commit"`` and ``max_commits`` look at other lines too, so they take
+    the whole line table.
+    """
+    if options.get("max_commits") is None and options.get("dedupe") != "commit":
+        diffs = diffs_with(diffs, [p.regex for p in patterns])
+    return scan_history(diff_lines(diffs), patterns, **options)
+
+
 def _first(hits: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     rest = [c for c in hits.columns if c not in keys]
     return hits.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_h")).select(*keys, "_h.*")

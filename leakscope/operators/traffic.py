@@ -67,7 +67,7 @@ def url_credentials(exchanges: DataFrame, *, keep_userinfo: bool = False) -> Dat
         keep_userinfo,
         type="url_embedded_credentials",
         severity="CRITICAL",
-        description="Credentials embedded in URL (user:pass@domain)",
+        description=F.lit("Credentials embedded in URL (user:pass@domain)"),
     )
 
 
@@ -97,7 +97,7 @@ def basic_auth(exchanges: DataFrame, *, headers: str = "req_headers", keep_useri
         keep_userinfo,
         type="basic_auth_header",
         severity="CRITICAL",
-        description="Basic Authentication (base64 credentials) in header",
+        description=F.lit("Basic Authentication (base64 credentials) in header"),
     )
 
 

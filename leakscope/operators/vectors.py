@@ -7,11 +7,13 @@ a batch emits only its best ``k`` per query.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -23,6 +25,9 @@ from ..functions.scalars import col
 from .findings import check_positive
 from .top import top_per_key
 
+# Executors get the search functions by value, so they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EPS = 1e-12
 MAX_BROADCAST_QUERIES = 4096
 ROWS_PER_BLOCK = 50_000

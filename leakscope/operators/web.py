@@ -15,7 +15,7 @@ from .. import values as V
 from ..catalog import Pattern
 from ..functions import urls as U
 from ..functions.scalars import col
-from ..session import cut_lineage
+from ..session import cut_lineage, local_table
 from . import detect
 from .findings import as_findings
 
@@ -176,7 +176,7 @@ def crawl(
     if same_host_only:
         edges = edges.where(U.same_host("dst", U.host(F.lit(base_url))))
     edges = cut_lineage(edges.select("src", "dst").distinct())
-    visited = spark.createDataFrame([(base_url, 0)], "url string, depth int")
+    visited = local_table(spark, [(base_url, 0)], "url string, depth int")
     frontier, total, depth = visited, 1, 0
     while depth < max_depth and (max_pages is None or total < max_pages):
         depth += 1
@@ -230,7 +230,7 @@ def exposed_paths(probes: DataFrame, *, paths: Sequence[str] = V.PROBE_PATHS) ->
         source="web",
         url="url",
         status="status",
-        snippet=V.REDACTED,
+        snippet=F.lit(V.REDACTED),
         original_length="original_length",
     )
 

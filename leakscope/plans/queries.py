@@ -22,7 +22,7 @@ from ..operators import retrieve as R
 from ..operators import traffic as T
 from ..operators import vectors as VE
 from ..operators import web as W
-from ..session import shared_dir
+from ..session import local_table, shared_dir
 from ..sources import readers, writers
 from ..streaming import traffic_stream as TS
 from . import views as VW
@@ -85,7 +85,7 @@ def text_files(spark, d):
 def pattern_catalog(spark, d):
     """Catalog rows parsed from ``KEY=REGEX`` lines, with the documents each one hits."""
     patterns = default_catalog()
-    lines = spark.createDataFrame([(f" {p.raw_name} = {p.regex}",) for p in patterns] + [("# note = x",), ("",)], "value string")
+    lines = local_table(spark, [(f" {p.raw_name} = {p.regex}",) for p in patterns] + [("# note = x",), ("",)], "value string")
     hits = D.scan(VW.documents(spark, d), "text", patterns, keep=["doc_id"], raw=True)
     counted = hits.groupBy("pattern").agg(F.count(F.lit(1)).alias("docs")).withColumnRenamed("pattern", "raw_name")
     return parse_catalog_lines(lines).join(counted, "raw_name", "left").select("raw_name", "name", "regex", F.coalesce("docs", F.lit(0)).alias("docs"))
@@ -403,7 +403,7 @@ def pickaxe_budget(spark, d):
 
 @query
 def git_pattern(spark, d):
-    found = H.scan_history(diff_table(spark, d), default_catalog(), dedupe=None)
+    found = H.scan_diffs(VW.commit_diffs(spark, d), default_catalog(), dedupe=None)
     return found.select("finding_id", "commit", "path", "pattern", "original_length", "severity", "description")
 
 
@@ -415,7 +415,7 @@ def git_pattern_pruned(spark, d):
 
 @query
 def git_dedupe(spark, d):
-    return H.scan_history(diff_table(spark, d), default_catalog()).select("commit", "path", "pattern", "original_length")
+    return H.scan_diffs(VW.commit_diffs(spark, d), default_catalog()).select("commit", "path", "pattern", "original_length")
 
 
 @query
@@ -431,7 +431,7 @@ def findings_all(spark, d):
     """Findings of all detectors in one table, counted by source and type."""
     patterns = default_catalog()
     parts = [
-        H.scan_history(diff_table(spark, d), patterns),
+        H.scan_diffs(VW.commit_diffs(spark, d), patterns),
         T.scan_traffic(VW.exchanges(spark, d), patterns),
         W.real_issues(W.scan_pages(VW.web_pages(spark, d), patterns)),
         B.scan_browser(VW.browser_state(spark, d), "user"),
@@ -599,7 +599,7 @@ def keyword_topk_batch(spark, d):
 @query
 def prompt_context(spark, d):
     found = R.keyword_topk_batch(latest_findings(spark, d), QUESTIONS, 5)
-    asked = spark.createDataFrame(list(QUESTIONS), "query_id string, question string")
+    asked = local_table(spark, QUESTIONS, "query_id string, question string")
     joined = F.broadcast(asked).join(R.join_contexts(found), "query_id", "left")
     return joined.select("query_id", "n_contexts", "context", F.length(R.prompt("context", "question")).alias("prompt_length"))
 

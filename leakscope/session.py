@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +39,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` if a count shows that it is small; otherwise leave the join to AQE."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+
+
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small table as part of the plan, so that reading it starts no job.
+
+    ``schema`` is like ``"name string, n int"``.
+    """
+    fields = [f.split() for f in schema.split(",")]
+    columns = [pa.array([r[i] for r in rows], _ARROW[t]) for i, (_, t) in enumerate(fields)]
+    return spark.createDataFrame(pa.table(columns, names=[n for n, _ in fields]))
