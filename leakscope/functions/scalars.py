@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,16 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def text_literal(s: str) -> str:
+    """A SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def text_array(items) -> Column:
+    """An array literal of texts, built as one expression."""
+    return F.expr("array(" + ", ".join(text_literal(i) for i in items) + ")")
+
+
 def sha1(c) -> Column:
     return F.sha1(col(c))
 
@@ -31,10 +43,9 @@ def shown(c) -> Column:
 
 
 def severity_rank(c) -> Column:
-    rank = F.lit(1)
-    for name, value in V.SEVERITY_RANK.items():
-        rank = F.when(F.upper(col(c)) == name, value).otherwise(rank)
-    return rank
+    names = list(V.SEVERITY_RANK)
+    by_rank = sorted(names, key=V.SEVERITY_RANK.get)
+    return F.greatest(F.array_position(text_array(by_rank), F.upper(F.coalesce(col(c), F.lit("")))), F.lit(1)).cast("int")
 
 
 def human_time(c) -> Column:
@@ -58,10 +69,7 @@ def looks_hashed(c) -> Column:
 
 def any_contains(c, parts) -> Column:
     """True if the text holds one of the literals."""
-    test = F.lit(False)
-    for part in parts:
-        test = test | col(c).contains(part)
-    return test
+    return col(c).rlike("|".join(re.escape(p) for p in parts))
 
 
 def finding_id(type_, summary, snippet) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..catalog import Pattern, prefilter_regex, spans_lines_safely
-from ..functions.scalars import col
+from ..functions.scalars import col, text_array, text_literal
 
 HIT_COLUMNS = ("ord", "pattern", "snippet", "original_length")
 
@@ -54,27 +54,31 @@ def candidates(df: DataFrame, text: str, regexes: Sequence[str]) -> DataFrame:
     return df if test is None else df.where(test)
 
 
-def matches(text, pattern: Pattern) -> Column:
-    """Unanchored search, with the cheap literal test first where the regex has one."""
-    t = col(text)
-    found = t.rlike(pattern.regex)
-    return t.contains(pattern.guard) & found if pattern.guard else found
+def _test(name: str, pattern: Pattern) -> str:
+    """Unanchored search as SQL, with the cheap literal test first where the regex has one."""
+    found = f"{name} RLIKE {text_literal(pattern.regex)}"
+    return f"contains({name}, {text_literal(pattern.guard)}) AND {found}" if pattern.guard else found
+
 
+def _indexes_of(name: str, patterns: Sequence[Pattern]) -> list[str]:
+    """Per pattern its position where the text matches, else null.
+
+    The catalog is written as SQL text: one expression instead of a few per pattern.
+    """
+    return [f"CASE WHEN {_test(name, p)} THEN {i} END" for i, p in enumerate(patterns)]
 
-def any_match(text, patterns: Sequence[Pattern]) -> Column:
-    test = F.lit(False)
-    for p in patterns:
-        test = test | matches(text, p)
-    return test
 
+def all_indexes(name: str, patterns: Sequence[Pattern]) -> Column:
+    return F.expr(f"array({', '.join(_indexes_of(name, patterns))})")
 
-def first_index(text, patterns: Sequence[Pattern]) -> Column:
+
+def first_index(name: str, patterns: Sequence[Pattern]) -> Column:
     """Position of the first pattern in catalog order that matches, or null."""
-    return F.coalesce(*[F.when(matches(text, p), F.lit(i)) for i, p in enumerate(patterns)])
+    return F.expr(f"coalesce({', '.join(_indexes_of(name, patterns))})")
 
 
-def _entry(values: Sequence, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
+def _entry(values: Sequence[str], index: Column) -> Column:
+    return F.element_at(text_array(values), index + 1)
 
 
 def _regex(patterns: Sequence[Pattern]) -> Column:
@@ -86,11 +90,14 @@ def _match_length(patterns: Sequence[Pattern]) -> Column:
     return F.length(found)
 
 
-def _indexes(df: DataFrame, text: str, patterns: Sequence[Pattern], keep: Sequence[str], index: Column, many: bool) -> DataFrame:
-    """``keep``, the text and ``_i``, one row per matching pattern."""
+def _indexes(df: DataFrame, text: str, patterns: Sequence[Pattern], keep: Sequence[str], index: Column) -> DataFrame:
+    """``keep``, the text and ``_i``, one row per entry of the array ``index`` that is not null.
+
+    The regexes sit inside an explode of an array literal, as the optimizer would
+    move a plain condition on them in front of the candidate test.
+    """
     rows = candidates(df.select(*keep, col(text).alias("_text")), "_text", [p.regex for p in patterns])
-    found = rows.select("*", (F.explode(index) if many else index).alias("_i"))
-    return found.where(F.col("_i").isNotNull())
+    return rows.select("*", F.explode(index).alias("_i")).where(F.col("_i").isNotNull())
 
 
 def scan(
@@ -110,15 +117,18 @@ def scan(
     """
     if mode not in ("all", "first"):
         raise ValueError(f"mode must be 'all' or 'first', got {mode!r}")
-    index = first_index("_text", patterns)
-    if mode == "all":
-        every = F.array(*[F.when(matches("_text", p), F.lit(i)) for i, p in enumerate(patterns)])
-        index = every if first_only is None else F.when(first_only, F.array(index)).otherwise(every)
-    found = _indexes(df, text, patterns, keep, index, many=mode == "all")
+    first = F.array(first_index("_text", patterns))
+    every = all_indexes("_text", patterns)
+    if mode == "all" and first_only is not None:
+        chosen = F.array(F.when(first_only, first).otherwise(every))
+        found = _indexes(df, text, patterns, keep, chosen).withColumnRenamed("_i", "_is")
+        found = found.select("*", F.explode("_is").alias("_i")).where(F.col("_i").isNotNull())
+    else:
+        found = _indexes(df, text, patterns, keep, every if mode == "all" else first)
     length = _match_length(patterns)
     return found.select(
         *keep,
-        _entry([p.ord for p in patterns], F.col("_i")).alias("ord"),
+        F.expr(f"element_at(array({', '.join(str(p.ord) for p in patterns)}), _i + 1)").alias("ord"),
         _entry([p.raw_name if raw else p.name for p in patterns], F.col("_i")).alias("pattern"),
         F.lit(V.REDACTED).alias("snippet"),
         (length if cap is None else F.least(length, F.lit(cap))).alias("original_length"),
@@ -147,11 +157,11 @@ def scan_lines(
 
 def occurrences(df: DataFrame, text: str, patterns: Sequence[Pattern], *, keep: Sequence[str]) -> DataFrame:
     """Number of matches per (row, pattern) and the length of the first one."""
-    every = F.array(*[F.when(matches("_text", p), F.lit(i)) for i, p in enumerate(patterns)])
-    found = _indexes(df, text, patterns, keep, every, many=True)
+    every = all_indexes("_text", patterns)
+    found = _indexes(df, text, patterns, keep, every)
     return found.select(
         *keep,
-        _entry([p.ord for p in patterns], F.col("_i")).alias("ord"),
+        F.expr(f"element_at(array({', '.join(str(p.ord) for p in patterns)}), _i + 1)").alias("ord"),
         _entry([p.name for p in patterns], F.col("_i")).alias("pattern"),
         F.regexp_count("_text", _regex(patterns)).alias("occurrences"),
         _match_length(patterns).alias("original_length"),

@@ -7,19 +7,21 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import values as V
 from ..functions import scalars as S
 from ..session import local_table
 
-FINDING = T.StructType.fromDDL(
-    "finding_id string, type string, severity string, source string, summary string, "
-    "description string, snippet string, pattern string, url string, method string, "
-    "client string, header string, field string, commit string, path string, "
-    "location string, key string, original_length int, status int, ts bigint, "
-    "metadata map<string,string>, scan_id string"
-)
+# Column name and type of every finding, in order.
+FINDING = dict.fromkeys(
+    ("finding_id", "type", "severity", "source", "summary", "description", "snippet", "pattern", "url", "method",
+     "client", "header", "field", "commit", "path", "location", "key"),
+    "string",
+) | {"original_length": "int", "status": "int", "ts": "bigint", "metadata": "map<string,string>", "scan_id": "string"}
+
+
+# Decides which of several writes of an id is the last one, also within a second.
+LATEST_ORDER = ("ts", "url", "method", "severity", "pattern", "client", "header", "field", "path", "commit")
 
 
 def as_findings(df: DataFrame, **cols: Column | str) -> DataFrame:
@@ -29,20 +31,22 @@ def as_findings(df: DataFrame, **cols: Column | str) -> DataFrame:
     they are constants.
     """
 
-    def value(name: str) -> Column:
-        v = cols.get(name)
-        if isinstance(v, str):
-            return F.lit(v) if name in ("type", "severity", "source") else F.col(v)
-        return F.lit(None) if v is None else v
-
-    named = {f.name: value(f.name).cast(f.dataType) for f in FINDING}
-    summary = S.first_text(named["summary"], named["description"], named["type"])
-    named["summary"] = summary
+    constants = ("type", "severity", "source")
+    computed = {f"_f_{n}": c for n, c in cols.items() if isinstance(c, Column)}
+    sql = {n: "NULL" for n in FINDING} | {"scan_id": "'default'"}
+    for name, v in cols.items():
+        if isinstance(v, Column):
+            sql[name] = f"`_f_{name}`"
+        elif v is not None:
+            sql[name] = S.text_literal(v) if name in constants else f"`{v}`"
+    sql["summary"] = "coalesce({})".format(
+        ", ".join(f"nullif({sql[n]}, '')" for n in ("summary", "description", "type") if sql[n] != "NULL")
+    )
     if "finding_id" not in cols:
-        named["finding_id"] = S.finding_id(named["type"], summary, named["snippet"])
-    if "scan_id" not in cols:
-        named["scan_id"] = F.lit("default")
-    return df.select(*[c.alias(n) for n, c in named.items()])
+        parts = ", ".join(f"coalesce({sql[n]}, '')" for n in ("type", "summary", "snippet"))
+        sql["finding_id"] = f"sha1(concat_ws('|', {parts}))"
+    wide = df.withColumns(computed) if computed else df
+    return wide.selectExpr(*[f"CAST({sql[n]} AS {dtype}) AS `{n}`" for n, dtype in FINDING.items()])
 
 
 def union_findings(frames: Sequence[DataFrame]) -> DataFrame:
@@ -64,21 +68,18 @@ def normalize(raw: DataFrame) -> DataFrame:
     dtypes = dict(raw.dtypes)
     taken = {"type", "severity", "summary", "snippet", "pattern", "metadata", "details"}
     rest = [n for n in raw.columns if n not in taken and not dtypes[n].startswith(("map", "array", "struct"))]
-    meta = F.map_filter(
-        F.map_from_arrays(
-            F.array(*[F.lit(n) for n in rest]),
-            F.array(*[F.col(n).cast("string") for n in rest]),
-        ),
-        lambda _, v: v.isNotNull(),
-    )
+    keys = ", ".join(S.text_literal(n) for n in rest)
+    texts = ", ".join(f"CAST(`{n}` AS string)" for n in rest)
+    meta = F.expr(f"map_filter(map_from_arrays(array({keys}), array({texts})), (k, v) -> v IS NOT NULL)")
     summary = S.first_text(c("summary"), c("description"), c("type"))
     given = S.first_text(c("id") if "id" in have else c("finding_id"))
-    passed = {n: F.col(n) for n in ("description", "client", "header", "field", "commit", "path", "location", "key",
-                             "original_length", "status", "pattern", "snippet", "type", "url", "method") if n in have}
+    passed = {n: n for n in ("description", "client", "header", "field", "commit", "path", "location", "key",
+                             "original_length", "status", "pattern", "snippet", "url", "method") if n in have}
     stamps = [F.col(n).cast("bigint") for n in ("timestamp", "ts") if n in have]
     return as_findings(
         raw,
         **passed,
+        type=c("type"),
         finding_id=F.coalesce(given, S.finding_id(c("type"), summary, c("snippet"))),
         severity=F.coalesce(c("severity"), F.lit("INFO")),
         source=S.first_text(c("source"), c("client"), F.lit("mitm")),
@@ -89,7 +90,7 @@ def normalize(raw: DataFrame) -> DataFrame:
     )
 
 
-def latest(findings: DataFrame, order: Sequence[str] = ("ts",), key: str = "finding_id") -> DataFrame:
+def latest(findings: DataFrame, order: Sequence[str] = LATEST_ORDER, key: str = "finding_id") -> DataFrame:
     """One row per id, the last write wins; ``occurrence_count`` says how many there were.
 
     The aggregate is partial on the map side, so an id that holds a third of all

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..catalog import Pattern, prefix_terms, spans_lines_safely
-from ..functions.scalars import col
+from ..functions.scalars import col, text_literal
 from . import detect
 from .findings import as_findings
 from .top import top_per_key
@@ -57,8 +57,13 @@ def pickaxe(lines: DataFrame, terms: Sequence[tuple[str, str, int]]) -> DataFram
     Lines without a term are dropped before the shuffle, and the sums are partial
     on the map side, so a commit of any size is one row per task.
     """
-    holds = F.array(
-        *[F.when(F.col("line").contains(t), F.struct(F.lit(t).alias("term"), F.lit(i).alias("term_ord"))) for t, _, i in terms]
+    holds = F.expr(
+        "array("
+        + ", ".join(
+            f"CASE WHEN contains(line, {text_literal(t)}) THEN named_struct('term', {text_literal(t)}, 'term_ord', {i}) END"
+            for t, _, i in terms
+        )
+        + ")"
     )
     hits = (
         lines.where(added() | removed())
@@ -130,11 +135,11 @@ def scan_history(
     if dedupe == "finding":
         hits = _first(hits, ["commit", "path", "pattern"], ["file_no", "line_no"])
     elif dedupe == "commit":
-        hits = _first(hits, ["commit"], ["ord", "file_no", "line_no"])
+        hits = _first(hits, ["commit"], ["ord", "file_no", "line_no", "path"])
         first_path = (
             source.join(hits.select("commit"), "commit", "left_semi")
             .groupBy("commit")
-            .agg(F.min_by("path", "file_no").alias("path"))
+            .agg(F.min_by("path", F.struct("file_no", "path")).alias("path"))
         )
         hits = hits.drop("path").join(first_path, "commit")
     short = F.substring("commit", 1, 12)

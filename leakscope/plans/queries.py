@@ -34,7 +34,6 @@ QUESTIONS = (
     ("q3", "cookie or storage findings of the browser"),
     ("q4", "source map pattern for user 77"),
 )
-LATEST_ORDER = ("ts", "url", "method", "severity", "pattern")
 GLOBS = ("src1/**", "**/*7.txt", "src?/5*.txt")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +45,7 @@ def query(fn):
 
 
 def latest_findings(spark, d) -> DataFrame:
-    return FN.latest(VW.log_findings(spark, d), LATEST_ORDER)
+    return FN.latest(VW.log_findings(spark, d))
 
 
 def enriched(spark, d) -> DataFrame:
@@ -379,9 +378,10 @@ def prefix_hits(spark, d):
     """Search terms of the catalog with the number of changed lines that hold them."""
     terms = prefix_terms(default_catalog())
     lines = diff_table(spark, d).where(H.added() | H.removed())
-    counts = lines.agg(*[F.count_if(F.col("line").contains(t)).alias(f"t{i}") for t, _, i in terms])
-    rows = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(n).alias("name"), F.col(f"t{i}").alias("lines")) for t, n, i in terms])
-    return counts.select(F.inline(rows))
+    text = S.text_literal
+    counts = lines.agg(*[F.expr(f"count_if(contains(line, {text(t)})) AS t{i}") for t, _, i in terms])
+    rows = ", ".join(f"named_struct('term', {text(t)}, 'name', {text(n)}, 'lines', t{i})" for t, n, i in terms)
+    return counts.select(F.expr(f"inline(array({rows}))"))
 
 
 @query

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions import urls as U
 from ..operators import findings as FN
 from ..operators import traffic as TR
@@ -55,7 +56,7 @@ def every(c: str, n: int, r: int = 0) -> Column:
 
 
 def pick(values, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.element_at(S.text_array(values), (index + 1).cast("int"))
 
 
 # --- texts ------------------------------------------------------------------
@@ -195,7 +196,7 @@ def link_graph(spark, d) -> DataFrame:
 def probes(spark, d) -> DataFrame:
     """Answers of every host to every probe path."""
     s = table(spark, d, "supplier").select("s_suppkey")
-    paths = F.posexplode(F.array(*[F.lit(p) for p in PROBE_PATHS])).alias("n", "path")
+    paths = F.posexplode(S.text_array(PROBE_PATHS)).alias("n", "path")
     host = F.concat(F.lit("host"), F.col("s_suppkey").cast("string"), F.lit(".example.com"))
     rows = s.select("s_suppkey", host.alias("host"), paths)
     return rows.select(
@@ -214,41 +215,26 @@ def probes(spark, d) -> DataFrame:
 
 def traffic_log(spark, d) -> DataFrame:
     e = table(spark, d, "events")
-    stage = (
-        F.when(F.col("event_type").isin("view", "click"), "mitm_outbound")
-        .when(F.col("event_type") == "signup", "mitm_bypass")
-        .otherwise("security_finding")
-    )
-    finding = F.col("event_type").isin("error", "purchase")
-    severity = (
-        F.when(F.col("value") >= 150, "CRITICAL")
-        .when(F.col("value") >= 60, "HIGH")
-        .when(F.col("value") >= 20, "MEDIUM")
-        .when(F.col("value") >= 5, "LOW")
-        .otherwise("INFO")
-    )
-    type_ = pick(FINDING_TYPES, (F.col("event_id") + F.col("user_id")) % 18)
-    url = F.concat(
-        F.lit("https://api"), (F.col("user_id") % 7).cast("string"), F.lit(".example.com/v1/"), "event_type",
-        F.lit("/"), (F.col("event_id") % 50).cast("string"),
-    )
-    client = pick(CLIENTS, F.col("user_id") % 3)
-    rows = e.select(
+    e = e.withColumn("epoch", _epoch(e))
+    array = lambda items: "array(" + ", ".join(S.text_literal(i) for i in items) + ")"
+    finding = "event_type IN ('error', 'purchase')"
+    type_ = f"element_at({array(FINDING_TYPES)}, int((event_id + user_id) % 18) + 1)"
+    return e.selectExpr(
         "event_id",
-        _epoch(e).alias("ts"),
-        stage.alias("stage"),
-        client.alias("client"),
-        F.when(every("event_id", 3), "POST").otherwise("GET").alias("method"),
-        url.alias("url"),
-        F.when(finding, severity).alias("severity"),
-        F.when(finding, type_).alias("type"),
-        F.when(finding & ~every("event_id", 5), pick(LOG_PATTERNS, F.col("event_id") % 4)).alias("pattern"),
-        F.when(
-            finding,
-            F.concat(F.replace(type_, F.lit("_"), F.lit(" ")), F.lit(" seen for user "), F.col("user_id").cast("string")),
-        ).alias("description"),
+        "epoch AS ts",
+        "CASE WHEN event_type IN ('view', 'click') THEN 'mitm_outbound' WHEN event_type = 'signup' THEN 'mitm_bypass' ELSE 'security_finding' END AS stage",
+        f"element_at({array(CLIENTS)}, int(user_id % 3) + 1) AS client",
+        "if(event_id % 3 = 0, 'POST', 'GET') AS method",
+        "concat('https://api', user_id % 7, '.example.com/v1/', event_type, '/', event_id % 50) AS url",
+        f"""CASE WHEN {finding} THEN
+            CASE WHEN value >= 150 THEN 'CRITICAL' WHEN value >= 60 THEN 'HIGH' WHEN value >= 20 THEN 'MEDIUM' WHEN value >= 5 THEN 'LOW' ELSE 'INFO' END
+        END AS severity""",
+        f"CASE WHEN {finding} THEN {type_} END AS type",
+        f"CASE WHEN {finding} AND event_id % 5 <> 0 THEN element_at({array(LOG_PATTERNS)}, int(event_id % 4) + 1) END AS pattern",
+        f"CASE WHEN {finding} THEN concat(replace({type_}, '_', ' '), ' seen for user ', user_id) END AS description",
+        "CAST(NULL AS string) AS field",
+        "CAST(NULL AS string) AS header",
     )
-    return rows.withColumns({"field": F.lit(None).cast("string"), "header": F.lit(None).cast("string")})
 
 
 def _epoch(e: DataFrame) -> Column:
