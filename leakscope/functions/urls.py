@@ -14,6 +14,9 @@ from .scalars import col
 # RFC 3986 appendix B: scheme, authority, path, query, fragment.
 URL_REGEX = r"(?s)^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
+# The host alone, behind user and password and before the port.
+HOST_REGEX = r"^(?:[^:/?#]+:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^:/?#@\[\]]*)"
+
 
 def _part(url, group: int) -> Column:
     return F.regexp_extract(col(url), URL_REGEX, group)
@@ -49,8 +52,7 @@ def hostport(url) -> Column:
 
 def host(url) -> Column:
     """Lower-case host without port and brackets; empty for a relative url."""
-    raw = F.regexp_extract(hostport(url), r"^(\[[^\]]*\]|[^:\[\]]*)", 1)
-    return F.lower(F.translate(raw, "[]", ""))
+    return F.lower(F.translate(F.regexp_extract(col(url), HOST_REGEX, 1), "[]", ""))
 
 
 def origin(url) -> Column:

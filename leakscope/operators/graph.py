@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..knowledge import KnowledgeBase
-from ..session import local_table, small
+from ..session import cut_lineage, local_table, small
 from .findings import endpoints, latest
 
 NODE_LABELS = ("Finding", "Endpoint", "CWE", "OWASP", "Mitigation", "AttackVector", "CodeExample")
@@ -77,10 +77,7 @@ def _edge(df: DataFrame, src: Column, dst: Column, label: str) -> DataFrame:
 
 
 def facts(findings: DataFrame, kb: KnowledgeBase) -> DataFrame:
-    """Distinct (finding, endpoint, weakness); every edge of a finding derives from it.
-
-    The edge branches share this one shuffle.
-    """
+    """Distinct (finding, endpoint, weakness); every edge of a finding derives from it."""
     endpoint = F.when(S.first_text("url").isNotNull(), S.endpoint_id("method", "url"))
     return with_cwe(findings, kb).select("finding_id", endpoint.alias("endpoint_id"), "cwe_id").distinct()
 
@@ -103,10 +100,20 @@ def static_edges(spark, kb: KnowledgeBase) -> DataFrame:
     return _edge(kb.code_examples(spark), _id("mitigation", "mitigation_id"), _id("code_example", "example_id"), "demonstrates")
 
 
-def nodes(findings: DataFrame, kb: KnowledgeBase) -> DataFrame:
+def build_graph(findings: DataFrame, kb: KnowledgeBase) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges.
+
+    The facts are checkpointed, so the findings are read once for all edges; the
+    facts hold three ids and are far smaller than the findings.
+    """
+    f = cut_lineage(facts(findings, kb))
+    return nodes(findings, kb, f), edges(findings, kb, f)
+
+
+def nodes(findings: DataFrame, kb: KnowledgeBase, known: DataFrame | None = None) -> DataFrame:
     """All nodes.  Weaknesses and attack vectors exist only where a finding has them."""
     spark = findings.sparkSession
-    hit = facts(findings, kb).select("cwe_id").distinct()
+    hit = (facts(findings, kb) if known is None else known).select("cwe_id").distinct()
     vectors = hit.join(kb.attack_vectors(spark), "cwe_id").select("vector_id", "attack_type", "name").distinct()
     return reduce(
         DataFrame.unionByName,
@@ -121,10 +128,10 @@ def nodes(findings: DataFrame, kb: KnowledgeBase) -> DataFrame:
     )
 
 
-def edges(findings: DataFrame, kb: KnowledgeBase) -> DataFrame:
+def edges(findings: DataFrame, kb: KnowledgeBase, known: DataFrame | None = None) -> DataFrame:
     """All edges, one per (src, dst)."""
     spark = findings.sparkSession
-    f = facts(findings, kb)
+    f = facts(findings, kb) if known is None else known
     of_cwe = f.where(F.col("cwe_id").isNotNull())
     hit = of_cwe.select("cwe_id").distinct()
     vectors = kb.attack_vectors(spark)

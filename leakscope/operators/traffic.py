@@ -7,6 +7,7 @@ on a table and on a stream.  A traffic log has one row per logged event.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,18 +27,13 @@ from .top import top_per_key
 
 def bypassed(url="url") -> Column:
     """Whether a request must not go through the proxy.  An empty host never bypasses."""
+    def either(items) -> str:
+        return "|".join(re.escape(i) for i in items)
+
     host = U.host(url)
-    domains = "|".join(d.replace(".", r"\.") for d in V.BYPASS_DOMAINS)
-    return F.coalesce(
-        (host != "")
-        & (
-            host.isin(*V.LOCAL_HOSTS)
-            | host.rlike(rf"(^|\.)({domains})$")
-            | S.any_contains(host, V.BYPASS_HOST_PARTS)
-            | S.any_contains(F.lower(S.col(url)), V.BYPASS_URL_TOKENS)
-        ),
-        F.lit(True),
-    )
+    named = rf"^(?:{either(V.LOCAL_HOSTS)})$|(?:^|\.)(?:{either(V.BYPASS_DOMAINS)})$|{either(V.BYPASS_HOST_PARTS)}"
+    by_path = S.any_contains(F.lower(S.col(url)), V.BYPASS_URL_TOKENS)
+    return F.coalesce((host != "") & (host.rlike(named) | by_path), F.lit(True))
 
 
 def ignored(url="url", host_regex: str = V.IGNORE_HOST_REGEX) -> Column:

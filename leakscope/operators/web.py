@@ -19,7 +19,7 @@ from ..session import cut_lineage, local_table
 from . import detect
 from .findings import as_findings
 
-SALTS = 32
+CHUNK = 10_000
 COMPACT_LEVELS = 16
 
 
@@ -97,15 +97,17 @@ def same_host_links(found: DataFrame, base_host: str | Column) -> DataFrame:
 # --- assets and source maps -------------------------------------------------
 
 
-def _report_per_reference(hits: DataFrame, references: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Hits of a shared resource repeated for each reference to it.
+def _report_per_reference(hits: DataFrame, references: DataFrame) -> DataFrame:
+    """Hits of a shared resource repeated once for each reference to it.
 
-    Only resources with a hit keep their references.  Those are spread over
-    ``salts`` buckets, so a resource that a third of all pages load is not one task.
+    The references are counted before the join, so a resource that a third of all
+    pages load is one row there.  The repetition is cut into chunks that are spread
+    over the tasks before they are written out.
     """
-    spread = references.withColumn("_salt", F.pmod(F.xxhash64("page_url"), F.lit(salts)))
-    copies = hits.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return spread.join(copies, ["url", "_salt"]).drop("_salt")
+    counted = references.groupBy("url").agg(F.count(F.lit(1)).alias("_n"))
+    chunks = hits.join(counted, "url").withColumn("_c", F.expr(f"explode(sequence(1L, (_n - 1) div {CHUNK} + 1))"))
+    copies = F.expr(f"explode(array_repeat(1, int(least({CHUNK}, _n - (_c - 1) * {CHUNK}))))")
+    return chunks.repartition("url", "_c").withColumn("_copy", copies).drop("_n", "_c", "_copy")
 
 
 def asset_patterns(
@@ -123,7 +125,7 @@ def asset_patterns(
     the number of links in ``metadata`` when ``per_reference`` is False.
     ``max_bytes`` leaves larger assets out; by default none is.
     """
-    references = found.where(is_asset()).select("page_url", F.col("link").alias("url"))
+    references = found.where(is_asset()).select(F.col("link").alias("url"))
     served = assets.where((F.col("status") == 200) & detect.within_limits(content, max_bytes=max_bytes))
     hits = detect.scan(served, content, patterns, keep=["url"], cap=V.CAP_WEB)
     if per_reference:
@@ -150,7 +152,7 @@ def source_map_patterns(
         .select("url", F.posexplode(parsed["sourcesContent"]).alias("source_index", "_source"))
     )
     hits = detect.scan(sources, "_source", patterns, keep=["url", "source_index"], cap=V.CAP_WEB)
-    joined = _report_per_reference(hits, refs.select("page_url", F.col("link").alias("url")))
+    joined = _report_per_reference(hits, refs.select(F.col("link").alias("url")))
     index = F.create_map(F.lit("source_index"), F.col("source_index").cast("string"))
     return _web(joined, "sourcemap_pattern", metadata=index)
 

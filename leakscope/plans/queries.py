@@ -73,7 +73,7 @@ def read_report(spark, d):
 def text_files(spark, d):
     """Documents written as text files; those of one language are made binary by a NUL."""
     path = shared_dir(spark, "texts")
-    docs = VW.table(spark, d, "documents")
+    docs = VW.documents(spark, d, "lang")
     text = F.when(F.col("lang") == "de", F.concat(F.lit("\0"), "text")).otherwise(F.col("text"))
     docs.select("lang", text.alias("value")).write.partitionBy("lang").text(path)
     found = readers.read_text_files(spark, path, glob="*.txt")
@@ -544,27 +544,26 @@ def graph_nodes(spark, d):
 
 @query
 def graph_edges(spark, d):
-    return G.edges(VW.log_findings(spark, d), KnowledgeBase())
+    return G.build_graph(VW.log_findings(spark, d), KnowledgeBase())[1]
 
 
 @query
 def graph_stats(spark, d):
-    f, kb = VW.log_findings(spark, d), KnowledgeBase()
-    return G.graph_stats(G.nodes(f, kb), G.edges(f, kb))
+    return G.graph_stats(*G.build_graph(VW.log_findings(spark, d), KnowledgeBase()))
 
 
 @query
 def graph_paths(spark, d):
     """Paths in a graph that was written and read back."""
-    f, kb, path = VW.log_findings(spark, d), KnowledgeBase(), shared_dir(spark, "graph")
-    writers.write_graph(G.nodes(f, kb), G.edges(f, kb), path)
+    path = shared_dir(spark, "graph")
+    writers.write_graph(*G.build_graph(VW.log_findings(spark, d), KnowledgeBase()), path)
     return G.finding_paths(readers.read_graph(spark, path)[1])
 
 
 @query
 def graph_successors(spark, d):
-    f, kb = VW.log_findings(spark, d), KnowledgeBase()
-    found = G.successors(G.nodes(f, kb), G.edges(f, kb), "finding:", "is_instance_of")
+    nodes, edges = G.build_graph(VW.log_findings(spark, d), KnowledgeBase())
+    found = G.successors(nodes, edges, "finding:", "is_instance_of")
     return found.groupBy("dst", "dst_label", "dst_name").agg(F.count(F.lit(1)).alias("n"))
 
 

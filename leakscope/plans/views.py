@@ -14,6 +14,7 @@ from ..functions import scalars as S
 from ..functions import urls as U
 from ..operators import findings as FN
 from ..operators import traffic as TR
+from ..session import spread
 from ..values import PROBE_PATHS
 
 # The finding types of the knowledge base, in its order.
@@ -62,8 +63,12 @@ def pick(values, index: Column) -> Column:
 # --- texts ------------------------------------------------------------------
 
 
-def documents(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", "source")
+def documents(spark, d, *more: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", "source", *more))
+
+
+def raw_pages(spark, d) -> DataFrame:
+    return spread(table(spark, d, "pages").select("page_id", "url", "html"))
 
 
 def commit_diffs(spark, d) -> DataFrame:
@@ -96,7 +101,7 @@ def commit_diffs(spark, d) -> DataFrame:
 
 def pages(spark, d) -> DataFrame:
     """Pages with planted links, script references, a source-map reference and a key."""
-    p = table(spark, d, "pages")
+    p = raw_pages(spark, d)
     number = F.col("page_id").cast("string")
     two = (F.col("page_id") * 2).cast("string")
     body = F.concat(
@@ -176,7 +181,7 @@ def assets(spark, d) -> DataFrame:
 
 def source_maps(spark, d) -> DataFrame:
     """Source maps at the address that the pages name, with two sources each."""
-    p = table(spark, d, "pages").select("page_id", "url", "html")
+    p = raw_pages(spark, d)
     sources = F.array("html", F.concat(F.lit("const k = '"), generic_key("page_id"), F.lit("'")))
     return p.select(
         F.concat(U.origin("url"), F.lit("/maps/"), F.col("page_id").cast("string"), F.lit(".js.map")).alias("url"),

@@ -41,6 +41,18 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(df: DataFrame, bytes_per_core: int = 64 * 1024 * 1024) -> DataFrame:
+    """Deal out a small input over all cores before heavy work on its texts.
+
+    A table smaller than ``bytes_per_core`` for each core often comes in fewer row
+    groups than there are cores.  A larger one keeps its own partitions.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(size) < bytes_per_core * cores else df
+
+
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
 
 

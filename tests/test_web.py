@@ -84,3 +84,10 @@ def test_probes_and_catch_all(spark):
     counts = {(r.host, r.type): r.n for r in found.groupBy(F.substring("url", 8, 1).alias("host"), "type").agg(F.count("*").alias("n")).collect()}
     assert counts == {("a", "false_positive_catchall"): 3, ("b", "exposed_path"): 2, ("c", "exposed_path"): 3}
     assert found.agg(F.max("original_length")).first()[0] == 800
+
+
+def test_many_references_to_one_asset(spark, monkeypatch):
+    monkeypatch.setattr(W, "CHUNK", 100)
+    found = spark.range(1234).selectExpr("concat('http://h/p', id) AS page_url", "'http://h/app.js' AS link")
+    assets = spark.createDataFrame([("http://h/app.js", 200, AWS)], "url string, status int, content string")
+    assert W.asset_patterns(found, assets, P).count() == 1234
