@@ -5,6 +5,7 @@ A diff line table has ``commit, commit_ts, path, file_no, line_no, sign, line``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -82,6 +83,11 @@ def pickaxe(lines: DataFrame, terms: Sequence[tuple[str, str, int]]) -> DataFram
     )
 
 
+def pickaxe_diffs(diffs: DataFrame, terms: Sequence[tuple[str, str, int]]) -> DataFrame:
+    """:func:`pickaxe` over whole diffs; only diffs that hold a term are split into lines."""
+    return pickaxe(diff_lines(diffs_with(diffs, [re.escape(t) for t, _, _ in terms])), terms)
+
+
 def newest_per_term(found: DataFrame, n_terms: int, max_commits: int = 100) -> DataFrame:
     """The newest commits of each term; the budget is divided over the terms."""
     per_term = max(1, max_commits // max(1, n_terms))
@@ -103,10 +109,13 @@ def diffs_with(diffs: DataFrame, regexes: Sequence[str], *, diff: str = "diff")
     return detect.candidates(diffs, diff, regexes) if safe else diffs
 
 
-def examined_commits(lines: DataFrame, patterns: Sequence[Pattern], max_commits: int = 100) -> DataFrame:
+def examined_commits(
+    lines: DataFrame, patterns: Sequence[Pattern], max_commits: int = 100, *, diffs: DataFrame | None = None
+) -> DataFrame:
+    """Commits that the terms of the catalog lead to, within the budget."""
     terms = prefix_terms(patterns)
-    ranked = newest_per_term(pickaxe(lines, terms), len(terms), max_commits)
-    return within_budget(ranked, max_commits)
+    found = pickaxe(lines, terms) if diffs is None else pickaxe_diffs(diffs, terms)
+    return within_budget(newest_per_term(found, len(terms), max_commits), max_commits)
 
 
 def scan_history(
@@ -115,19 +124,21 @@ def scan_history(
     *,
     max_commits: int | None = None,
     dedupe: str | None = "finding",
+    examined: DataFrame | None = None,
 ) -> DataFrame:
     """Secrets in added lines.
 
     All commits are scanned by default; ``max_commits`` restricts the scan to
     what the term search finds within that budget.  ``dedupe`` keeps the first
     hit per (commit, path, pattern), or per commit with ``"commit"``, where the
-    path is that of the first file of the diff; None keeps every hit.
+    path is that of the first file of the diff; None keeps every hit.  ``examined``
+    gives the commits when they are known already.
     """
     if dedupe not in (None, "finding", "commit"):
         raise ValueError(f"dedupe must be 'finding', 'commit' or None, got {dedupe!r}")
     source = lines
     if max_commits is not None:
-        chosen = examined_commits(lines, patterns, max_commits).select("commit")
+        chosen = (examined_commits(lines, patterns, max_commits) if examined is None else examined).select("commit")
         chosen = F.broadcast(chosen) if max_commits <= BROADCAST_COMMITS else chosen
         source = lines.join(chosen, "commit", "left_semi")
     keep = ["commit", "commit_ts", "path", "file_no", "line_no"]
@@ -159,15 +170,23 @@ def scan_history(
     )
 
 
-def scan_diffs(diffs: DataFrame, patterns: Sequence[Pattern], **options) -> DataFrame:
+def scan_diffs(
+    diffs: DataFrame,
+    patterns: Sequence[Pattern],
+    *,
+    max_commits: int | None = None,
+    dedupe: str | None = "finding",
+) -> DataFrame:
     """:func:`scan_history` over whole diffs; only diffs that may hold a secret are split.
 
-    ``dedupe="commit"`` and ``max_commits`` look at other lines too, so they take
-    the whole line table.
+    ``dedupe="commit"`` needs the first path of a commit, so it splits all diffs.
     """
-    if options.get("max_commits") is None and options.get("dedupe") != "commit":
+    examined = None
+    if max_commits is not None:
+        examined = examined_commits(diff_lines(diffs), patterns, max_commits, diffs=diffs)
+    if dedupe != "commit":
         diffs = diffs_with(diffs, [p.regex for p in patterns])
-    return scan_history(diff_lines(diffs), patterns, **options)
+    return scan_history(diff_lines(diffs), patterns, max_commits=max_commits, dedupe=dedupe, examined=examined)
 
 
 def _first(hits: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

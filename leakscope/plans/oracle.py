@@ -551,6 +551,11 @@ add("prompt_context", f"""SELECT query_id, n_contexts, context, length(context)
     FROM asked JOIN (SELECT query_id, count(*) AS n_contexts,
         string_agg('[Source: ' || finding_id || '] Severity: ' || severity || ' URL: ' || url || ' Summary: ' || summary, chr(10) ORDER BY rank) AS context
         FROM batch GROUP BY query_id) USING (query_id)""")
+PROMPT_HEAD = chr(10) + INSTRUCTIONS + chr(10) * 3 + "Context (from retrieval):" + chr(10)
+PROMPT_TAIL = f"\n\nQuery: {Q.QUESTION}\n\nProvide remediation following these rules:\n{RULES}\n"
+add("ask", f"""SELECT {q(Q.QUESTION)} AS question, count(*) AS n_contexts, {q(PROMPT_HEAD)} || string_agg('[Source: ' || finding_id || '] Severity: ' || severity
+    || ' URL: ' || url || ' Summary: ' || summary, chr(10) ORDER BY score DESC, {RANK} DESC, ts, finding_id) || {q(PROMPT_TAIL)} AS prompt
+    FROM (SELECT *, {keyword_score(Q.QUESTION)} AS score FROM latest WHERE {keyword_score(Q.QUESTION)} > 0 ORDER BY score DESC, {RANK} DESC, ts, finding_id LIMIT 5)""")
 add("ensure_citation", f"SELECT conv_id, turn, sha1({cited('text')}) AS answer_sha FROM answer")
 # The text has at most one citation, so redaction works on the parts before and after it.
 add("answer_postprocess", f"""SELECT conv_id, turn, sha1({cited('t')}) AS answer_sha, contains({cited('t')}, '[Source:') AS cited FROM (

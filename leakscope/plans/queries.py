@@ -25,6 +25,7 @@ from ..operators import web as W
 from ..session import local_table, shared_dir
 from ..sources import readers, writers
 from ..streaming import traffic_stream as TS
+from . import audit as A
 from . import views as VW
 
 QUESTION = "Which api key was seen in a header for user 12 key"
@@ -386,19 +387,21 @@ def prefix_hits(spark, d):
 
 @query
 def pickaxe(spark, d):
-    return H.pickaxe(diff_table(spark, d), prefix_terms(default_catalog())).select("commit", "commit_ts", "term", "files")
+    found = H.pickaxe_diffs(VW.commit_diffs(spark, d), prefix_terms(default_catalog()))
+    return found.select("commit", "commit_ts", "term", "files")
 
 
 @query
 def pickaxe_topn(spark, d):
     terms = prefix_terms(default_catalog())
-    found = H.newest_per_term(H.pickaxe(diff_table(spark, d), terms), len(terms), 100)
+    found = H.newest_per_term(H.pickaxe_diffs(VW.commit_diffs(spark, d), terms), len(terms), 100)
     return found.select("commit", "term", "rank")
 
 
 @query
 def pickaxe_budget(spark, d):
-    return H.examined_commits(diff_table(spark, d), default_catalog(), 20).select("commit")
+    diffs = VW.commit_diffs(spark, d)
+    return H.examined_commits(H.diff_lines(diffs), default_catalog(), 20, diffs=diffs).select("commit")
 
 
 @query
@@ -409,7 +412,7 @@ def git_pattern(spark, d):
 
 @query
 def git_pattern_pruned(spark, d):
-    found = H.scan_history(diff_table(spark, d), default_catalog(), max_commits=100)
+    found = H.scan_diffs(VW.commit_diffs(spark, d), default_catalog(), max_commits=100)
     return found.select("commit", "path", "pattern", "original_length")
 
 
@@ -420,7 +423,7 @@ def git_dedupe(spark, d):
 
 @query
 def git_dedupe_commit(spark, d):
-    return H.scan_history(diff_table(spark, d), default_catalog(), dedupe="commit").select("commit", "path", "pattern")
+    return H.scan_diffs(VW.commit_diffs(spark, d), default_catalog(), dedupe="commit").select("commit", "path", "pattern")
 
 
 # --- findings ---------------------------------------------------------------
@@ -589,6 +592,12 @@ def keyword_topk(spark, d):
     return R.keyword_topk(latest_findings(spark, d), QUESTION, 10)
 
 
+@query
+def ask(spark, d):
+    """The prompt for a question, with the best findings as context."""
+    return A.ask(latest_findings(spark, d), QUESTION, 5)
+
+
 @query
 def keyword_topk_batch(spark, d):
     found = R.keyword_topk_batch(latest_findings(spark, d), QUESTIONS, 5)
