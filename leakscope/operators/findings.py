@@ -58,7 +58,8 @@ def normalize(raw: DataFrame) -> DataFrame:
     """Loose records to findings, with the fallbacks of the report format.
 
     source: source, client, "mitm".  summary: summary, description, type.
-    severity: INFO when missing.  ts: timestamp, ts.  Other columns become metadata.
+    severity: INFO when missing.  ts: timestamp, ts.  Columns outside the finding
+    schema become metadata, unless the record has a metadata map of its own.
     """
     have = set(raw.columns)
 
@@ -66,11 +67,14 @@ def normalize(raw: DataFrame) -> DataFrame:
         return F.col(name) if name in have else F.lit(None).cast("string")
 
     dtypes = dict(raw.dtypes)
-    taken = {"type", "severity", "summary", "snippet", "pattern", "metadata", "details"}
-    rest = [n for n in raw.columns if n not in taken and not dtypes[n].startswith(("map", "array", "struct"))]
+    nested = ("map", "array", "struct")
+    rest = [n for n in raw.columns if n not in FINDING and n not in ("id", "timestamp") and not dtypes[n].startswith(nested)]
     keys = ", ".join(S.text_literal(n) for n in rest)
     texts = ", ".join(f"CAST(`{n}` AS string)" for n in rest)
-    meta = F.expr(f"map_filter(map_from_arrays(array({keys}), array({texts})), (k, v) -> v IS NOT NULL)")
+    extra = f"map_filter(map_from_arrays(array({keys}), array({texts})), (k, v) -> v IS NOT NULL)" if rest else "map()"
+    meta = F.expr(f"CAST({extra} AS map<string,string>)")
+    if dtypes.get("metadata", "").startswith("map"):
+        meta = F.coalesce(F.col("metadata").cast("map<string,string>"), meta)
     summary = S.first_text(c("summary"), c("description"), c("type"))
     given = S.first_text(c("id") if "id" in have else c("finding_id"))
     passed = {n: n for n in ("description", "client", "header", "field", "commit", "path", "location", "key",

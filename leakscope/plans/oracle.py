@@ -488,7 +488,7 @@ add("git_dedupe_commit", f"""SELECT substr(h.commit, 1, 12) AS commit, p.path, p
 
 add("finding_ids", "SELECT finding_id, type, summary, count(*) AS n FROM finding GROUP BY ALL")
 add("findings_normalized", """SELECT sha1(coalesce(type, '') || '|' || coalesce(s, '') || '|') AS finding_id, type, coalesce(severity, 'INFO') AS severity, client AS source, s AS summary, ts,
-    4 + CASE WHEN description IS NULL THEN 0 ELSE 1 END AS n_metadata
+    2 + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS n_metadata
     FROM (SELECT *, CASE WHEN event_id % 4 <> 0 THEN stage ELSE coalesce(description, type) END AS s FROM log)""")
 add("findings_latest", "SELECT finding_id, ts, url, severity, pattern, occurrence_count FROM latest")
 add("severity_summary", """SELECT severity, coalesce(n, 0) AS n FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('INFO')) v(severity)

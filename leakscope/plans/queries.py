@@ -446,7 +446,8 @@ def findings_all(spark, d):
 @query
 def findings_normalized(spark, d):
     raw = VW.traffic_log(spark, d).select(
-        "ts", "type", "severity", "client", "pattern", "url", "method",
+        "event_id", "stage", "ts", "type", "severity", "client", "pattern", "url", "method",
+        F.when(VW.every("event_id", 3), F.col("url")).alias("endpoint"),
         F.when(VW.every("event_id", 4), F.lit("")).otherwise(F.col("stage")).alias("summary"),
         "description",
     )

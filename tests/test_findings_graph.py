@@ -63,7 +63,7 @@ def test_report_round_trip(spark, three, tmp_path):
 
 def test_normalize_fallbacks(spark, tmp_path):
     rows = [
-        {"type": "a", "client": "requests", "description": "d", "ts": 5, "pattern": "P"},
+        {"type": "a", "client": "requests", "description": "d", "ts": 5, "pattern": "P", "timestamp_human": "then"},
         {"type": "b", "summary": "", "description": "", "severity": "LOW"},
         {"id": "given", "type": "c", "source": "s", "timestamp": 1, "ts": 2},
     ]
@@ -71,7 +71,8 @@ def test_normalize_fallbacks(spark, tmp_path):
     assert (found["a"].source, found["a"].summary, found["a"].severity, found["a"].ts) == ("requests", "d", "INFO", 5)
     assert (found["b"].source, found["b"].summary) == ("mitm", "b")
     assert (found["c"].finding_id, found["c"].ts) == ("given", 1)
-    assert found["a"].metadata["client"] == "requests" and "pattern" not in found["a"].metadata
+    assert found["a"].metadata == {"timestamp_human": "then"} and found["b"].metadata == {}
+    assert (found["a"].client, found["a"].pattern) == ("requests", "P")
 
 
 def test_latest_keeps_the_last_write_and_counts(spark):
