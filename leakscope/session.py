@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -23,8 +24,9 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
-        base = tempfile.mkdtemp(prefix="leakscope-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "")
+        if not base:
+            base = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="leakscope-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
