@@ -7,14 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .preference import SQL as PREFERENCE_SQL, format_preferences, shortened_answers
 from .simhash import simhash_dedup
+from .topk import SQL as TOPK_SQL, topk
+from .urls import filter_urls
+from .warc import SQL as WARC_SQL, round_trip
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"), words=3, max_bits=2)
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk(rows, rows.where("vec_id % 100 = 0"), k=10, scale=1024)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = table(spark, sf_dir, "conversations")
+    return format_preferences(chosen, shortened_answers(chosen))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_url_filters": op3_url_filters,
+    "op4_topk": op4_topk,
+    "op5_warc": op5_warc,
+    "op7_preferences": op7_preferences,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_topk": TOPK_SQL, "op5_warc": WARC_SQL, "op7_preferences": PREFERENCE_SQL}
