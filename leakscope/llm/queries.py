@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .kneser import judge
+from .langid import address_suffix, identify, markup_language
 from .preference import SQL as PREFERENCE_SQL, format_preferences, shortened_answers
 from .simhash import simhash_dedup
+from .spm import tokenize
 from .topk import SQL as TOPK_SQL, topk
-from .urls import filter_urls
+from .urls import filter_urls, host_of
 from .warc import SQL as WARC_SQL, round_trip
 
 
@@ -36,11 +40,34 @@ def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_preferences(chosen, shortened_answers(chosen))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: declared language and source beside the text."""
+    return identify(table(spark, sf_dir, "documents"), declared="lang", host="source")
+
+
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: language of the markup, host and its suffix beside the text, which here is the whole html."""
+    host = host_of(F.col("url"))
+    return identify(table(spark, sf_dir, "pages"), "page_id", "html", declared=markup_language(F.col("html")), host=host, suffix=address_suffix(host))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize(table(spark, sf_dir, "documents")).select("doc_id", "token_ids", "n_tokens", "round_trip")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_url_filters": op3_url_filters,
     "op4_topk": op4_topk,
     "op5_warc": op5_warc,
     "op7_preferences": op7_preferences,
+    "op8_language": op8_language,
+    "page_language": page_language,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {"op4_topk": TOPK_SQL, "op5_warc": WARC_SQL, "op7_preferences": PREFERENCE_SQL}
