@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 WORDS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n+|[^{BLANK}\n]+")
 #: Characters of text that are handled at once, and words whose pieces are kept between.
-CHUNK, KEPT = 1 << 21, 1 << 19
+CHUNK, KEPT = 1 << 21, 1 << 18
+NEVER = float("-inf")
 
 
 class Pieces:
@@ -58,42 +60,38 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging the best-scored neighbours, leftmost first."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                return parts
+        parts, get = list(text), self.score.get
+        gain = [get(x + y, NEVER) for x, y in zip(parts, parts[1:])]
+        while gain and (best := max(gain)) > NEVER:
+            at = gain.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del gain[at]
+            if at:
+                gain[at - 1] = get(parts[at - 1] + parts[at], NEVER)
+            if at < len(gain):
+                gain[at] = get(parts[at] + parts[at + 1], NEVER)
+        return parts
 
 
 class Encoder:
     """Pieces of sorted words; the forward states of the common prefix are taken over from the word before."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.may_follow, self.known = pieces, {}, {}
-
-    def follows(self, a: str, b: str) -> bool:
-        ok = self.may_follow.get((a, b))
-        if ok is None:
-            ok = self.may_follow[a, b] = self.pieces.merged(a + b) == [a, b]
-        return ok
+        self.pieces, self.known = pieces, {}
+        self.after: dict[str, dict[str, bool]] = {}  # piece -> pieces that may or may not follow it
 
     def encode(self, words: list[str]) -> None:
         """Put the ids of all ``words`` into ``known``."""
-        ids, starts, cache, follows = self.pieces.ids, self.pieces.starts, self.may_follow, self.follows
-        byte, unknown, known = self.pieces.bytes, self.pieces.unknown, self.known
-        # By length of the prefix: its last piece, where that begins, and from where a piece may still go on.
-        last, begin, going, before = [""], [0], [[]], ""
+        ids, starts, merged = self.pieces.ids, self.pieces.starts, self.pieces.merged
+        byte, unknown, known, after = self.pieces.bytes, self.pieces.unknown, self.known, self.after
+        # By length of the prefix: its last piece, where that begins, what may follow it, and from where a piece may still go on.
+        last, begin, nexts, going, before = [""], [0], [{}], [()], ""
         for word in sorted(words):
             n, same = len(word), 0
             top = min(n, len(before))
             while same < top and word[same] == before[same]:
                 same += 1
-            del last[same + 1 :], begin[same + 1 :], going[same + 1 :]
+            del last[same + 1 :], begin[same + 1 :], nexts[same + 1 :], going[same + 1 :]
             for d in range(same + 1, n + 1):
                 on, found = [], False
                 for s in (*going[-1], d - 1):
@@ -102,12 +100,13 @@ class Encoder:
                     if whole is not None:
                         on.append(s)
                     if not found and (whole or s == d - 1):
-                        may = s == 0 or cache.get((last[s], piece))
+                        may = s == 0 or nexts[s].get(piece)
                         if may is None:
-                            may = follows(last[s], piece)
+                            may = nexts[s][piece] = merged(last[s] + piece) == [last[s], piece]
                         if may:
                             last.append(piece)
                             begin.append(s)
+                            nexts.append(after.setdefault(piece, {}))
                             found = True
                 going.append(on)
             out, d = [], n
@@ -121,24 +120,35 @@ class Encoder:
                     out.append(unknown)
                 d = begin[d]
             out.reverse()
-            known[word] = out
+            known[word] = tuple(out)
             before = word
-        if len(self.may_follow) > 2 * KEPT:
-            self.may_follow.clear()
+
+    def bound(self) -> None:
+        """Forget what is kept beyond the limits."""
+        if len(self.known) > KEPT:
+            self.known.clear()
+        if sum(map(len, self.after.values())) > KEPT:
+            self.after.clear()
 
 
 def _encoded(texts: list[str], encoder: Encoder):
     """Ids of the texts of a chunk as one flat array, and their counts."""
     import numpy as np
+    import pyarrow as arrow
 
     split = [WORDS.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-    distinct = set().union(*split)
-    if len(encoder.known) > KEPT:
-        encoder.known.clear()
+    distinct = list(set().union(*split))
+    encoder.bound()
     encoder.encode([w for w in distinct if w not in encoder.known])
-    known = encoder.known
-    parts = [[i for w in words for i in known[w]] for words in split]
-    return np.fromiter((i for p in parts for i in p), dtype=np.int32), [len(p) for p in parts]
+    ids = [encoder.known[w] for w in distinct]
+    sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    pieces = arrow.ListArray.from_arrays(offsets, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=offsets[-1]))
+    number = {w: i for i, w in enumerate(distinct)}
+    order = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), dtype=np.int32, count=sum(map(len, split)))
+    ends = np.cumsum([0, *map(len, split)])
+    total = np.concatenate([[0], np.cumsum(sizes[order], dtype=np.int64)])
+    return pieces.take(arrow.array(order)).flatten().to_numpy(), np.diff(total[ends]).tolist()
 
 
 def encode(text: Column, model: bytes) -> Column:
@@ -181,15 +191,18 @@ def decode(ids: Column, model: bytes) -> Column:
         import pyarrow as arrow
         import pyarrow.compute as compute
 
-        surface = arrow.array([*Pieces(model).surface, b""], arrow.binary())
+        surface = arrow.array([*Pieces(model).surface, b""], arrow.large_binary())
         for batch in batches:
             flat = compute.fill_null(batch.flatten(), -1).to_numpy(zero_copy_only=False)
             flat = np.where((flat < 0) | (flat >= len(surface) - 1), len(surface) - 1, flat)
             counts = compute.list_value_length(batch).fill_null(0).to_numpy(zero_copy_only=False)
-            ends, out = np.concatenate([[0], np.cumsum(counts)]), []
-            for a, b in zip(ends[:-1], ends[1:]):
-                whole = b"".join(surface.take(arrow.array(flat[a:b])).to_pylist())
-                out.append(whole.removeprefix(b" ").decode("utf-8", "replace"))
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            out = []
+            for a in range(0, len(batch), 256):  # a few texts at a time: bounds the memory
+                cut = ends[a : a + 257]
+                parts = arrow.LargeListArray.from_arrays(cut - cut[0], surface.take(arrow.array(flat[cut[0] : cut[-1]])))
+                whole = compute.binary_join(parts, arrow.scalar(b"", arrow.large_binary()))
+                out += [x.removeprefix(b" ").decode("utf-8", "replace") for x in whole.to_pylist()]
             yield arrow.array(out, arrow.string())
 
     return texts(ids)
