@@ -26,7 +26,9 @@ ship(__name__)
 
 ORDER = 5
 #: Bytes handled at once, entries of a shard, and symbols that a position may have.
-CHUNK, SHARD, SYMBOLS = 1 << 22, 1 << 22, 257
+CHUNK, SHARD, SYMBOLS = 1 << 22, 1 << 21, 257
+#: Trusted ids that are sent at once.
+IDS = 1 << 21
 BEGIN, END = 2, 3  # control bytes that stand around a text
 
 
@@ -227,13 +229,13 @@ def _sums(text: Column, shard: int, shards: int, sent) -> Column:
 
 
 def log_perplexity(rows: DataFrame, model: DataFrame, entries: int = SHARD) -> DataFrame:
-    """Stored rows ``(doc_id, key, language, bytes, total)`` of ``rows(doc_id, language, text)``; key is a hash of the text."""
+    """Stored rows ``(doc_id, key, kept, language, bytes, total)`` of ``rows(doc_id, language, text, kept)``; key is a hash of the text."""
     spark = rows.sparkSession
     rows = rows.withColumns({"key": F.xxhash64("text"), "bytes": F.octet_length("text").cast("long")})
     parts = []
     for shard, n, arrays in _shards(model, entries):
         sent = spark.sparkContext.broadcast(arrays)
-        parts.append(stored(rows.select("doc_id", "key", "language", "bytes", _sums(F.col("text"), shard, n, sent).alias("total")), "scores"))
+        parts.append(stored(rows.select("doc_id", "key", "kept", "language", "bytes", _sums(F.col("text"), shard, n, sent).alias("total")), "scores"))
     if len(parts) == 1:
         return parts[0]
     sums = None
@@ -244,11 +246,26 @@ def log_perplexity(rows: DataFrame, model: DataFrame, entries: int = SHARD) -> D
     return stored(parts[0].drop("total").join(sums, "key"), "scores")
 
 
+def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose ``doc_id`` is among ``ids(trusted_id)``.
+
+    The texts stay where they are: the ids are sent in blocks of about ``IDS``, a bounded size, with a
+    pass over the rows for each.
+    """
+    blocks = max(1, -(-ids.count() // IDS))
+    out = None
+    for i in range(blocks):
+        block = ids.where(F.pmod(F.xxhash64("trusted_id"), F.lit(blocks)) == i)
+        part = rows.join(F.broadcast(block), rows["doc_id"] == block["trusted_id"], "left_semi")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def judge(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", language: str = "lang",
-    quantile: float = 0.99, margin: float = 2.0, prior: float = 200.0, entries: int = SHARD,
+    quantile: float = 0.99, margin: float = 2.0, prior: float = 200.0, entries: int = SHARD, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row for each row: id, ``key`` (hash of the text), ``log_perplexity`` (nats a byte), ``threshold``, ``accepted``.
+    """One row for each row: id, ``log_perplexity`` (nats a byte), ``threshold``, ``accepted``, then ``keep``.
 
     Trusted are the ids that ``labels`` (id, quality, toxic) call good and not toxic; repeated labels count once.
     The log perplexity is shrunk towards its language's mean as if by ``prior`` more bytes, as that of a
@@ -256,10 +273,10 @@ def judge(
     median to the ``quantile``.  A language without trusted rows, or null, has that of all trusted rows; without
     any, everything is accepted.  Null texts are empty; they and repeated rows are scored like others.
     """
-    rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(language), F.lit("")).alias("language"), text_or_empty(F.col(text)).alias("text"))
+    rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(language), F.lit("")).alias("language"), text_or_empty(F.col(text)).alias("text"), F.struct(F.lit(0), *keep).alias("kept"))
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
-    trusted = rows.join(good, rows["doc_id"] == good["trusted_id"], "left_semi")
-    model = train(trusted.select("text"))
+    good = stored(good, "trusted")
+    model = train(_of_ids(rows.select("doc_id", "text"), good).select("text"))
     scores = log_perplexity(rows, model, entries)
     known = scores.join(good, scores["doc_id"] == good["trusted_id"], "left_semi")
     means = known.groupBy("language").agg((-F.sum("total") / F.sum(F.col("bytes") + 1)).alias("mean"))
@@ -274,4 +291,5 @@ def judge(
     limits = shrunk(known).groupBy("language").agg(quantiles).select("language", border)
     whole = shrunk(known).agg(quantiles).select(border).first()[0]
     out = shrunk(scores).join(limits, "language", "left").withColumn("threshold", F.coalesce("border", F.lit(whole).cast("double")))
-    return out.select(F.col("doc_id").alias(id), "key", "log_perplexity", "threshold", F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(True)).alias("accepted"))
+    accepted = F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(True)).alias("accepted")
+    return out.select(F.col("doc_id").alias(id), "log_perplexity", "threshold", accepted, *[F.col("kept")[c].alias(c) for c in keep])
