@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontam import overlaps
+from .html_text import extract_pages
 from .kneser import judge
 from .langid import address_suffix, identify, markup_language
 from .preference import SQL as PREFERENCE_SQL, format_preferences, shortened_answers
@@ -40,6 +41,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = table(spark, sf_dir, "conversations")
     return format_preferences(chosen, shortened_answers(chosen))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_topk": op4_topk,
     "op5_warc": op5_warc,
+    "op6_main_text": op6_main_text,
     "op7_preferences": op7_preferences,
     "op8_language": op8_language,
     "page_language": page_language,
