@@ -29,6 +29,8 @@ ORDER = 5
 CHUNK, SHARD, SYMBOLS = 1 << 22, 1 << 21, 257
 #: Trusted ids that are sent at once.
 IDS = 1 << 21
+#: Languages with a threshold of their own, the most frequent among trusted rows; others share one.
+LANGUAGES = 256
 BEGIN, END = 2, 3  # control bytes that stand around a text
 
 
@@ -270,8 +272,8 @@ def judge(
     Trusted are the ids that ``labels`` (id, quality, toxic) call good and not toxic; repeated labels count once.
     The log perplexity is shrunk towards its language's mean as if by ``prior`` more bytes, as that of a
     short text varies.  The threshold of a language is its median over trusted rows plus ``margin`` times the distance from the
-    median to the ``quantile``.  A language without trusted rows, or null, has that of all trusted rows; without
-    any, everything is accepted.  Null texts are empty; they and repeated rows are scored like others.
+    median to the ``quantile``.  A language without trusted rows, null, or not among the 256 most frequent has that of
+    all trusted rows; without any, everything is accepted.  Null texts are empty; they and repeated rows are scored like others.
     """
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(language), F.lit("")).alias("language"), text_or_empty(F.col(text)).alias("text"), F.struct(F.lit(0), *keep).alias("kept"))
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
@@ -279,17 +281,19 @@ def judge(
     model = train(_of_ids(rows.select("doc_id", "text"), good).select("text"))
     scores = log_perplexity(rows, model, entries)
     known = scores.join(good, scores["doc_id"] == good["trusted_id"], "left_semi")
-    means = known.groupBy("language").agg((-F.sum("total") / F.sum(F.col("bytes") + 1)).alias("mean"))
+    means = known.groupBy("language").agg((-F.sum("total") / F.sum(F.col("bytes") + 1)).alias("mean"), F.count("*").alias("n"))
+    means = stored(means.orderBy(F.desc("n"), "language").limit(LANGUAGES).drop("n"), "means")
     mean = known.agg((-F.sum("total") / F.sum(F.col("bytes") + 1)).alias("m")).first()[0]
 
     def shrunk(df: DataFrame) -> DataFrame:
         m = F.coalesce("mean", F.lit(mean if mean is not None else 0.0))
-        return df.join(means, "language", "left").withColumn("log_perplexity", (m * prior - F.col("total")) / (F.col("bytes") + 1 + prior))
+        return df.join(F.broadcast(means), "language", "left").withColumn("log_perplexity", (m * prior - F.col("total")) / (F.col("bytes") + 1 + prior))
 
     quantiles = F.percentile_approx("log_perplexity", [0.5, quantile], F.lit(10000)).alias("q")
     border = (F.col("q")[0] + margin * (F.col("q")[1] - F.col("q")[0])).alias("border")
-    limits = shrunk(known).groupBy("language").agg(quantiles).select("language", border)
+    # One row a language: few, and added up before the shuffle; so no row moves by its language.
+    limits = stored(shrunk(known).where("mean is not null").groupBy("language").agg(quantiles).select("language", border), "limits")
     whole = shrunk(known).agg(quantiles).select(border).first()[0]
-    out = shrunk(scores).join(limits, "language", "left").withColumn("threshold", F.coalesce("border", F.lit(whole).cast("double")))
+    out = shrunk(scores).join(F.broadcast(limits), "language", "left").withColumn("threshold", F.coalesce("border", F.lit(whole).cast("double")))
     accepted = F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(True)).alias("accepted")
     return out.select(F.col("doc_id").alias(id), "log_perplexity", "threshold", accepted, *[F.col("kept")[c].alias(c) for c in keep])
