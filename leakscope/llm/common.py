@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
+#: Rows of a few numbers that may be broadcast: some 50 MB.
+SENT_ROWS = 1 << 20
+
 
 def ship(module: str) -> None:
     """Send the functions of a module to the executors by value: they need no copy of the package."""
@@ -30,5 +33,10 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """A stored table of few columns, sent to all executors if it has at most ``SENT_ROWS`` rows; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))

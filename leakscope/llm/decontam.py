@@ -29,8 +29,8 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 SHORT_MASKS = ((0, 1, 3, 4),)
 #: Tokens of test items that are sent at once.
 BLOCK = 1 << 20
-#: Tokens handled at once.
-CHUNK = 1 << 20
+#: Bytes of texts handled at once.
+CHUNK = 1 << 21
 
 
 def covers(masks: tuple = MASKS, window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> bool:
@@ -168,7 +168,7 @@ def _search(rows: DataFrame, sent, names: list, kept: int) -> DataFrame:
             texts = compute.fill_null(batch.column("text"), "")
             sizes = compute.binary_length(texts).to_numpy()
             while at < len(batch):
-                end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), 8 * CHUNK, "right")))
+                end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), CHUNK, "right")))
                 words = tokens(texts[at:end])
                 ends = np.concatenate([[0], np.cumsum(compute.list_value_length(words).to_numpy())])
                 ids = compute.fill_null(compute.index_in(words.flatten(), index.words), -1).to_numpy().astype(np.int64) + 1

@@ -26,7 +26,7 @@ ship(__name__)
 
 ORDER = 5
 #: Bytes handled at once, entries of a shard, and symbols that a position may have.
-CHUNK, SHARD, SYMBOLS = 1 << 22, 1 << 21, 257
+CHUNK, SHARD, SYMBOLS = 1 << 20, 1 << 21, 257
 #: Trusted ids that are sent at once.
 IDS = 1 << 21
 #: Languages with a threshold of their own, the most frequent among trusted rows; others share one.

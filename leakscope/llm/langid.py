@@ -22,7 +22,7 @@ from .common import ship, stored, text_or_empty
 ship(__name__)
 
 #: Size of the hashed trigram table, and bytes handled at once.
-BUCKETS, CHUNK = 1 << 15, 1 << 22
+BUCKETS, CHUNK = 1 << 15, 1 << 20
 #: Trigrams overlap, so each counts as this share of an independent observation.
 INDEPENDENT = 0.2
 

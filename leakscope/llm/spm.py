@@ -30,7 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 WORDS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n+|[^{BLANK}\n]+")
 #: Characters of text that are handled at once, and words whose pieces are kept between.
-CHUNK, KEPT = 1 << 21, 1 << 18
+CHUNK, KEPT = 1 << 20, 1 << 17
 NEVER = float("-inf")
 
 
@@ -127,7 +127,7 @@ class Encoder:
         """Forget what is kept beyond the limits."""
         if len(self.known) > KEPT:
             self.known.clear()
-        if sum(map(len, self.after.values())) > KEPT:
+        if sum(map(len, self.after.values())) > 2 * KEPT:
             self.after.clear()
 
 
