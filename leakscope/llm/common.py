@@ -12,6 +12,8 @@ from ..session import shared_dir
 
 #: Rows of a few numbers that may be broadcast: some 50 MB.
 SENT_ROWS = 1 << 20
+#: Bytes of an Arrow batch.
+BATCH = 4 << 20
 
 
 def ship(module: str) -> None:
@@ -33,6 +35,11 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH`` bytes, as texts may be long: bounds what a task holds on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def sent(df: DataFrame) -> DataFrame:
     """A stored table of few columns, sent to all executors if it has at most ``SENT_ROWS`` rows; else the join shuffles."""
     return F.broadcast(df) if df.count() <= SENT_ROWS else df

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import bounded_batches, ship, stored
 
 ship(__name__)
 
@@ -131,6 +131,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, id: str = "doc_id", text: str =
     whole, with at most one; shorter items prove nothing and take no part.  Null texts have no tokens.  Repeated
     rows and items are reported each.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id).alias("row_id"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
 

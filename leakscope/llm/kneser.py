@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_or_empty
+from .common import bounded_batches, ship, stored, text_or_empty
 
 ship(__name__)
 
@@ -275,6 +275,7 @@ def judge(
     median to the ``quantile``.  A language without trusted rows, null, or not among the 256 most frequent has that of
     all trusted rows; without any, everything is accepted.  Null texts are empty; they and repeated rows are scored like others.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(language), F.lit("")).alias("language"), text_or_empty(F.col(text)).alias("text"), F.struct(F.lit(0), *keep).alias("kept"))
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
     good = stored(good, "trusted")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_or_empty
+from .common import bounded_batches, ship, stored, text_or_empty
 
 ship(__name__)
 
@@ -153,6 +153,7 @@ def identify(
     letter or its confidence is below ``least``; without any labelled text, all languages are null and nothing
     is accepted.  Null texts are empty.  Repeated rows stay, and count again in the aggregates.
     """
+    bounded_batches(rows.sparkSession)
     of = lambda c: F.lit(None).cast("string") if c is None else F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
     named = rows.select(
         F.col(id).alias("doc_id"), text_or_empty(F.col(text)).alias("text"), of(declared).alias("declared"), of(host).alias("host"), of(suffix).alias("suffix"),

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_or_empty
+from .common import bounded_batches, ship, stored, text_or_empty
 from .components import components
 
 ship(__name__)
@@ -110,6 +110,7 @@ def simhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words
     smallest id of their component, null if it has none.  Equal fingerprints
     are one node, so copies cost nothing after the first aggregate.
     """
+    bounded_batches(docs.sparkSession)
     rows = stored(docs.select(F.col(id).alias("doc_id"), fingerprint(F.col(text), words).alias("fp"), *keep), "simhash")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     labels = components(links(nodes, max_bits))

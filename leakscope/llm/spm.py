@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import bounded_batches, ship
 
 ship(__name__)
 
@@ -219,6 +219,7 @@ def tokenize(docs: DataFrame, text: str = "text", path: str = MODEL, ids: str =
     A null text has no ids and its round trip is that of the empty text.  Texts that hold the blank mark
     itself, or are not valid UTF-8, do not come back.  Columns of these names are replaced.
     """
+    bounded_batches(docs.sparkSession)
     model = read_model(path)
     out = docs.withColumn(ids, encode(F.col(text), model))
     return out.withColumns({"n_tokens": F.size(ids), "round_trip": decode(F.col(ids), model) == F.coalesce(text, F.lit(""))})
