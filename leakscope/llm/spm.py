@@ -151,29 +151,62 @@ def _encoded(texts: list[str], encoder: Encoder):
     return pieces.take(arrow.array(order)).flatten().to_numpy(), np.diff(total[ends]).tolist()
 
 
+def _encoded_batch(batch: pa.Array, encoder: Encoder):
+    """Ids of all texts of a batch as (flat, ends of the texts), chunk by chunk."""
+    import numpy as np
+
+    flat, counts, chunk, size = [np.zeros(0, np.int32)], [], [], 0
+    for text in batch:
+        chunk.append(text.as_py())
+        size += len(chunk[-1])
+        if size >= CHUNK:
+            got, n = _encoded(chunk, encoder)
+            flat.append(got)
+            counts += n
+            chunk, size = [], 0
+    got, n = _encoded(chunk, encoder)
+    return np.concatenate([*flat, got]), np.concatenate([[0], np.cumsum(counts + n)]).astype(np.int32)
+
+
+def _decoded(flat, ends, surface: pa.Array) -> list[str]:
+    """Texts of ids; ``surface`` holds the bytes of each id, and nothing at its end for those outside."""
+    import numpy as np
+    import pyarrow as arrow
+    import pyarrow.compute as compute
+
+    out = []
+    for a in range(0, len(ends) - 1, 256):  # a few texts at a time: bounds the memory
+        cut = ends[a : a + 257].astype(np.int64)
+        ids = flat[cut[0] : cut[-1]]
+        ids = np.where((ids < 0) | (ids >= len(surface) - 1), len(surface) - 1, ids)
+        parts = arrow.LargeListArray.from_arrays(cut - cut[0], surface.take(arrow.array(ids)))
+        whole = compute.binary_join(parts, arrow.scalar(b"", arrow.large_binary()))
+        out += [x.removeprefix(b" ").decode("utf-8", "replace") for x in whole.to_pylist()]
+    return out
+
+
+def _surface(pieces: Pieces) -> pa.Array:
+    import pyarrow as arrow
+
+    return arrow.array([*pieces.surface, b""], arrow.large_binary())
+
+
 def encode(text: Column, model: bytes) -> Column:
-    """Array of piece ids; empty for null and empty texts."""
+    """Struct of ``ids`` (empty for null and empty texts) and ``same``: whether they decode to the text.
 
-    @F.arrow_udf("array<int>")
+    Encoding and its test by decoding run in one pass, so ids need not go back to a worker.
+    """
+
+    @F.arrow_udf("struct<ids: array<int>, same: boolean>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import numpy as np
         import pyarrow as arrow
 
         encoder = Encoder(Pieces(model))
+        surface = _surface(encoder.pieces)
         for batch in batches:
-            flat, counts, chunk, size = [np.zeros(0, np.int32)], [], [], 0
-            for text in batch:
-                chunk.append(text.as_py())
-                size += len(chunk[-1])
-                if size >= CHUNK:
-                    got, n = _encoded(chunk, encoder)
-                    flat.append(got)
-                    counts += n
-                    chunk, size = [], 0
-            got, n = _encoded(chunk, encoder)
-            offsets = np.zeros(len(batch) + 1, dtype=np.int32)
-            np.cumsum(counts + n, out=offsets[1:])
-            yield arrow.ListArray.from_arrays(offsets, np.concatenate([*flat, got]))
+            flat, ends = _encoded_batch(batch, encoder)
+            same = [a.as_py() == b for a, b in zip(batch, _decoded(flat, ends, surface))]
+            yield arrow.StructArray.from_arrays([arrow.ListArray.from_arrays(ends, flat), arrow.array(same, arrow.bool_())], names=["ids", "same"])
 
     return ids(F.coalesce(text, F.lit("")))
 
@@ -191,19 +224,11 @@ def decode(ids: Column, model: bytes) -> Column:
         import pyarrow as arrow
         import pyarrow.compute as compute
 
-        surface = arrow.array([*Pieces(model).surface, b""], arrow.large_binary())
+        surface = _surface(Pieces(model))
         for batch in batches:
             flat = compute.fill_null(batch.flatten(), -1).to_numpy(zero_copy_only=False)
-            flat = np.where((flat < 0) | (flat >= len(surface) - 1), len(surface) - 1, flat)
             counts = compute.list_value_length(batch).fill_null(0).to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            out = []
-            for a in range(0, len(batch), 256):  # a few texts at a time: bounds the memory
-                cut = ends[a : a + 257]
-                parts = arrow.LargeListArray.from_arrays(cut - cut[0], surface.take(arrow.array(flat[cut[0] : cut[-1]])))
-                whole = compute.binary_join(parts, arrow.scalar(b"", arrow.large_binary()))
-                out += [x.removeprefix(b" ").decode("utf-8", "replace") for x in whole.to_pylist()]
-            yield arrow.array(out, arrow.string())
+            yield arrow.array(_decoded(flat, np.concatenate([[0], np.cumsum(counts)]), surface), arrow.string())
 
     return texts(ids)
 
@@ -221,5 +246,5 @@ def tokenize(docs: DataFrame, text: str = "text", path: str = MODEL, ids: str =
     """
     bounded_batches(docs.sparkSession)
     model = read_model(path)
-    out = docs.withColumn(ids, encode(F.col(text), model))
-    return out.withColumns({"n_tokens": F.size(ids), "round_trip": decode(F.col(ids), model) == F.coalesce(text, F.lit(""))})
+    out = docs.withColumn("_encoded", encode(F.col(text), model))
+    return out.withColumns({ids: F.col("_encoded.ids"), "n_tokens": F.size("_encoded.ids"), "round_trip": F.col("_encoded.same")}).drop("_encoded")
