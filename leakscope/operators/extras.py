@@ -25,11 +25,12 @@ def entropy_tokens(df: DataFrame, text: str, *, keep: Sequence[str], threshold:
     return measured.where(F.col("entropy") >= threshold)
 
 
-def hybrid_topk(findings: DataFrame, query: str, k: int = 5, *, pool: int = 50, c: int = 60) -> DataFrame:
-    """Keyword and vector ranks merged by reciprocal rank; each list gives its first ``pool``."""
+def hybrid_topk(findings: DataFrame, query: str, k: int = 5, *, c: int = 60) -> DataFrame:
+    """Keyword and vector ranks of all findings merged by reciprocal rank."""
     check_positive("k", k)
-    words = keyword_topk(findings, query, pool).select("id", F.col("score").cast("double").alias("s"), F.lit("keyword").alias("how"))
-    near = finding_vector_topk(findings, query, pool).select("id", F.col("similarity").alias("s"), F.lit("vector").alias("how"))
+    everything = max(1, findings.count())
+    words = keyword_topk(findings, query, everything).select("id", F.col("score").cast("double").alias("s"), F.lit("keyword").alias("how"))
+    near = finding_vector_topk(findings, query, everything).select("id", F.col("similarity").alias("s"), F.lit("vector").alias("how"))
     both = words.unionByName(near)
     ranked = both.withColumn("r", F.row_number().over(Window.partitionBy("how").orderBy(F.col("s").desc(), "id")))
     merged = ranked.groupBy("id").agg(F.round(F.sum(1.0 / (c + F.col("r"))), 8).alias("score"), F.count(F.lit(1)).alias("lists"))

@@ -166,8 +166,8 @@ def graph_stats(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     return per_kind.unionByName(edge_table.agg(F.count(F.lit(1)).alias("n")).select(F.lit("edges").alias("kind"), "n"))
 
 
-def finding_paths(edge_table: DataFrame) -> DataFrame:
-    """Paths finding, weakness, category and mitigation.
+def finding_paths(edge_table: DataFrame, kb: KnowledgeBase) -> DataFrame:
+    """Paths finding, weakness, category and a mitigation of that category.
 
     There are few weaknesses, so their side is joined first and broadcast after a
     count; a shuffle on the weakness would put most findings in a few tasks.
@@ -175,7 +175,8 @@ def finding_paths(edge_table: DataFrame) -> DataFrame:
     def of(label: str, src: str, dst: str) -> DataFrame:
         return edge_table.where(F.col("label") == label).select(F.col("src").alias(src), F.col("dst").alias(dst))
 
-    weakness = of("belongs_to", "cwe", "owasp").join(of("fixed_by", "cwe", "mitigation"), "cwe")
+    pairs = kb.owasp_mitigation(edge_table.sparkSession).select(_id("owasp", "owasp_id").alias("owasp"), _id("mitigation", "mitigation_id").alias("mitigation"))
+    weakness = of("belongs_to", "cwe", "owasp").join(F.broadcast(pairs.distinct()), "owasp").join(of("fixed_by", "cwe", "mitigation"), ["cwe", "mitigation"])
     return of("is_instance_of", "finding", "cwe").join(small(weakness), "cwe").select("finding", "cwe", "owasp", "mitigation")
 
 

@@ -58,6 +58,8 @@ def pickaxe(lines: DataFrame, terms: Sequence[tuple[str, str, int]]) -> DataFram
     Lines without a term are dropped before the shuffle, and the sums are partial
     on the map side, so a commit of any size is one row per task.
     """
+    if not terms:  # nothing to look for
+        return lines.select("commit", "commit_ts", F.lit("").alias("term"), F.lit(0).alias("term_ord"), F.lit(0).cast("bigint").alias("files")).limit(0)
     holds = F.expr(
         "array("
         + ", ".join(

@@ -105,6 +105,9 @@ def keyword_topk_batch(
         )
         return top_per_key(scored, ["query_id"], _order(names), k)
 
+    if not queries:
+        nothing = keyword_topk(findings.limit(0), "-", k)
+        return nothing.select(F.lit("").alias("query_id"), F.lit(0).alias("rank"), "id", "summary", "severity", "snippet", "url", "score")
     blocks = [queries[i : i + QUERIES_PER_PASS] for i in range(0, len(queries), QUERIES_PER_PASS)]
     out = reduce(DataFrame.unionByName, [one_pass(b) for b in blocks])
     return out.select("query_id", "rank", "id", "summary", "severity", "snippet", "url", "score")
@@ -119,10 +122,15 @@ def context_line() -> Column:
     )
 
 
-def join_contexts(contexts: DataFrame, *, key: str = "query_id", rank: str = "rank") -> DataFrame:
-    """The contexts of each query as one text, in rank order.  A query has at most k contexts."""
+def contexts(rank: str) -> tuple[Column, Column]:
+    """Aggregates: the context lines in rank order, and their number."""
     lines = F.sort_array(F.collect_list(F.struct(F.col(rank).alias("r"), context_line().alias("line"))))
-    grouped = contexts.groupBy(key).agg(lines.alias("_lines"), F.count(F.lit(1)).alias("n_contexts"))
+    return lines.alias("_lines"), F.count(F.lit(1)).alias("n_contexts")
+
+
+def join_contexts(found: DataFrame, *, key: str = "query_id", rank: str = "rank") -> DataFrame:
+    """The contexts of each query as one text, in rank order.  A query has at most k contexts."""
+    grouped = found.groupBy(key).agg(*contexts(rank))
     return grouped.select(key, "n_contexts", F.array_join("_lines.line", "\n").alias("context"))
 
 

@@ -22,7 +22,7 @@ def top_per_key(
     if n > PUSHED_RANK:
         order_cols = [F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)).alias("_r")]
         df = (
-            df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(salts)))
+            df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t and "variant" not in t]), F.lit(salts)))
             .select("*", *order_cols)
             .where(F.col("_r") <= n)
             .drop("_salt", "_r")

@@ -13,6 +13,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer, RegexTokenizer
@@ -73,9 +74,11 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int | None = None) -> np.nd
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    expected = dim if dim is not None else int(sizes[0]) if n else 0
+    if (sizes != expected).any():
+        raise ValueError(f"vector dimension mismatch: expected {expected}, got {sizes[sizes != expected][0]}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if n and flat.size % n or (n and dim is not None and flat.size != n * dim):
-        raise ValueError(f"vector dimension mismatch: expected {dim}, got {flat.size / n:.1f} on average")
     return flat.reshape(n, -1) if n else np.zeros((0, dim or 0))
 
 

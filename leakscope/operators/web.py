@@ -7,6 +7,7 @@ A page has ``url``, a body column, ``status``, ``headers map`` and optionally
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,15 +165,16 @@ def crawl(
     edges: DataFrame,
     base_url: str,
     *,
-    max_pages: int | None = 300,
+    max_pages: int | None = None,
     same_host_only: bool = True,
-    max_depth: int = 1000,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Urls reached from ``base_url`` over ``(src, dst)`` links, with their depth.
 
     Breadth first: each level joins the last level with the edges and drops what
     was visited.  Edges and levels are checkpointed, so nothing is computed twice.  The
-    page budget takes nearer pages first, by url within a level; None has no budget.
+    page budget takes nearer pages first, by url within a level.  By default there is neither a
+    budget nor a greatest depth.
     """
     spark = edges.sparkSession
     if same_host_only:
@@ -180,7 +182,7 @@ def crawl(
     edges = cut_lineage(edges.select("src", "dst").distinct())
     visited = local_table(spark, [(base_url, 0)], "url string, depth int")
     frontier, total, depth = visited, 1, 0
-    while depth < max_depth and (max_pages is None or total < max_pages):
+    while (max_depth is None or depth < max_depth) and (max_pages is None or total < max_pages):
         depth += 1
         reached = (
             edges.join(frontier.select(F.col("url").alias("src")), "src", "left_semi")
@@ -198,8 +200,6 @@ def crawl(
         visited = visited.unionByName(frontier)
         if depth % COMPACT_LEVELS == 0:
             visited = cut_lineage(visited)
-    if max_pages is None or total < max_pages:
-        raise RuntimeError(f"more than {max_depth} levels; raise max_depth")
     return visited
 
 
@@ -207,13 +207,13 @@ def crawl(
 
 
 def exposed_paths(probes: DataFrame, *, paths: Sequence[str] = V.PROBE_PATHS) -> DataFrame:
-    """Well-known sensitive paths that answered with content.
+    """Well-known sensitive paths, at the root or below a folder, that answered with content.
 
     On a site with three or more such answers that are all the same text, they
     are relabelled as a catch-all page.  ``probes`` has ``host, url, status, body``.
     """
     hits = probes.where(
-        U.path("url").isin(*paths) & (F.col("status") == 200) & (F.trim(F.regexp_replace("body", r"\s+", " ")) != "")
+        reduce(lambda a, b: a | b, [U.path("url").endswith(p) for p in paths]) & (F.col("status") == 200) & F.col("body").rlike(r"\S")
     ).select(
         "host",
         "url",

@@ -67,8 +67,8 @@ def audit(
 def ask(found: DataFrame, question: str, k: int = 5) -> DataFrame:
     """One row: the question, the number of contexts and the full prompt."""
     best = retrieve.keyword_topk_batch(found, [("q", question)], k)
-    context = retrieve.join_contexts(best)
-    # A left side of one row keeps the answer when nothing matches.
-    asked = found.sparkSession.range(1).select(F.lit("q").alias("query_id"), F.lit(question).alias("question"))
-    joined = asked.join(F.broadcast(context), "query_id", "left")
-    return joined.select("question", F.coalesce("n_contexts", F.lit(0)).alias("n_contexts"), retrieve.prompt("context", "question").alias("prompt"))
+    # An aggregate without a group gives one row, also when nothing matches.
+    context = best.agg(*retrieve.contexts("rank"))
+    context = context.select("n_contexts", F.when(F.col("n_contexts") > 0, F.array_join("_lines.line", "\n")).alias("context"))
+    asked = context.withColumn("question", F.lit(question))
+    return asked.select("question", "n_contexts", retrieve.prompt("context", "question").alias("prompt"))

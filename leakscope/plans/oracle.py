@@ -531,7 +531,8 @@ add("graph_stats", """SELECT kind, coalesce(n, 0) AS n FROM (VALUES ('findings',
         ('mitigations', 'Mitigation'), ('attack_vectors', 'AttackVector'), ('code_examples', 'CodeExample')) v(kind, label)
     LEFT JOIN (SELECT label, count(*) AS n FROM node GROUP BY label) USING (label) UNION ALL SELECT 'edges', count(*) FROM edge""")
 add("graph_paths", """SELECT a.src AS finding, a.dst AS cwe, b.dst AS owasp, c.dst AS mitigation
-    FROM edge a JOIN edge b ON b.src = a.dst AND b.label = 'belongs_to' JOIN edge c ON c.src = a.dst AND c.label = 'fixed_by' WHERE a.label = 'is_instance_of'""")
+    FROM edge a JOIN edge b ON b.src = a.dst AND b.label = 'belongs_to' JOIN edge c ON c.src = a.dst AND c.label = 'fixed_by'
+    JOIN (SELECT DISTINCT 'owasp:' || owasp_id AS o, 'mitigation:' || mitigation_id AS m FROM owasp_mit) om ON om.o = b.dst AND om.m = c.dst WHERE a.label = 'is_instance_of'""")
 add("graph_successors", "SELECT e.dst, n.label AS dst_label, n.name AS dst_name, count(*) AS n FROM edge e JOIN node n ON n.id = e.dst WHERE e.label = 'is_instance_of' GROUP BY ALL")
 add("norm_finding_cwe", "SELECT DISTINCT finding_id, cwe_id, CAST(1.0 AS DOUBLE) AS confidence FROM enriched WHERE cwe_id IS NOT NULL")
 add("norm_owasp", """SELECT m.mitigation_id, ex.code_example, sum(c.n) AS findings FROM cwe_mit m
@@ -591,7 +592,6 @@ add("severity_by_minute", "SELECT ts - ts % 60 AS minute, severity, count(*) AS
 
 add("traffic_log_file", "SELECT stage, client, count(*) AS n, sum(ts) AS ts_sum FROM log GROUP BY stage, client")
 add("stream_traffic_counts", "SELECT stage, count(*) AS n FROM log GROUP BY stage")
-add("stream_severity_window", f"""SELECT ts - ts % 60 AS minute, severity, count(*) AS n FROM ({SPLIT})
-    WHERE ts - ts % 60 + 60 <= (SELECT max(ts) - 600 FROM ({SPLIT})) GROUP BY ALL""")
+add("stream_severity_window", f"""SELECT ts - ts % 60 AS minute, severity, count(*) AS n FROM ({SPLIT}) GROUP BY ALL""")
 add("stream_dedupe", f"SELECT DISTINCT finding_id, type FROM ({SPLIT})")
-add("stream_tail", "SELECT stage, count(*) AS n, min(ts) AS oldest FROM (SELECT * FROM log ORDER BY ts DESC LIMIT 200) GROUP BY stage")
+add("stream_tail", "SELECT stage, count(*) AS n, min(ts) AS oldest FROM (SELECT * FROM log ORDER BY ts DESC, url DESC, stage DESC LIMIT 200) GROUP BY stage")

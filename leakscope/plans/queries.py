@@ -561,7 +561,7 @@ def graph_paths(spark, d):
     """Paths in a graph that was written and read back."""
     path = shared_dir(spark, "graph")
     writers.write_graph(*G.build_graph(VW.log_findings(spark, d), KnowledgeBase()), path)
-    return G.finding_paths(readers.read_graph(spark, path)[1])
+    return G.finding_paths(readers.read_graph(spark, path)[1], KnowledgeBase())
 
 
 @query
@@ -707,13 +707,13 @@ def severity_by_minute(spark, d):
 # --- streams ----------------------------------------------------------------
 
 
-def write_log(spark, d, *, files: int = 4) -> str:
-    """The traffic log as NDJSON with blank and malformed lines, in event order."""
+def write_log(spark, d) -> str:
+    """The traffic log as NDJSON with blank and malformed lines, in event order; as many files as there are shuffle partitions."""
     path = shared_dir(spark, "log")
     log = VW.traffic_log(spark, d)
     record = F.to_json(F.struct(*[c for c in log.columns if c != "event_id"]))
     lines = F.when(VW.every("event_id", 500), F.array(record, F.lit(""), F.lit('{"ts": 17, "stage"'))).otherwise(F.array(record))
-    log.repartitionByRange(files, "ts").select(F.explode(lines).alias("value")).write.text(path)
+    log.repartitionByRange("ts").select(F.explode(lines).alias("value")).write.text(path)
     return path
 
 
@@ -733,10 +733,10 @@ def stream_traffic_counts(spark, d):
 
 @query
 def stream_severity_window(spark, d):
-    log = readers.stream_traffic_log(spark, write_log(spark, d))
-    out = shared_dir(spark, "windows")
+    path, out = write_log(spark, d), shared_dir(spark, "windows")
+    log = readers.stream_traffic_log(spark, path)
     TS.run_to_end(TS.append_to(TS.severity_windows(log), out, out + "-checkpoint"))
-    rows = spark.read.parquet(out)
+    rows = TS.with_open_windows(spark.read.parquet(out), readers.read_traffic_log(spark, path))
     return rows.select(F.unix_seconds("window_start").alias("minute"), "severity", "n")
 
 

@@ -28,6 +28,15 @@ def severity_windows(log: DataFrame, *, width: str = "1 minute", delay: str = "1
     return extras.severity_windows(findings, width=width)
 
 
+def with_open_windows(closed: DataFrame, log: DataFrame, *, width: str = "1 minute") -> DataFrame:
+    """Windows that the stream has closed, and the counts so far of those still open, from the log of a catch-up run."""
+    end = closed.agg(F.max(F.col("window_start") + F.expr(f"interval {width}"))).first()[0]
+    rest = with_event_time(traffic.split_log(log))
+    if end is not None:
+        rest = rest.where(F.col("event_time") >= F.lit(end))
+    return closed.unionByName(extras.severity_windows(rest, width=width).select(*closed.columns))
+
+
 def distinct_findings(findings: DataFrame, *, delay: str = "10 minutes") -> DataFrame:
     """The first finding of each id while its watermark state lives."""
     timed = with_event_time(findings).withWatermark("event_time", delay)
@@ -62,14 +71,14 @@ def current(spark, path: str) -> DataFrame:
 
 
 def tail(stream: DataFrame, path: str, checkpoint: str, n: int = 200, *, catch_up: bool = True) -> StreamingQuery:
-    """Keep the newest ``n`` log entries: each batch merges with what was kept before."""
+    """Keep the newest ``n`` log entries, ties by url and stage: each batch merges with what was kept before."""
 
     def save(batch: DataFrame, number: int) -> None:
         rows = batch
         if number > 0:
             spark = batch.sparkSession
             rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/batch={number - 1}"))
-        rows.orderBy(F.col("ts").desc()).limit(n).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows.orderBy(F.col("ts").desc(), F.col("url").desc(), F.col("stage").desc()).limit(n).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
     return _start(writer, catch_up)

@@ -131,7 +131,7 @@ def test_end_to_end(spark, three, tmp_path):
     assert edges.select("src", "dst").distinct().count() == edges.count()
     stats = {r.kind: r.n for r in G.graph_stats(n2, e2).collect()}
     assert stats["findings"] == 3 and stats["cwes"] >= 2 and stats["endpoints"] == 1
-    paths = G.finding_paths(e2)
+    paths = G.finding_paths(e2, KnowledgeBase())
     assert paths.select("finding").distinct().count() == 3
     assert {r.owasp for r in paths.where("cwe = 'cwe:CWE-798'").collect()} == {"owasp:A07"}
     next_ = G.successors(n2, e2, "cwe:CWE-798", "belongs_to").collect()
