@@ -6,7 +6,7 @@ are to be trusted, and which languages a host has, are grouped aggregates over a
 row counts with what its text alone says.  Host priors are smoothed towards those of the host's
 domain, and these towards the whole table.
 
-Only the trigram model is fitted on a bounded sample (``sample`` rows a language).
+Only the trigram model is fitted on a bounded sample (``sample`` distinct texts a language).
 """
 
 from __future__ import annotations
@@ -63,20 +63,43 @@ def _trigrams(texts):
             yield i, (((piece[:-2] << 16) | (piece[1:-1] << 8) | piece[2:]) * np.uint32(2654435761)) >> np.uint32(17)
 
 
+def _borders(labelled: DataFrame, counts: dict[str, int], sample: int) -> dict[str, int]:
+    """For each language the ``sample``-th smallest hash of its distinct texts, or the largest if it has fewer.
+
+    Only the lowest share of the hash range is sorted, some four times the sample for each language.  Where
+    copies leave too few distinct texts in that share, it is widened and looked at again.
+    """
+    hashed = labelled.select("language", F.xxhash64("text").alias("hash"))
+    order = Window.partitionBy("language").orderBy("hash")
+    shares, borders = {name: min(1.0, 4.0 * sample / n) for name, n in counts.items()}, {}
+    while shares:
+        low = reduce(
+            lambda a, b: a | b,
+            [(F.col("language") == name) & (F.col("hash") <= min(int(share * 2**64) - 2**63, 2**63 - 1)) for name, share in shares.items()],
+        )
+        near = hashed.where(low).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+        found = {r["language"]: r for r in near.groupBy("language").agg(F.max("n").alias("n"), F.max("hash").alias("border")).collect()}
+        for name in [x for x in shares if shares[x] == 1.0 or (x in found and found[x]["n"] == sample)]:
+            borders[name] = found[name]["border"]
+            del shares[name]
+        shares = {name: min(1.0, 16 * share) for name, share in shares.items()}
+    return borders
+
+
 def fit(rows: DataFrame, text: str, language: str, sample: int = 1000, languages: int = 64) -> tuple[list[str], object]:
     """Names of the languages and the table of log probabilities (bucket by language).
 
-    The ``languages`` most frequent values; for each the ``sample`` rows of lowest hash of the text.
+    The ``languages`` most frequent values; for each the ``sample`` distinct texts of lowest hash.
     """
     import numpy as np
 
     labelled = rows.select(F.col(text).alias("text"), F.col(language).alias("language")).where("language is not null and length(text) > 2")
-    common = [r["language"] for r in labelled.groupBy("language").count().orderBy(F.desc("count"), "language").limit(languages).collect()]
-    order = Window.partitionBy("language").orderBy("hash")
-    hashed = labelled.where(F.col("language").isin(common)).select("language", F.xxhash64("text").alias("hash"))
-    # Hashes only: the texts of the sample are fetched by those below the border of their language.
-    border = hashed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).groupBy("language").agg(F.max("hash").alias("border"))
-    chosen = labelled.join(F.broadcast(border), "language").where(F.xxhash64("text") <= F.col("border")).select("language", "text")
+    counted = labelled.groupBy("language").count().orderBy(F.desc("count"), "language").limit(languages).collect()
+    common = [r["language"] for r in counted]
+    borders = _borders(labelled, {r["language"]: r["count"] for r in counted}, sample)
+    border = reduce(lambda c, name: c.when(F.col("language") == name, borders[name]), common, F.when(F.lit(False), F.lit(0).cast("long")))
+    hashed = labelled.withColumn("hash", F.xxhash64("text"))
+    chosen = hashed.where(F.col("hash") <= border).groupBy("language", "hash").agg(F.min("text").alias("text")).select("language", "text")
 
     def count(batches):
         import numpy as np

@@ -273,6 +273,15 @@ def test_preferences(spark):
 # --- 8 ---------------------------------------------------------------------
 
 
+def test_language_sample_counts_copies_once(spark):
+    once = spark.createDataFrame([(lang, f"{word} number {i}") for lang, word in (("en", "house"), ("fr", "maison")) for i in range(60)], "lang string, text string")
+    copies = once.unionByName(spark.range(900).select(F.lit("en").alias("lang"), F.lit("house number 7").alias("text")))
+    for sample in (5, 40, 1000):
+        (names, table), (again, other) = langid.fit(once, "text", "lang", sample), langid.fit(copies, "text", "lang", sample)
+        assert names == again == ["en", "fr"] and (table == other).all()
+
+
+
 def test_language_of_held_out_texts(spark, sample):
     rows = sample.withColumn("train", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
     got = langid.identify(rows, declared=None, host=None, train="train", keep=("lang",)).where("doc_id % 2 = 1").collect()
