@@ -23,6 +23,8 @@ ship(__name__)
 
 #: Size of the hashed trigram table, and bytes handled at once.
 BUCKETS, CHUNK = 1 << 15, 1 << 20
+#: A value that holds more than one row in so many is joined by itself.
+FREQUENT = 1000
 #: Trigrams overlap, so each counts as this share of an independent observation.
 INDEPENDENT = 0.2
 
@@ -151,8 +153,25 @@ def _posterior(logs: Column) -> Column:
 
 
 def _sums(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """Sum of the text posteriors for each value of ``key``; added up before the shuffle."""
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.array(*[F.sum(F.col("p")[i]) for i in range(n)]).alias("s"))
+    """Sum of the text posteriors and number of rows for each value of ``key``; added up before the shuffle."""
+    added = F.array(*[F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)) for i in range(n)])
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(added.alias("s"), F.count("*").alias("n"))
+
+
+def _looked_up(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the column ``{key}_log`` of ``values(key, n, {key}_log)``, null where there is none.
+
+    Values with more than one row in ``FREQUENT`` are sent to the executors: there are fewer than ``FREQUENT``.
+    The others are joined by a shuffle, in which the rows that are served already, and those without a value,
+    are dealt out evenly.
+    """
+    name = f"{key}_log"
+    often = F.col("n") * FREQUENT > total
+    served = rows.join(F.broadcast(values.where(often).select(key, F.col(name).alias("_often"))), key, "left")
+    open_ = F.col(key).isNotNull() & F.col("_often").isNull()
+    served = served.withColumn("_salt", F.when(open_, F.lit(0).cast("long")).otherwise(F.xxhash64("doc_id", "logs").bitwiseOR(F.lit(1))))
+    rest = values.where(~often).select(key, F.col(name).alias("_rest"), F.lit(0).cast("long").alias("_salt"))
+    return served.join(rest, [key, "_salt"], "left").withColumn(name, F.coalesce("_often", "_rest")).drop("_often", "_rest", "_salt")
 
 
 def _smoothed(s: Column, parent: Column, weight: float) -> Column:
@@ -162,7 +181,7 @@ def _smoothed(s: Column, parent: Column, weight: float) -> Column:
 
 def _given_language(sums: DataFrame, key: str, whole: Column) -> DataFrame:
     """``log P(key | language)``, smoothed by a small count; one row for each value of ``key``."""
-    return sums.select(key, F.zip_with("s", whole, lambda x, t: F.log((x + 0.1) / (t + 1.0))).alias(f"{key}_log"))
+    return sums.select(key, "n", F.zip_with("s", whole, lambda x, t: F.log((x + 0.1) / (t + 1.0))).alias(f"{key}_log"))
 
 
 def identify(
@@ -190,19 +209,19 @@ def identify(
     seen = named.drop("label").withColumns({"logs": likelihood(F.col("text"), table), "letters": letters}).drop("text")
     seen = stored(seen.withColumn("p", F.when(F.col("letters"), _posterior(F.col("logs")))), "evidence")  # no texts: a few numbers a row
 
-    texts = seen.where("letters").select("host", "declared", "suffix", "p")
-    whole = texts.agg(*[F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).first()
+    whole = seen.agg(*[F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n)], F.count("*").alias("n")).first()
+    *whole, rows_seen = whole
     total = sum(whole) + n
     everywhere = F.array(*[F.lit((s + 1.0) / total) for s in whole])
     sums = F.array(*[F.lit(float(s)) for s in whole])
 
-    hosts = _sums(texts, "host", n).withColumn("domain", domain(F.col("host")))
+    hosts = _sums(seen, "host", n).withColumn("domain", domain(F.col("host")))
     domains = hosts.groupBy("domain").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(n)]).alias("d"))
     domains = domains.select("domain", _smoothed(F.col("d"), everywhere, weight).alias("d"))
-    priors = hosts.join(domains, "domain").select("host", F.transform(_smoothed(F.col("s"), F.col("d"), weight), lambda x: F.log(x)).alias("host_log"))
-    out = seen.join(priors, "host", "left")
+    priors = hosts.join(domains, "domain").select("host", "n", F.transform(_smoothed(F.col("s"), F.col("d"), weight), lambda x: F.log(x)).alias("host_log"))
+    out = _looked_up(seen, priors, "host", rows_seen)
     for key in ("declared", "suffix"):
-        out = out.join(_given_language(_sums(texts, key, n), key, sums), key, "left")
+        out = _looked_up(out, _given_language(_sums(seen, key, n), key, sums), key, rows_seen)
     zero = F.array(*[F.lit(0.0)] * n)
     parts = ["logs", F.coalesce("host_log", F.transform(everywhere, lambda x: F.log(x))), F.coalesce("declared_log", zero), F.coalesce("suffix_log", zero)]
     added = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts)

@@ -297,6 +297,15 @@ def test_evidence_decides_for_texts_that_say_nothing(spark, sample):
     assert langid.identify(odd.limit(0)).count() == 0
 
 
+def test_lookup_of_frequent_and_rare_values(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2] if i % 5 else None, [float(i)]) for i in range(40)], "doc_id long, host string, logs array<double>")
+    values = spark.createDataFrame([("a", 39, 1.0), ("b", 1, 2.0), ("c", 0, 3.0)], "host string, n long, host_log double")
+    for total in (1, 20_000, 10**9):  # all frequent, one of them, none
+        got = langid._looked_up(rows, values, "host", total).collect()
+        assert sorted(r.doc_id for r in got) == list(range(40))
+        assert all(r.host_log == {"a": 1.0, "b": 2.0, None: None}[r.host] for r in got)
+
+
 def test_markup_and_suffix(spark):
     row = spark.range(1).select(langid.markup_language(F.lit('<!doctype html><HTML class=x lang="fr-CA">')).alias("m"), langid.address_suffix(F.lit("a.b.De:80")).alias("s"), langid.address_suffix(F.lit("src1")).alias("n")).first()
     assert tuple(row) == ("fr", "de", None)
