@@ -169,9 +169,12 @@ def _looked_up(rows: DataFrame, values: DataFrame, key: str, total: int) -> Data
     often = F.col("n") * FREQUENT > total
     served = rows.join(F.broadcast(values.where(often).select(key, F.col(name).alias("_often"))), key, "left")
     open_ = F.col(key).isNotNull() & F.col("_often").isNull()
-    served = served.withColumn("_salt", F.when(open_, F.lit(0).cast("long")).otherwise(F.xxhash64("doc_id", "logs").bitwiseOR(F.lit(1))))
-    rest = values.where(~often).select(key, F.col(name).alias("_rest"), F.lit(0).cast("long").alias("_salt"))
-    return served.join(rest, [key, "_salt"], "left").withColumn(name, F.coalesce("_often", "_rest")).drop("_often", "_rest", "_salt")
+    # Not a column of its own: a constant on one side would be folded and not take part in the shuffle.
+    dealt = F.concat(F.lit("\0"), F.xxhash64("doc_id", "logs").cast("string"))
+    served = served.withColumns({"_open": open_, "_at": F.when(open_, F.col(key)).otherwise(dealt)})
+    rest = values.where(~often).select(F.col(key).alias("_at"), F.col(name).alias("_rest"))
+    found = F.coalesce("_often", F.when(F.col("_open"), F.col("_rest")))
+    return served.join(rest, "_at", "left").withColumn(name, found).drop("_often", "_rest", "_open", "_at")
 
 
 def _smoothed(s: Column, parent: Column, weight: float) -> Column:
