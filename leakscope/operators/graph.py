@@ -18,6 +18,12 @@ from .findings import endpoints, latest
 
 NODE_LABELS = ("Finding", "Endpoint", "CWE", "OWASP", "Mitigation", "AttackVector", "CodeExample")
 EDGE_LABELS = ("found_at", "is_instance_of", "exploitable_via", "belongs_to", "fixed_by", "demonstrates", "targets")
+#: Edges that lead to nodes of the knowledge base, of which there are few; the others lead to endpoints.
+KNOWLEDGE_EDGES = ("is_instance_of", "exploitable_via", "belongs_to", "fixed_by", "demonstrates")
+#: Where a finding was seen and what it looked like.
+EVIDENCE = (
+    "description", "url", "method", "client", "header", "field", "commit", "path", "location", "key", "original_length", "status",
+)
 STATS = ("findings", "endpoints", "cwes", "owasps", "mitigations", "attack_vectors", "code_examples")
 
 
@@ -66,6 +72,12 @@ def _attrs(*cols: str) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
+def evidence() -> Column:
+    """Metadata of a finding together with all that says where it was seen, as one map."""
+    seen, own = _attrs(*EVIDENCE), F.coalesce("metadata", F.expr("CAST(map() AS map<string,string>)"))
+    return F.map_concat(seen, F.map_filter(own, lambda k, _: ~F.map_contains_key(seen, k)))
+
+
 def _node(df: DataFrame, label: str, prefix: str, key: str, name: str, *attrs: str) -> DataFrame:
     return df.select(
         _id(prefix, key).alias("id"), F.lit(label).alias("label"), F.col(name).alias("name"), _attrs(*attrs).alias("attrs")
@@ -114,12 +126,13 @@ def nodes(findings: DataFrame, kb: KnowledgeBase, known: DataFrame | None = None
     """All nodes.  Weaknesses and attack vectors exist only where a finding has them."""
     spark = findings.sparkSession
     hit = (facts(findings, kb) if known is None else known).select("cwe_id").distinct()
+    rows = latest(findings).withColumn("metadata", F.to_json(evidence()))
     vectors = hit.join(kb.attack_vectors(spark), "cwe_id").select("vector_id", "attack_type", "name").distinct()
     return reduce(
         DataFrame.unionByName,
         [
-            _node(latest(findings), "Finding", "finding", "finding_id", "summary",
-                  "type", "severity", "source", "summary", "snippet", "pattern", "url", "ts", "scan_id", "occurrence_count"),
+            _node(rows, "Finding", "finding", "finding_id", "summary",
+                  "type", "severity", "source", "summary", "snippet", "pattern", "ts", "scan_id", "occurrence_count", *EVIDENCE, "metadata"),
             _node(endpoints(findings), "Endpoint", "endpoint", "endpoint_id", "url", "url", "method", "first_seen", "last_seen"),
             _node(kb.cwe(spark).join(hit, "cwe_id", "left_semi"), "CWE", "cwe", "cwe_id", "name", "cwe_id", "severity", "description"),
             _node(vectors, "AttackVector", "attack_vector", "vector_id", "name", "attack_type"),
@@ -181,13 +194,23 @@ def finding_paths(edge_table: DataFrame, kb: KnowledgeBase) -> DataFrame:
 
 
 def successors(node_table: DataFrame, edge_table: DataFrame, src: str | Column, label: str | None = None) -> DataFrame:
-    """Neighbours of a node, or of all nodes whose id starts with a prefix like ``cwe:``."""
+    """Neighbours of a node, or of all nodes whose id starts with a prefix like ``cwe:``.
+
+    Most findings share a few weaknesses, so nodes of the knowledge base are broadcast after a count; only
+    edges to endpoints are joined by a shuffle.
+    """
     start = F.col("src").startswith(src) if isinstance(src, str) and src.endswith(":") else F.col("src") == src
     out = edge_table.where(start)
     if label is not None:
         out = out.where(F.col("label") == label)
     right = node_table.select(F.col("id").alias("dst"), F.col("label").alias("dst_label"), F.col("name").alias("dst_name"))
-    return out.join(right, "dst").select("src", "label", "dst", "dst_label", "dst_name")
+    known, seen = F.col("label").isin(*KNOWLEDGE_EDGES), F.col("dst_label").isin("Finding", "Endpoint")
+    parts = []
+    if label is None or label in KNOWLEDGE_EDGES:
+        parts.append(out.where(known).join(small(right.where(~seen)), "dst"))
+    if label is None or label not in KNOWLEDGE_EDGES:
+        parts.append(out.where(~known).join(right, "dst"))
+    return reduce(DataFrame.unionByName, parts).select("src", "label", "dst", "dst_label", "dst_name")
 
 
 # --- relational form --------------------------------------------------------
@@ -206,7 +229,7 @@ def store_tables(findings: DataFrame, kb: KnowledgeBase) -> dict[str, DataFrame]
             F.coalesce("source", F.lit("unknown")).alias("source"),
             F.coalesce("summary", F.lit("")).alias("summary"),
             F.coalesce("snippet", F.lit("[REDACTED]")).alias("snippet"),
-            F.to_json("metadata").alias("metadata"),
+            F.to_json(evidence()).alias("metadata"),
             F.coalesce("scan_id", F.lit("default")).alias("scan_id"),
             F.col("ts").alias("timestamp"),
         ),
@@ -225,6 +248,19 @@ def store_tables(findings: DataFrame, kb: KnowledgeBase) -> dict[str, DataFrame]
     }
 
 
+def merge_tables(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The store after an upsert: a new row replaces the old one of its key, old rows without a new one stay.
+
+    Keys are unique on both sides, so the anti joins have no hot keys.  An endpoint keeps the first time it was
+    seen.  The tables of the knowledge base are those of ``new``.
+    """
+    keys = {"findings": ["finding_id"], "cwe_entries": ["cwe_id"], "finding_cwe_map": ["finding_id", "cwe_id"]}
+    merged = {n: old[n].join(new[n].select(*k), k, "left_anti").unionByName(new[n]) for n, k in keys.items()}
+    seen = old["endpoints"].unionByName(new["endpoints"]).groupBy("endpoint_id", "url", "method")
+    merged["endpoints"] = seen.agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    return {n: merged.get(n, df) for n, df in new.items()}
+
+
 def store_stats(tables: dict[str, DataFrame]) -> DataFrame:
     """Row counts of the four main tables."""
     names = {"findings": "findings", "endpoints": "endpoints", "cwes": "cwe_entries", "finding_cwe_maps": "finding_cwe_map"}

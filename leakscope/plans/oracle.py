@@ -299,7 +299,10 @@ def add(name: str, body: str) -> None:
 
 # --- sources ----------------------------------------------------------------
 
-add("read_report", "SELECT source, severity, count(*) AS n FROM finding GROUP BY source, severity")
+add("read_report", "SELECT source, severity, count(*) AS n, min(finding_id) AS first_id, max(url) AS last_url FROM finding GROUP BY source, severity")
+add("audit_summary", """SELECT 'events' AS target, 'stats' AS kind, source AS name, count(*) AS n FROM finding GROUP BY source
+    UNION ALL SELECT 'events', 'severities', severity, coalesce(n, 0) FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('INFO')) v(severity)
+        LEFT JOIN (SELECT severity, count(*) AS n FROM finding GROUP BY severity) USING (severity)""")
 add("text_files", "SELECT pattern, count(*) AS line_hits FROM ("
     + hits("(SELECT l.* FROM doc_lines l JOIN documents d USING (doc_id) WHERE lang <> 'de')", "doc_id", "line") + ") GROUP BY pattern")
 add("pattern_catalog", f"""SELECT raw_name, name, regex, coalesce(docs, 0) AS docs
@@ -534,6 +537,14 @@ add("graph_paths", """SELECT a.src AS finding, a.dst AS cwe, b.dst AS owasp, c.d
     FROM edge a JOIN edge b ON b.src = a.dst AND b.label = 'belongs_to' JOIN edge c ON c.src = a.dst AND c.label = 'fixed_by'
     JOIN (SELECT DISTINCT 'owasp:' || owasp_id AS o, 'mitigation:' || mitigation_id AS m FROM owasp_mit) om ON om.o = b.dst AND om.m = c.dst WHERE a.label = 'is_instance_of'""")
 add("graph_successors", "SELECT e.dst, n.label AS dst_label, n.name AS dst_name, count(*) AS n FROM edge e JOIN node n ON n.id = e.dst WHERE e.label = 'is_instance_of' GROUP BY ALL")
+EVIDENCE = "CAST(json_object('description', summary, 'url', url, 'method', method, 'client', source) AS VARCHAR)"
+add("graph_finding_attrs", f"""SELECT 'finding:' || finding_id AS id, url, method, summary AS description, severity,
+    CAST(occurrence_count AS VARCHAR) AS occurrence_count, {EVIDENCE} AS metadata FROM latest""")
+add("norm_findings", f"""SELECT finding_id, type, severity, source, summary, '[REDACTED]' AS snippet, {EVIDENCE} AS metadata,
+    'default' AS scan_id, ts AS "timestamp" FROM latest""")
+add("store_merge", f"""SELECT finding_id, severity, source, ts AS "timestamp", {EVIDENCE} AS metadata FROM (
+    SELECT *, ts >= {VW.SCAN_B_START} AS second FROM finding WHERE ts < {VW.SCAN_A_END} OR ts >= {VW.SCAN_B_START})
+    QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY second DESC, ts DESC, url DESC, method DESC, severity DESC, pattern DESC NULLS LAST) = 1""")
 add("norm_finding_cwe", "SELECT DISTINCT finding_id, cwe_id, CAST(1.0 AS DOUBLE) AS confidence FROM enriched WHERE cwe_id IS NOT NULL")
 add("norm_owasp", """SELECT m.mitigation_id, ex.code_example, sum(c.n) AS findings FROM cwe_mit m
     JOIN (SELECT cwe_id, count(DISTINCT finding_id) AS n FROM enriched GROUP BY cwe_id) c ON c.cwe_id = m.cwe_id

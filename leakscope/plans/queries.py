@@ -62,12 +62,21 @@ def diff_table(spark, d) -> DataFrame:
 
 @query
 def read_report(spark, d):
-    """Findings written as one report object and read back."""
+    """All findings written as a report folder and read back."""
     path = shared_dir(spark, "report")
-    rows = FN.severity_rollup(VW.log_findings(spark, d)).where("source is not null and severity is not null")
-    report = rows.select(F.lit("group").alias("type"), "source", "severity", F.col("n").alias("ts"))
-    writers.write_report_object(report, path, target="events")
-    return readers.read_report(spark, path).select("source", "severity", F.col("ts").alias("n"))
+    writers.write_report(VW.log_findings(spark, d), path, target="events")
+    found = FN.normalize(readers.read_report(spark, path))
+    return found.groupBy("source", "severity").agg(F.count(F.lit(1)).alias("n"), F.min("finding_id").alias("first_id"), F.max("url").alias("last_url"))
+
+
+@query
+def audit_summary(spark, d):
+    """The counts of a written report."""
+    path = shared_dir(spark, "report")
+    writers.write_report(VW.log_findings(spark, d), path, target="events")
+    summary = readers.read_report_summary(spark, path)
+    counts = [summary.select("target", F.lit(c).alias("kind"), F.explode(c).alias("name", "n")) for c in ("stats", "severities")]
+    return counts[0].unionByName(counts[1])
 
 
 @query
@@ -571,6 +580,28 @@ def graph_successors(spark, d):
     return found.groupBy("dst", "dst_label", "dst_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def graph_finding_attrs(spark, d):
+    """What a finding node says about the place of the finding."""
+    nodes = G.nodes(VW.log_findings(spark, d), KnowledgeBase()).where("label = 'Finding'")
+    return nodes.select("id", *[F.col("attrs")[c].alias(c) for c in ("url", "method", "description", "severity", "occurrence_count", "metadata")])
+
+
+@query
+def norm_findings(spark, d):
+    return G.store_tables(VW.log_findings(spark, d), KnowledgeBase())["findings"]
+
+
+@query
+def store_merge(spark, d):
+    """A second scan upserted into the store of a first one."""
+    found, kb = VW.log_findings(spark, d), KnowledgeBase()
+    first, both = shared_dir(spark, "store"), shared_dir(spark, "store")
+    writers.write_store(G.store_tables(found.where(F.col("ts") < VW.SCAN_A_END), kb), first)
+    writers.merge_store(G.store_tables(found.where(F.col("ts") >= VW.SCAN_B_START), kb), first, both)
+    return readers.read_store(spark, both)["findings"].select("finding_id", "severity", "source", "timestamp", "metadata")
+
+
 @query
 def norm_finding_cwe(spark, d):
     return G.store_tables(VW.log_findings(spark, d), KnowledgeBase())["finding_cwe_map"]

@@ -42,11 +42,20 @@ class ReportError(ValueError):
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """Findings of audit reports: JSON objects with a ``findings`` list.
+    """Findings of audit reports: a folder of ``write_report``, or JSON objects with a ``findings`` list.
 
     Raises FileNotFoundError for a missing path and ReportError for an empty
     file, broken JSON or an object without ``findings``; an empty list only warns.
     """
+    lines = spark.read.schema(f"{REPORT_FINDING}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT)
+    try:
+        rows = lines.json(f"{path.rstrip('/')}/findings")
+    except AnalysisException:  # not a folder of write_report
+        pass
+    else:
+        # A broken line fails the job that meets it: the findings are not read twice for the test.
+        broken = F.concat(F.lit(f"report is not valid JSON: {path}: "), F.substring(CORRUPT, 1, 80))
+        return rows.where(F.when(F.col(CORRUPT).isNull(), True).otherwise(F.raise_error(broken).cast("boolean"))).drop(CORRUPT)
     reader = spark.read.schema(f"{REPORT}, {CORRUPT} string").option("multiLine", True)
     try:
         reports = reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
@@ -69,6 +78,11 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return reports.select(F.inline("findings"))
 
 
+def read_report_summary(spark: SparkSession, path: str) -> DataFrame:
+    """``timestamp, target, stats, severities`` of a folder of ``write_report``."""
+    return spark.read.schema(REPORT.split(", findings array")[0]).json(f"{path.rstrip('/')}/summary")
+
+
 def _valid_lines(df: DataFrame) -> DataFrame:
     """Rows of NDJSON that parsed; malformed lines are skipped."""
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)

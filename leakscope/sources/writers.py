@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.findings import severity_summary
+from ..operators.graph import merge_tables
 
 MAX_OBJECT_ROWS = 100_000
 STORE_TABLES = (
@@ -23,12 +24,24 @@ def write_ndjson(rows: DataFrame, path: str, *, mode: str = "append") -> None:
 
 
 def write_report(findings: DataFrame, path: str, *, target: str, mode: str = "overwrite") -> None:
-    """A report folder: ``findings`` as NDJSON and ``summary`` with counts per severity and source."""
-    findings.write.mode(mode).json(f"{path.rstrip('/')}/findings")
+    """A report folder that ``read_report`` reads: ``findings``, one JSON object a line, and ``summary``.
+
+    The summary is one object with time, target, counts per source (``stats``) and per severity.  It is made
+    from the counts alone, of which there are as many as sources and severities.
+    """
+    rows = findings.withColumnRenamed("finding_id", "id") if "id" not in findings.columns else findings
+    rows.write.mode(mode).json(f"{path.rstrip('/')}/findings")
     severities = severity_summary(findings).select(F.lit("severity").alias("kind"), F.col("severity").alias("name"), "n")
-    sources = findings.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select(F.lit("source").alias("kind"), F.col("source").alias("name"), "n")
-    summary = severities.unionByName(sources).withColumn("target", F.lit(target))
-    summary.coalesce(1).write.mode(mode).json(f"{path.rstrip('/')}/summary")
+    sources = findings.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select(F.lit("source").alias("kind"), F.coalesce("source", F.lit("")).alias("name"), "n")
+    counts = severities.unionByName(sources)
+
+    def counted(kind: str):
+        return F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("name", "n")))))
+
+    summary = counts.agg(counted("source").alias("stats"), counted("severity").alias("severities")).select(
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.lit(target).alias("target"), "stats", "severities"
+    )
+    summary.write.mode(mode).json(f"{path.rstrip('/')}/summary")
 
 
 def write_report_object(findings: DataFrame, path: str, *, target: str, max_rows: int = MAX_OBJECT_ROWS) -> None:
@@ -56,5 +69,13 @@ def write_store(tables: dict[str, DataFrame], path: str, *, mode: str = "overwri
         writer.parquet(f"{path.rstrip('/')}/{name}")
 
 
+def merge_store(tables: dict[str, DataFrame], path: str, into: str) -> None:
+    """The store at ``path`` with ``tables`` upserted, written to ``into``: a lost job leaves the old store whole."""
+    from .readers import read_store
+
+    spark = tables["findings"].sparkSession
+    write_store(merge_tables(read_store(spark, path), tables), into, mode="errorifexists")
+
+
 def write_vectors(vectors: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     vectors.write.mode(mode).parquet(path)

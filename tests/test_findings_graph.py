@@ -55,7 +55,45 @@ def test_report_round_trip(spark, three, tmp_path):
     with pytest.raises(ValueError, match="write_report"):
         writers.write_report_object(three, str(tmp_path / "big"), target="t", max_rows=2)
     writers.write_report(three, str(tmp_path / "folder"), target="t")
-    assert spark.read.json(str(tmp_path / "folder/findings")).count() == 3
+    back = FN.normalize(readers.read_report(spark, str(tmp_path / "folder")))
+    assert collect(back.select("finding_id", "type", "url", "ts")) == collect(three.select("finding_id", "type", "url", "ts"))
+    summary = readers.read_report_summary(spark, str(tmp_path / "folder")).first()
+    assert summary.target == "t" and summary.stats == {"browser": 1, "git": 1, "mitm": 1}
+    assert summary.severities == {"CRITICAL": 1, "HIGH": 1, "MEDIUM": 1, "LOW": 0, "INFO": 0}
+    (tmp_path / "folder/findings/broken.json").write_text('{"type": \n')
+    with pytest.raises(Exception, match="not valid JSON"):
+        readers.read_report(spark, str(tmp_path / "folder")).collect()
+
+
+def test_evidence_reaches_graph_and_store(spark):
+    raw = spark.createDataFrame(
+        [("a", "c0ffee", "src/x.py", "x"), ("b", None, None, None)], "type string, commit string, path string, extra string"
+    )
+    found = FN.normalize(raw)
+    stored = {r.type: json.loads(r.metadata) for r in G.store_tables(found, KnowledgeBase())["findings"].collect()}
+    assert stored == {"a": {"commit": "c0ffee", "path": "src/x.py", "extra": "x"}, "b": {}}
+    nodes = {r.attrs["type"]: r.attrs for r in G.nodes(found, KnowledgeBase()).where("label = 'Finding'").collect()}
+    assert nodes["a"]["commit"] == "c0ffee" and json.loads(nodes["a"]["metadata"]) == stored["a"] and "path" not in nodes["b"]
+    # A metadata entry of the same name as a column gives way to it, and stays where the column is null.
+    own = FN.as_findings(raw.withColumn("m", F.expr("map('path', 'old')")), type=F.col("type"), path="path", metadata="m")
+    stored = {r.type: json.loads(r.metadata) for r in G.store_tables(own, KnowledgeBase())["findings"].collect()}
+    assert stored == {"a": {"path": "src/x.py"}, "b": {"path": "old"}}
+
+
+def test_store_merge(spark, tmp_path):
+    kb = KnowledgeBase()
+    rows = [("1", "a", "LOW", 5, "https://h/x", "GET"), ("2", "api_key_in_header", "HIGH", 6, "https://h/y", "GET")]
+    again = [("1", "a", "HIGH", 1, "https://h/x", "GET"), ("3", "plaintext_password", "INFO", 9, "https://h/x", "GET")]
+    first, second = (
+        FN.normalize(spark.createDataFrame(r, "id string, type string, severity string, ts long, url string, method string")) for r in (rows, again)
+    )
+    writers.write_store(G.store_tables(first, kb), str(tmp_path / "one"))
+    writers.merge_store(G.store_tables(second, kb), str(tmp_path / "one"), str(tmp_path / "two"))
+    store = readers.read_store(spark, str(tmp_path / "two"))
+    assert collect(store["findings"].select("finding_id", "severity")) == [("1", "HIGH"), ("2", "HIGH"), ("3", "INFO")]
+    assert collect(store["endpoints"].select("url", "first_seen", "last_seen")) == [("https://h/x", 1, 9), ("https://h/y", 6, 6)]
+    ids = [r.cwe_id for r in store["cwe_entries"].collect()]
+    assert len(ids) == len(set(ids)) and {r.finding_id for r in store["finding_cwe_map"].collect()} == {"2", "3"}
 
 
 # --- findings ---------------------------------------------------------------
