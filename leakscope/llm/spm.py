@@ -14,9 +14,9 @@ The vocabulary is fixed and given; its bytes are sent with the task, so executor
 
 from __future__ import annotations
 
-import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,9 +28,8 @@ ship(__name__)
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-WORDS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n+|[^{BLANK}\n]+")
-#: Characters of text that are handled at once, and words whose pieces are kept between.
-CHUNK, KEPT = 1 << 20, 1 << 17
+#: Bytes of text that are handled at once, and words whose pieces are kept between.
+CHUNK, KEPT = 1 << 22, 1 << 18
 NEVER = float("-inf")
 
 
@@ -78,10 +77,10 @@ class Encoder:
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.known = pieces, {}
-        self.after: dict[str, dict[str, bool]] = {}  # piece -> pieces that may or may not follow it
+        self.after: dict[str, dict[str, bool]] = defaultdict(dict)  # piece -> pieces that may or may not follow it
 
     def encode(self, words: list[str]) -> None:
-        """Put the ids of all ``words`` into ``known``."""
+        """Put the ids of all ``words`` into ``known``, as the bytes of 32-bit numbers."""
         ids, starts, merged = self.pieces.ids, self.pieces.starts, self.pieces.merged
         byte, unknown, known, after = self.pieces.bytes, self.pieces.unknown, self.known, self.after
         # By length of the prefix: its last piece, where that begins, what may follow it, and from where a piece may still go on.
@@ -106,7 +105,7 @@ class Encoder:
                         if may:
                             last.append(piece)
                             begin.append(s)
-                            nexts.append(after.setdefault(piece, {}))
+                            nexts.append(after[piece])
                             found = True
                 going.append(on)
             out, d = [], n
@@ -120,7 +119,7 @@ class Encoder:
                     out.append(unknown)
                 d = begin[d]
             out.reverse()
-            known[word] = tuple(out)
+            known[word] = array("i", out).tobytes()  # no object for each id
             before = word
 
     def bound(self) -> None:
@@ -131,41 +130,65 @@ class Encoder:
             self.after.clear()
 
 
-def _encoded(texts: list[str], encoder: Encoder):
+def _words(texts: pa.Array):
+    """Marked words of all texts as one array, and where those of each text begin and end in it.
+
+    A word begins with a text, a run of marks, a run of line feeds, or what follows such a run.
+    """
+    import numpy as np
+    import pyarrow as arrow
+    import pyarrow.compute as compute
+
+    large = arrow.large_string()
+    marked = compute.replace_substring(texts.cast(large), " ", BLANK)
+    first = compute.if_else(compute.equal(compute.binary_length(marked), 0), arrow.scalar("", large), arrow.scalar(BLANK, large))
+    marked = compute.binary_join_element_wise(first, marked, arrow.scalar("", large))
+    ends = np.frombuffer(marked.buffers()[1], dtype=np.int64)[marked.offset : marked.offset + len(marked) + 1]
+    data = np.frombuffer(marked.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    ends, mark = ends - ends[0], BLANK.encode()
+    blank, line, start = np.zeros(len(data), bool), data == ord("\n"), np.zeros(len(data), bool)
+    blank[:-2] = (data[:-2] == mark[0]) & (data[1:-1] == mark[1]) & (data[2:] == mark[2])
+    start |= blank
+    start[len(mark) :] &= ~blank[: -len(mark)]
+    start[1:] |= line[1:] != line[:-1]
+    start[ends[:-1][ends[:-1] < ends[1:]]] = True
+    at = np.flatnonzero(start)
+    words = arrow.LargeStringArray.from_buffers(len(at), arrow.py_buffer(np.append(at, len(data))), arrow.py_buffer(data))
+    return words, np.searchsorted(at, ends)
+
+
+def _encoded(texts: pa.Array, encoder: Encoder):
     """Ids of the texts of a chunk as one flat array, and their counts."""
     import numpy as np
     import pyarrow as arrow
 
-    split = [WORDS.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-    distinct = list(set().union(*split))
+    words, ends = _words(texts)
+    numbered = words.dictionary_encode()
+    distinct, order = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
     encoder.bound()
     encoder.encode([w for w in distinct if w not in encoder.known])
     ids = [encoder.known[w] for w in distinct]
-    sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
+    sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // 4
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    pieces = arrow.ListArray.from_arrays(offsets, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=offsets[-1]))
-    number = {w: i for i, w in enumerate(distinct)}
-    order = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), dtype=np.int32, count=sum(map(len, split)))
-    ends = np.cumsum([0, *map(len, split)])
+    pieces = arrow.ListArray.from_arrays(offsets, np.frombuffer(b"".join(ids), dtype=np.int32))
     total = np.concatenate([[0], np.cumsum(sizes[order], dtype=np.int64)])
-    return pieces.take(arrow.array(order)).flatten().to_numpy(), np.diff(total[ends]).tolist()
+    return pieces.take(numbered.indices).flatten().to_numpy(), np.diff(total[ends]).tolist()
 
 
 def _encoded_batch(batch: pa.Array, encoder: Encoder):
     """Ids of all texts of a batch as (flat, ends of the texts), chunk by chunk."""
     import numpy as np
+    import pyarrow.compute as compute
 
-    flat, counts, chunk, size = [np.zeros(0, np.int32)], [], [], 0
-    for text in batch:
-        chunk.append(text.as_py())
-        size += len(chunk[-1])
-        if size >= CHUNK:
-            got, n = _encoded(chunk, encoder)
+    flat, counts, begin, size = [np.zeros(0, np.int32)], [], 0, 0
+    for i, length in enumerate(compute.binary_length(batch).to_pylist(), 1):
+        size += length
+        if size >= CHUNK or i == len(batch):
+            got, n = _encoded(batch.slice(begin, i - begin), encoder)
             flat.append(got)
             counts += n
-            chunk, size = [], 0
-    got, n = _encoded(chunk, encoder)
-    return np.concatenate([*flat, got]), np.concatenate([[0], np.cumsum(counts + n)]).astype(np.int32)
+            begin, size = i, 0
+    return np.concatenate(flat), np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
 
 
 def _decoded(flat, ends, surface: pa.Array) -> list[str]:

@@ -405,3 +405,16 @@ def test_quality_rejects_junk_and_keeps_clean(spark, sample):
     odd = docs(spark, (1, None, None), (1, "", "xx"), (None, "a b", "en"))
     assert all(r.accepted for r in kneser.judge(odd, labels.limit(0)).collect())
     assert kneser.judge(docs(spark), labels).count() == 0
+
+
+def test_words_are_cut_at_marks_and_line_feeds():
+    import re
+
+    import pyarrow as pa
+
+    words, rnd = re.compile(f"{spm.BLANK}+[^{spm.BLANK}\n]*|\n+|[^{spm.BLANK}\n]+"), random.Random(3)
+    for _ in range(500):
+        texts = ["".join(rnd.choice(" \naé▁\0日▀") for _ in range(rnd.randrange(9))) for _ in range(rnd.randrange(5))]
+        found, ends = spm._words(pa.array(texts, pa.string()))
+        found = found.to_pylist()
+        assert [found[a:b] for a, b in zip(ends, ends[1:])] == [words.findall(spm.BLANK + t.replace(" ", spm.BLANK)) if t else [] for t in texts]
