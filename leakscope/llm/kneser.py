@@ -10,8 +10,9 @@ n-gram ends in its last two bytes before the one to predict and that one, so the
 into shards by those, each of a bounded size; one pass over the documents a shard gives a
 partial sum for each row, and the passes are added up.  Texts are never shuffled.
 
-A row is rejected if its log perplexity per byte exceeds its language's threshold, which is
-made of quantiles over the trusted rows of that language.
+A row is rejected if its log perplexity per byte exceeds its language's threshold, which is made of
+quantiles over trusted texts of that language.  A model finds the texts it was trained on too easy, so one
+in four distinct trusted texts, by hash, is kept out of the training and only those give the thresholds.
 """
 
 from __future__ import annotations
@@ -265,23 +266,28 @@ def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def judge(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", language: str = "lang",
-    quantile: float = 0.99, margin: float = 2.0, prior: float = 200.0, entries: int = SHARD, keep: tuple[str, ...] = (),
+    quantile: float = 0.99, margin: float = 2.0, prior: float = 200.0, held_out: int = 4, least: int = 30, entries: int = SHARD, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row for each row: id, ``log_perplexity`` (nats a byte), ``threshold``, ``accepted``, then ``keep``.
 
     Trusted are the ids that ``labels`` (id, quality, toxic) call good and not toxic; repeated labels count once.
-    The log perplexity is shrunk towards its language's mean as if by ``prior`` more bytes, as that of a
-    short text varies.  The threshold of a language is its median over trusted rows plus ``margin`` times the distance from the
-    median to the ``quantile``.  A language without trusted rows, null, or not among the 256 most frequent has that of
-    all trusted rows; without any, everything is accepted.  Null texts are empty; they and repeated rows are scored like others.
+    One in ``held_out`` distinct trusted texts gives means and thresholds, each text once however often it is copied; the
+    model is trained on all rows of the others.  The log perplexity is shrunk towards its language's mean as if by ``prior``
+    more bytes, as that of a short text varies.  The threshold of a language is its median plus ``margin`` times the distance
+    from the median to the ``quantile``.  A language without held-out texts, null, or not among the 256 most frequent has
+    the threshold of all of them together, one of fewer than ``least`` the larger of the two; without any, everything is
+    accepted.  Null texts are empty; they and repeated rows are scored like others.
     """
+    if held_out < 2:
+        raise ValueError("held_out must leave texts to train on")
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(language), F.lit("")).alias("language"), text_or_empty(F.col(text)).alias("text"), F.struct(F.lit(0), *keep).alias("kept"))
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
     good = stored(good, "trusted")
-    model = train(_of_ids(rows.select("doc_id", "text"), good).select("text"))
-    scores = log_perplexity(rows, model, entries)
-    known = scores.join(good, scores["doc_id"] == good["trusted_id"], "left_semi")
+    trained = _of_ids(rows.select("doc_id", "text"), good).where(F.pmod(F.xxhash64("text"), F.lit(held_out)) != 0)
+    scores = log_perplexity(rows, train(trained.select("text")), entries)
+    known = scores.where(F.pmod("key", F.lit(held_out)) == 0).join(good, scores["doc_id"] == good["trusted_id"], "left_semi")
+    known = stored(known.select("language", "key", "bytes", "total").dropDuplicates(["language", "key"]), "held_out")
     means = known.groupBy("language").agg((-F.sum("total") / F.sum(F.col("bytes") + 1)).alias("mean"), F.count("*").alias("n"))
     means = stored(means.orderBy(F.desc("n"), "language").limit(LANGUAGES).drop("n"), "means")
     mean = known.agg((-F.sum("total") / F.sum(F.col("bytes") + 1)).alias("m")).first()[0]
@@ -293,8 +299,9 @@ def judge(
     quantiles = F.percentile_approx("log_perplexity", [0.5, quantile], F.lit(10000)).alias("q")
     border = (F.col("q")[0] + margin * (F.col("q")[1] - F.col("q")[0])).alias("border")
     # One row a language: few, and added up before the shuffle; so no row moves by its language.
-    limits = stored(shrunk(known).where("mean is not null").groupBy("language").agg(quantiles).select("language", border), "limits")
-    whole = shrunk(known).agg(quantiles).select(border).first()[0]
-    out = shrunk(scores).join(F.broadcast(limits), "language", "left").withColumn("threshold", F.coalesce("border", F.lit(whole).cast("double")))
+    limits = stored(shrunk(known).where("mean is not null").groupBy("language").agg(quantiles, F.count("*").alias("n")).select("language", border, "n"), "limits")
+    whole = F.lit(shrunk(known).agg(quantiles).select(border).first()[0]).cast("double")
+    own = F.when(F.col("n") < least, F.greatest("border", whole)).otherwise(F.coalesce("border", whole))
+    out = shrunk(scores).join(F.broadcast(limits), "language", "left").withColumn("threshold", own)
     accepted = F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(True)).alias("accepted")
     return out.select(F.col("doc_id").alias(id), "log_perplexity", "threshold", accepted, *[F.col("kept")[c].alias(c) for c in keep])

@@ -407,6 +407,16 @@ def test_quality_rejects_junk_and_keeps_clean(spark, sample):
     assert kneser.judge(docs(spark), labels).count() == 0
 
 
+def test_quality_keeps_clean_texts_it_was_not_trained_on(spark):
+    sf = SF.replace("0.001", "0.01")
+    texts, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = kneser.judge(texts, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    good, bad = [r for r in rows if r.quality == 1 and not r.toxic], [r for r in rows if r.quality == 0]
+    assert sum(r.accepted for r in good) >= 0.95 * len(good) and sum(not r.accepted for r in bad) >= 0.9 * len(bad)
+    with pytest.raises(ValueError):
+        kneser.judge(texts, labels, held_out=1)
+
+
 def test_words_are_cut_at_marks_and_line_feeds():
     import re
 
