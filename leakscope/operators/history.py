@@ -149,11 +149,8 @@ def scan_history(
         hits = _first(hits, ["commit", "path", "pattern"], ["file_no", "line_no"])
     elif dedupe == "commit":
         hits = _first(hits, ["commit"], ["ord", "file_no", "line_no", "path"])
-        first_path = (
-            source.join(hits.select("commit"), "commit", "left_semi")
-            .groupBy("commit")
-            .agg(F.min_by("path", F.struct("file_no", "path")).alias("path"))
-        )
+        # Aggregated before the shuffle: a commit of any size is one row per task.
+        first_path = source.groupBy("commit").agg(F.min_by("path", F.struct("file_no", "path")).alias("path"))
         hits = hits.drop("path").join(first_path, "commit")
     short = F.substring("commit", 1, 12)
     return as_findings(
