@@ -101,9 +101,12 @@ def links(fingerprints: DataFrame, max_bits: int = 2) -> DataFrame:
             return found.distinct()
 
 
-def simhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, max_bits: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, max_bits: int = 2, keep: tuple[str, ...] = (), group: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: id, ``fingerprint`` (16 hex digits), ``component_id``, then ``keep``.
 
+    ``group`` names one more column, a key of the component: ``component_id`` is none, as it may be
+    null, or the smallest id of several components if one id has several texts.
+
     Words are split at ASCII blanks after A-Z are lower-cased.  A text of fewer than
     ``words`` words is one shingle; a null or blank text has fingerprint zero, and
     such rows are linked like any others.  Repeated rows stay.  Null ids get the
@@ -116,5 +119,5 @@ def simhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words
     labels = components(links(nodes, max_bits))
     labelled = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labelled.join(smallest, "label").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("doc_id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep)
+    named = labelled.join(smallest, "label").select("fp", "component_id", *([F.col("label").alias(group)] if group else []))
+    return rows.join(named, "fp").select(F.col("doc_id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep, *([group] if group else []))

@@ -50,3 +50,15 @@ def test_stages_without_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         step = stage(spark, step, SF)
     assert step.count() == 0
+
+
+def test_groups_without_a_key_of_their_own_stay(spark):
+    word = lambda i: " ".join(f"{w}{i}" for w in ("alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    made = [(None, word(i), "en", "s", 7) for i in range(5)] + [(None, word(0), "en", "s", 7)]  # five groups without ids, one text twice
+    made += [(1, word(10), "en", "s", 7), (1, word(11), "en", "s", 7), (2, word(11), "en", "s", 7), (3, word(12), "en", "s", 7), (None, word(12), "en", "s", 7)]
+    made += [(4, word(13), "en", "s", 7)] * 2
+    rows = docs.unionByName(spark.createDataFrame(made, docs.schema))
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, rows, SF).collect()]
+    want = [(None, word(i)) for i in range(5)] + [(1, word(10)), (1, word(11)), (3, word(12)), (4, word(13))]
+    assert sorted(got, key=str) == sorted(want, key=str)
