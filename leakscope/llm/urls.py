@@ -1,11 +1,16 @@
 """URL filters: host and path rules, and trust and distrust that spread along links between hosts.
 
 Hosts whose pages the rules allow are seeds of trust; hosts whose pages they block
-are seeds of distrust, each by the share of its pages.  Trust follows the links
-(personalised PageRank), distrust goes against them: who links to blocked hosts is
-distrusted.  Scores are relative to a seed that is allowed or blocked entirely, so
-such a seed has at least 1.  A host is blocked where distrust exceeds trust by the
-threshold; rules come before that.
+are seeds of distrust, each by the share of its pages.  The verdict looks at two shares
+(``host_shares``): of a host's own links, how many lead to blocked pages, and of the
+links to it, how many come from allowed ones, both damped along further links.  They
+do not depend on how many others link to the same host, so a farm of many
+linkers is blocked like one, and a hub with one bad link is not.  A host is blocked where
+the first exceeds the second by the threshold; rules come before that.
+
+``host_scores`` are ranks: trust follows the links (personalised PageRank), distrust goes
+against them, relative to a seed that is allowed or blocked entirely.  Links to or from a
+host split them, so they have no threshold.
 """
 
 from __future__ import annotations
@@ -67,20 +72,45 @@ def _spread(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float
     return scores
 
 
-def host_scores(judged: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
-    """``(host, trust, distrust)`` from pages ``(host, action, html)``."""
+def _seeds_and_links(judged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Seeds ``(host, allowed, blocked)``, and links ``(src, dst, weight)``: by the share of the source's links, and of the target's."""
     share = lambda action: F.avg(F.when(F.col("action") == action, 1.0).otherwise(0.0))
     seeds = stored(judged.where("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "seeds")
     links = stored(host_links(judged), "links")
     out_of, into = links.groupBy("src").agg(F.sum("n").alias("all")), links.groupBy("dst").agg(F.sum("n").alias("all"))
-    forward = stored(links.join(out_of, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("weight")), "forward")
-    back = stored(links.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("all")).alias("weight")), "back")
-    trust = _spread(seeds.select("host", F.col("allowed").alias("seed")), forward, damping, tolerance, rounds)
-    distrust = _spread(seeds.select("host", F.col("blocked").alias("seed")), back, damping, tolerance, rounds)
+    weight = (F.col("n") / F.col("all")).alias("weight")
+    return seeds, stored(links.join(out_of, "src").select("src", "dst", weight), "out"), stored(links.join(into, "dst").select("src", "dst", weight), "into")
+
+
+def _back(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+
+
+def host_scores(judged: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
+    """Ranks ``(host, trust, distrust)`` from pages ``(host, action, html)``."""
+    seeds, out, into = _seeds_and_links(judged)
+    trust = _spread(seeds.select("host", F.col("allowed").alias("seed")), out, damping, tolerance, rounds)
+    distrust = _spread(seeds.select("host", F.col("blocked").alias("seed")), _back(into), damping, tolerance, rounds)
     names = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
     return names.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
+def host_shares(judged: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
+    """``(host, risk, backing)`` in [0, 1] from pages ``(host, action, html)``.
+
+    ``risk`` is the blocked share of the host's pages, and for the share without a rule the
+    damped mean risk of what it links to; ``backing`` the allowed share, and for the rest the
+    damped mean backing of what links to it.
+    """
+    seeds, out, into = _seeds_and_links(judged)
+    free = stored(seeds.select(F.col("host").alias("dst"), (1.0 - F.col("allowed") - F.col("blocked")).alias("free")), "free")
+    towards = lambda edges: stored(edges.join(free, "dst", "left").select("src", "dst", (F.col("weight") * F.coalesce("free", F.lit(1.0))).alias("weight")), "towards")
+    risk = _spread(seeds.select("host", F.col("blocked").alias("seed")), towards(_back(out)), damping, tolerance, rounds)
+    backing = _spread(seeds.select("host", F.col("allowed").alias("seed")), towards(into), damping, tolerance, rounds)
+    names = risk.withColumnRenamed("score", "risk").join(backing.withColumnRenamed("score", "backing"), "host", "full")
+    return names.select("host", F.coalesce("risk", F.lit(0.0)).alias("risk"), F.coalesce("backing", F.lit(0.0)).alias("backing"))
+
+
 def filter_urls(
     pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", rules: Sequence[tuple[str, str]] = RULES, threshold: float = 0.5, **spread
 ) -> DataFrame:
@@ -93,8 +123,8 @@ def filter_urls(
     """
     rows = pages.select(F.col(id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).cast("string").alias("html"))
     rows = rows.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
-    scores = host_scores(rows.select("host", F.col("found.action").alias("action"), "html"), **spread)
-    bad = scores.where(F.col("distrust") - F.col("trust") >= threshold).select("host", F.lit("block").alias("judged"))
+    shares = host_shares(rows.select("host", F.col("found.action").alias("action"), "html"), **spread)
+    bad = shares.where(F.col("risk") - F.col("backing") >= threshold).select("host", F.lit("block").alias("judged"))
     return rows.drop("html").join(stored(bad, "blocked"), "host", "left").select(
         F.col("page_id").alias(id), "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.action", "judged", F.lit("allow")).alias("verdict")
     )

@@ -161,6 +161,19 @@ def test_scores_are_the_fixed_point(spark):
         assert got[h] == pytest.approx((trust[h], distrust[h]), abs=1e-6)
 
 
+def test_verdicts_of_farms_and_hubs(spark):
+    html = lambda *to: "".join(f'<a href="http://{x}/">' for x in to)
+    rows = [("bad.net/", ""), ("worse.net/", ""), ("good.org/fr/", html("friend.com"))]
+    rows += [(f"farm{i}.com/", html("bad.net")) for i in range(40)]  # many linkers of one blocked host
+    rows += [("behind.com/", html("farm3.com", "farm4.com"))]  # two hops away
+    rows += [("hub.com/", html("worse.net", *(f"clean{i}.com" for i in range(60))))]  # the only linker of worse.net
+    rows += [("reader.com/", html("hub.com")), ("friend.com/", html("bad.net")), ("mixed.com/", html("bad.net", "a.com", "b.com"))]
+    pages = spark.createDataFrame([(i, f"http://{u}", h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.host: r.verdict for r in urls.filter_urls(pages).collect()}
+    blocked = {"bad.net", "worse.net", "behind.com", *(f"farm{i}.com" for i in range(40))}
+    assert {h for h, v in got.items() if v == "block"} == blocked
+
+
 # --- 4 ---------------------------------------------------------------------
 
 
