@@ -7,7 +7,11 @@ by the distance to it.  A query goes outwards from its own distance, annulus by
 annulus, and stops where ``|d(q,p) - d(x,p)|`` exceeds the distance of its k-th best row,
 as the triangle inequality rules out all that follows.
 
-Pivots are a sample of documented size; every vector is indexed and every answer is exact.
+Vectors whose squared integer length reaches 2^53 are not exact as doubles.  They are few as a rule and
+stay out of the index: pairs with one of them are scored by doubles with an error bound, and
+those that may be among the first k by whole numbers of any size (``_long_pairs``).
+
+Pivots are a sample of documented size; every vector is searched and every answer is exact.
 """
 
 from __future__ import annotations
@@ -21,18 +25,34 @@ ship(__name__)
 
 #: Rows of an annulus, which are scored together.
 ANNULUS = 256
+#: Squared integer length from which doubles are not exact.
+EXACT = 2.0**53
+#: Candidates and queries that are scored together if one of a pair is long.
+SLICE = 1 << 11, 1 << 8
+
+
+def _finite(rows: DataFrame, id: str, vector: str) -> DataFrame:
+    """``(vec_id, x, v)``: v is floor(scale * x) for each component; see ``integer_vectors``."""
+    finite = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    out = rows.where(F.col(id).isNotNull() & F.col(vector).isNotNull() & finite)
+    return out.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x"))
+
+
+def _whole(rows: DataFrame, scale: int) -> DataFrame:
+    return rows.withColumn("v", F.transform("x", lambda c: F.floor(F.lit(scale) * c)))
 
 
 def integer_vectors(rows: DataFrame, id: str, vector: str, scale: int = 1024) -> DataFrame:
-    """``(vec_id, v)``: v is floor(scale * x) for each component.
+    """``(vec_id, v)``: v is floor(scale * x) for each component, of vectors whose squared integer length is below 2^53.
 
-    Rows without an id, null vectors, those that hold a null or a component that is not
-    finite, and those whose squared integer length reaches 2^53 take no part.
+    Rows without an id, null vectors, and those that hold a null or a component that is not finite take no part.
     """
-    x = F.transform(F.col(vector), lambda c: F.floor(F.lit(scale) * c.cast("double")))
-    finite = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    out = rows.where(F.col(id).isNotNull() & F.col(vector).isNotNull() & finite).select(F.col(id).cast("long").alias("vec_id"), x.alias("v"))
-    return out.where(_square() < 2.0**53)
+    return _whole(_finite(rows, id, vector), scale).select("vec_id", "v").where(_square() < EXACT)
+
+
+def long_vectors(rows: DataFrame, id: str, vector: str, scale: int = 1024) -> DataFrame:
+    """``(vec_id, x)`` of the other finite vectors, as they came: their whole numbers may exceed a long."""
+    return _whole(_finite(rows, id, vector), scale).where(_square() >= EXACT).select("vec_id", "x")
 
 
 def _square() -> Column:
@@ -158,6 +178,99 @@ def _search(index: DataFrame, facts: dict, ids, queries, best, k: int, own_pivot
     return rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
 
 
+def _integers(x, scale: int) -> list[int]:
+    """floor(scale * x) as whole numbers of any size."""
+    import math
+
+    return [math.floor(y) if math.isfinite(y := scale * c) else math.floor(c) * scale for c in x]
+
+
+def _sortable(score: int) -> str:
+    """A text that sorts as the number: sign, number of digits, digits."""
+    digits = str(abs(score))
+    text = f"{len(digits):06d}{digits}"
+    return "1" + text if score >= 0 else "0" + text.translate(str.maketrans("0123456789", "9876543210"))
+
+
+def _sortable_column(score: Column) -> Column:
+    digits = F.regexp_replace(score.cast("string"), "-", "")
+    text = F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)
+    return F.when(score >= 0, F.concat(F.lit("1"), text)).otherwise(F.concat(F.lit("0"), F.translate(text, "0123456789", "9876543210")))
+
+
+def _long_pairs(candidates: DataFrame, ids, queries: list[list[int]], k: int, scale: int) -> DataFrame:
+    """Up to k rows ``(q, vec_id, score, key)`` of each task for each query, from candidates ``(vec_id, x)``.
+
+    Doubles give a score up to an error of (components + 8) / 2^52 of the sum of the absolute
+    products.  Only candidates whose upper bound reaches the k-th best lower bound are scored by whole
+    numbers.  ``key`` sorts as the score; ``score`` is null if it does not fit a long.
+    """
+    sent = candidates.sparkSession.sparkContext.broadcast((ids, queries))
+
+    def search(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, queries = sent.value
+        dim = max([len(v) for v in queries], default=0)
+        asked = np.zeros((len(queries), dim))
+        exact = np.zeros((len(queries), dim), dtype=object)
+        for j, v in enumerate(queries):
+            asked[j, : len(v)] = [_double(c) for c in v]
+            exact[j, : len(v)] = v
+        found, bound = {}, np.full(len(queries), -np.inf)
+        for batch in batches:
+            for at in range(0, len(batch), SLICE[0]):
+                part = batch.slice(at, SLICE[0])
+                names, rows = part.column("vec_id").to_numpy(), part.column("x").to_pylist()
+                x = np.zeros((len(rows), dim))
+                with np.errstate(all="ignore"):
+                    for i, r in enumerate(rows):
+                        x[i, : len(r)] = np.floor(scale * np.array(r[:dim], dtype=np.float64))
+                    for lo in range(0, len(queries), SLICE[1]):
+                        block = asked[lo : lo + SLICE[1]]
+                        about, error = x @ block.T, (np.abs(x) @ np.abs(block).T) * ((dim + 8) * 2.0**-52)
+                        upper, lower = about + error, about - error
+                        for j in range(len(block)):
+                            q = lo + j
+                            other = names != ids[q]
+                            least, floor = lower[other, j], bound[q]
+                            if len(least) > k and np.isfinite(least).all():
+                                floor = max(floor, np.partition(least, len(least) - k)[len(least) - k])
+                            near = np.flatnonzero(other & ~(upper[:, j] < floor))
+                            if not len(near):
+                                continue
+                            have = found.get(q, [])
+                            whole = {}  # equal vectors are scored once
+                            for i in near:
+                                key = tuple(rows[i][:dim])
+                                if key not in whole:
+                                    whole[key] = sum(a * b for a, b in zip(_integers(key, scale), exact[q]))
+                                have.append((-whole[key], int(names[i])))
+                            found[q] = have = sorted(have)[:k]
+                            if len(have) == k:
+                                bound[q] = max(bound[q], np.nextafter(_double(-have[-1][0]), -np.inf))
+        out = [(q, name, -s if -(2**63) <= -s < 2**63 else None, _sortable(-s)) for q, best in found.items() for s, name in best]
+        kinds = [("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("key", pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+    return candidates.mapInArrow(search, "q long, vec_id long, score long, key string")
+
+
+def _double(n: int) -> float:
+    """The nearest double; infinite beyond the largest."""
+    try:
+        return float(n)
+    except OverflowError:
+        return float("inf") if n > 0 else float("-inf")
+
+
+def _first(rows: DataFrame, k: int) -> DataFrame:
+    """The k best of each query by ``key``, ties to the smaller id."""
+    best = Window.partitionBy("q").orderBy(F.desc("key"), "vec_id")
+    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def topk(
     rows: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", scale: int = 1024, pivots: int = 64, block: int = 8192
 ) -> DataFrame:
@@ -166,14 +279,23 @@ def topk(
     A row is no candidate for a query of its own id.  Repeated candidates count each;
     repeated queries (equal id and vector) are one.  Vectors of different lengths are
     filled up with zeros.  See ``integer_vectors`` for rows that take no part.  Queries are
-    sent to the index in blocks of about ``block``, a bounded size; each block is one pass.
+    sent to the index in blocks of about ``block``, a bounded size; each block is one pass, and
+    two if there are long vectors.  Ranks are exact for all; a score beyond a long is null.
     """
     import numpy as np
 
     index, facts = build_index(stored(integer_vectors(rows, id, vector, scale), "vectors"), pivots)
     asked = stored(integer_vectors(queries, id, vector, scale).distinct(), "queries")
+    long = stored(long_vectors(rows, id, vector, scale), "long")
+    has_long = not long.isEmpty()
     blocks = max(1, -(-asked.count() // block))
-    out = index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    spark = index.sparkSession
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+    def named(hits, ids):
+        names = spark.createDataFrame([(j, int(v)) for j, v in enumerate(ids)], "q long, query_id long")
+        return hits.join(F.broadcast(names), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
     for i in range(blocks):
         got = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).orderBy("vec_id").collect()
         if not got:
@@ -187,9 +309,21 @@ def topk(
         near = _search(index, facts, ids, block_vectors, best, k, True)
         for r in near.where(F.col("rank") == k).select("q", "score").collect():
             best[r["q"]] = r["score"]
-        names = index.sparkSession.createDataFrame([(j, int(v)) for j, v in enumerate(ids)], "q long, query_id long")
         hits = _search(index, facts, ids, block_vectors, best, k, False)
-        out = out.unionByName(hits.join(F.broadcast(names), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+        if has_long:
+            others = _long_pairs(long, ids, [list(r["v"]) for r in got], k, scale)
+            hits = _first(hits.select("q", "vec_id", "score", _sortable_column(F.col("score")).alias("key")).unionByName(others), k)
+        out = out.unionByName(named(hits, ids))
+
+    asked = stored(long_vectors(queries, id, vector, scale).distinct(), "long_queries")
+    blocks = -(-asked.count() // block)
+    for i in range(blocks):
+        got = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect()
+        once = sorted({(r["vec_id"], tuple(_integers(r["x"], scale))) for r in got})
+        if once:
+            ids = np.array([v for v, _ in once], dtype=np.int64)
+            hits = _first(_long_pairs(_finite(rows, id, vector), ids, [list(v) for _, v in once], k, scale), k)
+            out = out.unionByName(named(hits, ids))
     return out
 
 

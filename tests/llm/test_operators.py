@@ -193,6 +193,22 @@ def test_topk_is_brute_force(spark):
     assert topk.topk(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_topk_of_long_vectors_is_exact(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)]
+    rows += [(300 + i, [rng.gauss(0, 1) * 10.0 ** rng.choice((4, 5, 6, 9, 30)) for _ in range(8)]) for i in range(40)]
+    rows += [(400 + i, [1e5] * 8) for i in range(15)] + [(500 + i, [1e5] * 7 + [1e5 + i / 64]) for i in range(15)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((tuple(r) for r in topk.topk(table, table.where("vec_id % 100 in (0, 7)"), pivots=16, block=3).collect()), key=lambda r: r[:3])
+    ints = {r.vec_id: [math.floor(1024 * float(x)) for x in r.embedding] for r in table.collect()}
+    want = []
+    for q in sorted(i for i in ints if i % 100 in (0, 7)):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:10]
+        want += [(q, n, i, -s if -(2**63) <= -s < 2**63 else None) for n, (s, i) in enumerate(best, 1)]
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(want, key=lambda r: r[:3])]
+    assert {r[:3]: r[3] for r in got} == {r[:3]: r[3] for r in want}
+
+
 # --- 5 ---------------------------------------------------------------------
 
 
