@@ -13,6 +13,8 @@ verified overlaps leave a task.
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,12 @@ ship(__name__)
 WINDOW, SUBSTITUTIONS = 13, 2
 #: Positions of the ones of each mask.  ``covers`` tests that they suffice.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
+#: Tokens of an item from which substitutions are allowed; shorter items are matched as they are.
+LEAST = 8
 #: For items of 8 to 12 tokens, with one substitution.
 SHORT_MASKS = ((0, 1, 3, 4),)
+#: Scripts that are written without spaces; a letter of them and its marks are a token.
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Yi}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tai_Le}\p{New_Tai_Lue}\p{Tai_Tham}\p{Tai_Viet}\p{Javanese}\p{Balinese}]"
 #: Tokens of test items that are sent at once.
 BLOCK = 1 << 20
 #: Bytes of texts handled at once.
@@ -42,11 +48,14 @@ def covers(masks: tuple = MASKS, window: int = WINDOW, substitutions: int = SUBS
 
 
 def tokens(texts: pa.Array) -> pa.Array:
-    """Lists of lower-cased runs of letters, digits and marks."""
+    """Lists of lower-cased runs of letters, digits and marks; scripts without spaces are cut into letters."""
     import pyarrow as arrow
     import pyarrow.compute as compute
 
     clean = compute.replace_substring_regex(compute.utf8_lower(texts.cast(arrow.large_string())), r"[^\p{L}\p{N}\p{M}]+", " ")
+    if compute.any(compute.match_substring_regex(clean, UNSPACED)).as_py():
+        clean = compute.replace_substring_regex(clean, rf"({UNSPACED}\p{{M}}*)", r" \1 ")
+        clean = compute.replace_substring_regex(clean, " +", " ")
     return compute.split_pattern(compute.utf8_trim(clean, " "), " ")
 
 
@@ -69,16 +78,18 @@ def _hashes(ids, mask):
 class Index:
     """Token numbers of a block of test items and their seed hashes, sorted for each mask."""
 
-    def __init__(self, items: list[list[str]], window: int):
+    def __init__(self, items: list[list[str]], window: int, least: int = LEAST):
         import numpy as np
 
         self.words = pa.array(sorted({w for item in items for w in item}), pa.large_string())
         number = {w: i + 1 for i, w in enumerate(self.words.to_pylist())}
         self.items = [np.array([number[w] for w in item], dtype=np.int64) for item in items]
         self.need = [min(window, len(item)) for item in items]
+        self.least = least
         self.seeds = []
-        for mask, short in [(m, False) for m in MASKS] + [(m, True) for m in SHORT_MASKS]:
-            found = [(_hashes(ids, mask), i) for i, ids in enumerate(self.items) if (len(ids) < window) == short]
+        whole = [(tuple(range(n)), n, n + 1) for n in sorted({len(item) for item in items if len(item) < least})]
+        for mask, lo, hi in [(m, window, math.inf) for m in MASKS] + [(m, least, window) for m in SHORT_MASKS] + whole:
+            found = [(_hashes(ids, mask), i) for i, ids in enumerate(self.items) if lo <= len(ids) < hi]
             code = np.concatenate([h for h, _ in found] or [np.zeros(0, np.uint64)])
             item = np.concatenate([np.full(len(h), i) for h, i in found] or [np.zeros(0, np.int64)])
             place = np.concatenate([np.arange(len(h)) for h, _ in found] or [np.zeros(0, np.int64)])
@@ -113,7 +124,7 @@ class Index:
             return None
         equal = (test[lo:hi] == ids[begin + lo : begin + hi]).astype(np.int64)
         sums = np.concatenate([[0], np.cumsum(equal)])
-        allowed = substitutions if need >= WINDOW else 1
+        allowed = substitutions if need >= WINDOW else int(need >= self.least)
         good = np.flatnonzero(sums[need:] - sums[:-need] >= need - allowed)
         if not len(good):
             return None
@@ -123,14 +134,16 @@ class Index:
         return lo + a, b - a, int(sums[b] - sums[a])
 
 
-def overlaps(docs: DataFrame, tests: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", test: str = "text", least: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
+def overlaps(docs: DataFrame, tests: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", test: str = "text", least: int = LEAST, keep: tuple[str, ...] = ()) -> DataFrame:
     """Verified overlaps ``(id, item, start, tokens, equal)`` and ``keep``: one row for each alignment of a row with an item.
 
     ``start`` is the first token in the training text, ``tokens`` the length of the stretch, ``equal`` how many agree.
     An overlap has 13 tokens with at most two substitutions; an item of 8 to 12 must lie in the text as a
-    whole, with at most one; shorter items prove nothing and take no part.  Null texts have no tokens.  Repeated
-    rows and items are reported each.
+    whole, with at most one, and one of fewer than ``least`` (8 to 13) as a whole and unchanged; by ``tokens`` a caller can
+    tell how much that proves.  Null texts have no tokens.  Repeated rows and items are reported each.
     """
+    if not LEAST <= least <= WINDOW:
+        raise ValueError(f"the masks cover items with a substitution from {LEAST} tokens on")
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id).alias("row_id"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
@@ -141,14 +154,14 @@ def overlaps(docs: DataFrame, tests: DataFrame, id: str = "doc_id", text: str =
 
         return tokens(texts).cast(arrow.list_(arrow.string()))
 
-    items = stored(tests.select(F.col(item).alias("item"), cut(F.col(test).cast("string")).alias("words")).where(F.size("words") >= least), "items")
+    items = stored(tests.select(F.col(item).alias("item"), cut(F.col(test).cast("string")).alias("words")).where((F.size("words") > 0) & (F.col("words")[0] != "")), "items")
     whole = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     blocks = max(1, -(-whole // BLOCK))
     out = None
     for i in range(blocks):
         got = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == i).collect()
         names = [r["item"] for r in got]
-        sent = spark.sparkContext.broadcast(Index([list(r["words"]) for r in got], WINDOW))
+        sent = spark.sparkContext.broadcast(Index([list(r["words"]) for r in got], WINDOW, least))
         part = _search(rows, sent, names, len(keep))
         out = part if out is None else out.unionByName(part)
     kinds = {"row_id": id, "item": item, **{f"keep_{i}": c for i, c in enumerate(keep)}}

@@ -129,6 +129,21 @@ def test_short_item_with_one_substitution(spark):
     assert sorted((r.doc_id, r.start, r.tokens, r.equal) for r in got.collect()) == [(1, 1, 8, 7), (3, 0, 8, 8)]
 
 
+def test_items_of_few_tokens_and_scripts_without_spaces(spark):
+    import pyarrow as pa
+
+    assert decontam.tokens(pa.array(["Abc 中文x、ที่นี่ é1", "", None])).to_pylist() == [["abc", "中", "文", "x", "ที่", "นี่", "é1"], [""], None]
+    items = [(1, "Who wrote Faust?"), (2, "Faust"), (3, "水在標準大氣壓下沸騰的溫度是多少"), (4, "ประเทศไทยมีเมืองหลวงชื่ออะไร"), (5, "..."), (6, "巴黎在哪"), (7, "")]
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    rows = docs(
+        spark, (1, "so: who wrote  FAUST, they asked", "en"), (2, "who wrote a faust", "en"), (3, "問:水在標準大气壓下沸騰的温度是多少?", "zh"),
+        (4, "ถามว่าประเทศไทยมีเมืองหลวงชื่ออะไรครับ", "th"), (5, "她問巴黎在哪裡", "zh"), (6, "巴黎在那", "zh"), (7, "who wrote it ...", "en"), (8, None, "en"),
+    )
+    got = decontam.overlaps(rows, tests).collect()
+    assert sorted((r.doc_id, r.item_id, r.tokens - r.equal) for r in got) == [(1, 1, 0), (1, 2, 0), (2, 2, 0), (3, 3, 2), (4, 4, 0), (5, 6, 0)]
+    assert {(r.doc_id, r.item_id): (r.start, r.tokens) for r in got if r.item_id != 4} == {(1, 1): (1, 3), (1, 2): (3, 1), (2, 2): (3, 1), (3, 3): (1, 16), (5, 6): (2, 4)}
+
+
 # --- 3 ---------------------------------------------------------------------
 
 
