@@ -6,6 +6,10 @@ are to be trusted, and which languages a host has, are grouped aggregates over a
 row counts with what its text alone says.  Host priors are smoothed towards those of the host's
 domain, and these towards the whole table.
 
+The posterior only weighs the fitted languages against each other.  So a text must also be typical of the
+language that is found: its log likelihood a trigram, shrunk by its number of distinct trigrams, must not lie
+far below that of the language's own texts, each under a model without it.  Else its language is unknown.
+
 Only the trigram model is fitted on a bounded sample (``sample`` distinct texts a language).
 """
 
@@ -27,6 +31,10 @@ BUCKETS, CHUNK = 1 << 15, 1 << 20
 FREQUENT = 1000
 #: Trigrams overlap, so each counts as this share of an independent observation.
 INDEPENDENT = 0.2
+#: Distinct trigrams as which the language's usual likelihood counts beside a text's own.
+PRIOR = 200
+#: A text is typical down to so many times the distance of the lower quartile from the median, and to so many nats a trigram at least.
+QUARTILES, NATS = 4.0, 2.0
 
 
 def markup_language(html: Column) -> Column:
@@ -93,6 +101,11 @@ def fit(rows: DataFrame, text: str, language: str, sample: int = 1000, languages
 
     The ``languages`` most frequent values; for each the ``sample`` distinct texts of lowest hash.
     """
+    return _fit(rows, text, language, sample, languages)[:2]
+
+
+def _fit(rows: DataFrame, text: str, language: str, sample: int, languages: int = 64) -> tuple[list[str], object, object, DataFrame]:
+    """As ``fit``, then the smoothed counts and the sample ``(language, text)``."""
     import numpy as np
 
     labelled = rows.select(F.col(text).alias("text"), F.col(language).alias("language")).where("language is not null and length(text) > 2")
@@ -102,6 +115,7 @@ def fit(rows: DataFrame, text: str, language: str, sample: int = 1000, languages
     border = reduce(lambda c, name: c.when(F.col("language") == name, borders[name]), common, F.when(F.lit(False), F.lit(0).cast("long")))
     hashed = labelled.withColumn("hash", F.xxhash64("text"))
     chosen = hashed.where(F.col("hash") <= border).groupBy("language", "hash").agg(F.min("text").alias("text")).select("language", "text")
+    chosen = stored(chosen, "sample")
 
     def count(batches):
         import numpy as np
@@ -123,11 +137,52 @@ def fit(rows: DataFrame, text: str, language: str, sample: int = 1000, languages
     for j, name in enumerate(names):
         own = counts[counts["language"] == name]
         table[own["bucket"].to_numpy(), j] += own["n"].to_numpy()
-    return names, np.log(table / table.sum(axis=0)).astype(np.float32) if names else table
+    return names, np.log(table / table.sum(axis=0)).astype(np.float32) if names else table, table, chosen
+
+
+def typical(chosen: DataFrame, names: list[str], smoothed) -> tuple[object, object]:
+    """Usual log likelihood a trigram of each language, and the least that is typical of it.
+
+    Each text of the sample is measured under the model of its language without that text.
+    """
+    import numpy as np
+
+    place = {name: j for j, name in enumerate(names)}
 
+    def measure(batches):
+        import numpy as np
+        import pyarrow as arrow
 
-def likelihood(text: Column, table) -> Column:
-    """Array of the log likelihood of the text for each language, tempered, and its greatest set to zero."""
+        for batch in batches:
+            own = {}
+            for i, buckets in _trigrams(batch.column("text")):
+                own[i] = own.get(i, 0) + np.bincount(buckets, minlength=BUCKETS)
+            labels, out = batch.column("language").to_pylist(), []
+            for i, n in own.items():
+                at = np.flatnonzero(n)
+                if len(at):
+                    rest = smoothed[:, place[labels[i]]]
+                    logs = np.log((rest[at] - n[at]) / (rest.sum() - n.sum()))
+                    out.append((labels[i], len(at), float((n[at] * logs).sum() / n.sum())))
+            if out:
+                yield arrow.RecordBatch.from_pydict({c: arrow.array(v, t) for c, v, t in zip(("language", "d", "mean"), zip(*out), (arrow.string(), arrow.int64(), arrow.float64()))})
+
+    measured = chosen.mapInArrow(measure, "language string, d long, mean double").toPandas()  # numbers of the bounded sample
+    usual, least = np.zeros(len(names)), np.full(len(names), -np.inf)
+    for j, name in enumerate(names):
+        own = measured[measured["language"] == name]
+        if len(own):
+            usual[j] = own["mean"].median()
+            score = (own["d"] * own["mean"] + PRIOR * usual[j]) / (own["d"] + PRIOR)
+            least[j] = score.median() - max(NATS, QUARTILES * (score.median() - score.quantile(0.25)))
+    return usual, least
+
+
+def likelihood(text: Column, table, usual=None, least=None) -> Column:
+    """Array of the log likelihood of the text for each language, tempered, and its greatest set to zero.
+
+    With ``usual`` and ``least``, as many numbers follow: 1 if the text is typical of the language, else 0.
+    """
 
     @F.arrow_udf("array<double>")
     def evidence(texts: pa.Array) -> pa.Array:
@@ -135,12 +190,19 @@ def likelihood(text: Column, table) -> Column:
         import pyarrow as arrow
 
         out = np.zeros((len(texts), table.shape[1]))
+        count, distinct = np.zeros((len(texts), 1)), np.zeros((len(texts), 1))
         columns = [np.ascontiguousarray(table[:, j]) for j in range(table.shape[1])]
         for i, buckets in _trigrams(texts):
             for j, column in enumerate(columns):
                 out[i, j] += column[buckets].sum(dtype=np.float64)
-        out = (out - out.max(axis=1, keepdims=True)) * INDEPENDENT
-        return arrow.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * table.shape[1], out.ravel())
+            count[i] += len(buckets)
+            if usual is not None:
+                distinct[i] = max(distinct[i, 0], np.count_nonzero(np.bincount(buckets, minlength=BUCKETS)))
+        logs = (out - out.max(axis=1, keepdims=True)) * INDEPENDENT
+        if usual is not None:
+            score = (distinct * out / np.maximum(count, 1) + PRIOR * usual) / (distinct + PRIOR)
+            logs = np.concatenate([logs, (score >= least).astype(np.float64)], axis=1)
+        return arrow.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * logs.shape[1], logs.ravel())
 
     return evidence(text)
 
@@ -195,7 +257,7 @@ def identify(
 
     ``declared``, ``host`` and ``suffix`` are columns or None; null values are no evidence.  ``train`` (by default
     ``declared``) labels the sample that the trigram model is fitted on.  A row is not accepted if its text has no
-    letter or its confidence is below ``least``; without any labelled text, all languages are null and nothing
+    letter, its confidence is below ``least`` or its text is not typical of the language; without any labelled text, all languages are null and nothing
     is accepted.  Null texts are empty.  Repeated rows stay, and count again in the aggregates.
     """
     bounded_batches(rows.sparkSession)
@@ -204,12 +266,13 @@ def identify(
         F.col(id).alias("doc_id"), text_or_empty(F.col(text)).alias("text"), of(declared).alias("declared"), of(host).alias("host"), of(suffix).alias("suffix"),
         of(declared if train is None else train).alias("label"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)],
     )
-    names, table = fit(named, "text", "label", sample)
+    names, table, smoothed, chosen = _fit(named, "text", "label", sample)
     n, kept = len(names), [F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)]
     if not n:
         return named.select(F.col("doc_id").alias(id), F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"), *kept)
     letters = F.col("text").rlike(r"\p{L}")
-    seen = named.drop("label").withColumns({"logs": likelihood(F.col("text"), table), "letters": letters}).drop("text")
+    seen = named.drop("label").withColumns({"both": likelihood(F.col("text"), table, *typical(chosen, names, smoothed)), "letters": letters}).drop("text")
+    seen = seen.withColumns({"logs": F.slice("both", 1, n), "fits": F.slice("both", n + 1, n)}).drop("both")
     seen = stored(seen.withColumn("p", F.when(F.col("letters"), _posterior(F.col("logs")))), "evidence")  # no texts: a few numbers a row
 
     whole = seen.agg(*[F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n)], F.count("*").alias("n")).first()
@@ -230,5 +293,6 @@ def identify(
     added = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts)
     out = out.withColumn("q", _posterior(added))
     best = F.array_max("q")
-    language = F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position("q", best).cast("int"))
-    return out.select(F.col("doc_id").alias(id), language.alias("language"), best.alias("confidence"), (F.col("letters") & (best >= least)).alias("accepted"), *kept)
+    place = F.array_position("q", best).cast("int")
+    language, fits = F.element_at(F.array(*[F.lit(x) for x in names]), place), F.element_at("fits", place) > 0
+    return out.select(F.col("doc_id").alias(id), language.alias("language"), best.alias("confidence"), (F.col("letters") & (best >= least) & fits).alias("accepted"), *kept)

@@ -341,6 +341,15 @@ def test_evidence_decides_for_texts_that_say_nothing(spark, sample):
     assert langid.identify(odd.limit(0)).count() == 0
 
 
+def test_texts_of_no_fitted_language_are_unknown(spark, sample):
+    rng = random.Random(2)
+    made = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(120))
+    strange = [made("bcdfghjklmnpqrstvwxz") for _ in range(5)] + [made("абвгдежзийклмнопрст")]
+    rows = sample.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame([(-1 - i, t, None, "s") for i, t in enumerate(strange)], "doc_id long, text string, lang string, source string"))
+    got = {r.doc_id: r.accepted for r in langid.identify(rows).collect()}
+    assert not any(got[-1 - i] for i in range(6)) and sum(got.values()) >= 0.99 * (len(got) - 6)
+
+
 def test_lookup_of_frequent_and_rare_values(spark):
     rows = spark.createDataFrame([(i, "ab"[i % 2] if i % 5 else None, [float(i)]) for i in range(40)], "doc_id long, host string, logs array<double>")
     values = spark.createDataFrame([("a", 39, 1.0), ("b", 1, 2.0), ("c", 0, 3.0)], "host string, n long, host_log double")

@@ -62,3 +62,11 @@ def test_groups_without_a_key_of_their_own_stay(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, rows, SF).collect()]
     want = [(None, word(i)) for i in range(5)] + [(1, word(10)), (1, word(11)), (3, word(12)), (4, word(13))]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_found_language_is_handed_on(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.where("lang = 'fr'").orderBy("doc_id").first()
+    made = [(-1, some.text, None, "s", 7), (-2, some.text, "en", "s", 7), (-3, some.text, "fr", "s", 7)]
+    got = corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(made, docs.schema)), SF)
+    assert got.columns == docs.columns and {r.doc_id: r.lang for r in got.where("doc_id < 0").collect()} == {-1: "fr", -2: "fr", -3: "fr"}
