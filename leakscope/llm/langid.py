@@ -31,6 +31,10 @@ BUCKETS, CHUNK = 1 << 15, 1 << 20
 FREQUENT = 1000
 #: Trigrams overlap, so each counts as this share of an independent observation.
 INDEPENDENT = 0.2
+#: Languages whose counts are sent to the driver at once.
+BLOCK = 64
+#: Fixed values of ISO 639: tags that name no language.
+NO_LANGUAGE = ("und", "zxx", "mul", "mis")
 #: Distinct trigrams as which the language's usual likelihood counts beside a text's own.
 PRIOR = 200
 #: A text is typical down to so many times the distance of the lower quartile from the median, and to so many nats a trigram at least.
@@ -43,6 +47,12 @@ def markup_language(html: Column) -> Column:
     return F.when(found != "", found)
 
 
+def primary(tag: Column) -> Column:
+    """Primary subtag of a language tag in lower case; null if it names no language."""
+    found = F.element_at(F.split(F.lower(F.trim(tag)), "[-_]"), 1)
+    return F.when((found != "") & ~found.isin(*NO_LANGUAGE), found)
+
+
 def address_suffix(host: Column) -> Column:
     """Last label of a host name; null for one without a dot or an address of digits."""
     last = F.lower(F.regexp_extract(host, r"\.([A-Za-z]{2,})(?::\d+)?$", 1))
@@ -96,20 +106,20 @@ def _borders(labelled: DataFrame, counts: dict[str, int], sample: int) -> dict[s
     return borders
 
 
-def fit(rows: DataFrame, text: str, language: str, sample: int = 1000, languages: int = 64) -> tuple[list[str], object]:
+def fit(rows: DataFrame, text: str, language: str, sample: int = 1000) -> tuple[list[str], object]:
     """Names of the languages and the table of log probabilities (bucket by language).
 
-    The ``languages`` most frequent values; for each the ``sample`` distinct texts of lowest hash.
+    All values that have a text; for each the ``sample`` distinct texts of lowest hash.
     """
-    return _fit(rows, text, language, sample, languages)[:2]
+    return _fit(rows, text, language, sample)[:2]
 
 
-def _fit(rows: DataFrame, text: str, language: str, sample: int, languages: int = 64) -> tuple[list[str], object, object, DataFrame]:
+def _fit(rows: DataFrame, text: str, language: str, sample: int) -> tuple[list[str], object, object, DataFrame]:
     """As ``fit``, then the smoothed counts and the sample ``(language, text)``."""
     import numpy as np
 
     labelled = rows.select(F.col(text).alias("text"), F.col(language).alias("language")).where("language is not null and length(text) > 2")
-    counted = labelled.groupBy("language").count().orderBy(F.desc("count"), "language").limit(languages).collect()
+    counted = labelled.groupBy("language").count().orderBy("language").collect()
     common = [r["language"] for r in counted]
     borders = _borders(labelled, {r["language"]: r["count"] for r in counted}, sample)
     border = reduce(lambda c, name: c.when(F.col("language") == name, borders[name]), common, F.when(F.lit(False), F.lit(0).cast("long")))
@@ -131,12 +141,13 @@ def _fit(rows: DataFrame, text: str, language: str, sample: int, languages: int
             at = np.flatnonzero(counts)
             yield arrow.RecordBatch.from_pydict({"language": arrow.array([name] * len(at), arrow.string()), "bucket": arrow.array(at, arrow.int32()), "n": arrow.array(counts[at])})
 
-    counts = chosen.mapInArrow(count, "language string, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(common)
     table = np.full((BUCKETS, len(names)), 0.5)
-    for j, name in enumerate(names):
-        own = counts[counts["language"] == name]
-        table[own["bucket"].to_numpy(), j] += own["n"].to_numpy()
+    for at in range(0, len(names), BLOCK):
+        block = chosen.where(F.col("language").isin(names[at : at + BLOCK]))
+        counts = block.mapInArrow(count, "language string, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
+        for name, own in counts.groupby("language"):
+            table[own["bucket"].to_numpy(), names.index(name)] += own["n"].to_numpy()
     return names, np.log(table / table.sum(axis=0)).astype(np.float32) if names else table, table, chosen
 
 
@@ -255,7 +266,8 @@ def identify(
 ) -> DataFrame:
     """One row for each row: id, ``language``, ``confidence``, ``accepted``, then ``keep``.
 
-    ``declared``, ``host`` and ``suffix`` are columns or None; null values are no evidence.  ``train`` (by default
+    ``declared``, ``host`` and ``suffix`` are columns or None; null values are no evidence.  Language
+    tags count by their primary subtag in lower case, and each that has a text is a language.  ``train`` (by default
     ``declared``) labels the sample that the trigram model is fitted on.  A row is not accepted if its text has no
     letter, its confidence is below ``least`` or its text is not typical of the language; without any labelled text, all languages are null and nothing
     is accepted.  Null texts are empty.  Repeated rows stay, and count again in the aggregates.
@@ -263,8 +275,8 @@ def identify(
     bounded_batches(rows.sparkSession)
     of = lambda c: F.lit(None).cast("string") if c is None else F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
     named = rows.select(
-        F.col(id).alias("doc_id"), text_or_empty(F.col(text)).alias("text"), of(declared).alias("declared"), of(host).alias("host"), of(suffix).alias("suffix"),
-        of(declared if train is None else train).alias("label"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)],
+        F.col(id).alias("doc_id"), text_or_empty(F.col(text)).alias("text"), primary(of(declared)).alias("declared"), of(host).alias("host"), of(suffix).alias("suffix"),
+        primary(of(declared if train is None else train)).alias("label"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)],
     )
     names, table, smoothed, chosen = _fit(named, "text", "label", sample)
     n, kept = len(names), [F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)]

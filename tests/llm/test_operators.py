@@ -350,6 +350,16 @@ def test_texts_of_no_fitted_language_are_unknown(spark, sample):
     assert not any(got[-1 - i] for i in range(6)) and sum(got.values()) >= 0.99 * (len(got) - 6)
 
 
+def test_every_language_is_fitted(spark):
+    tags = [f"{a}{b}" for a in "abcdefgh" for b in "abcdefghi"]  # 72
+    word = lambda t, i: " ".join(f"{t}{t[::-1]}{t[0]}{t}" for _ in range(9)) + f" {t * 3}{i}"
+    rows = [(100 * n + i, word(t, i), (t, t.upper(), f"{t}-XX")[i % 3]) for n, t in enumerate(tags) for i in range(3 if n > 65 else 4)]
+    table = spark.createDataFrame(rows + [(-1, word("hi", 7), None), (-2, "hello there", "und")], "doc_id long, text string, lang string")
+    names, _ = langid.fit(table.withColumn("lang", langid.primary(F.col("lang"))), "text", "lang")
+    got = {r.doc_id: r.language for r in langid.identify(table, host=None).collect()}
+    assert names == tags and got[-1] == "hi" and all(got[i] == lang[:2].lower() for i, _, lang in rows)
+
+
 def test_lookup_of_frequent_and_rare_values(spark):
     rows = spark.createDataFrame([(i, "ab"[i % 2] if i % 5 else None, [float(i)]) for i in range(40)], "doc_id long, host string, logs array<double>")
     values = spark.createDataFrame([("a", 39, 1.0), ("b", 1, 2.0), ("c", 0, 3.0)], "host string, n long, host_log double")
