@@ -13,6 +13,7 @@ from .html_text import extract_pages
 from .kneser import judge
 from .langid import address_suffix, identify, markup_language
 from .preference import SQL as PREFERENCE_SQL, format_preferences, shortened_answers
+from .runs import SQL as RUNS_SQL, digests, find_runs, with_cycles
 from .simhash import simhash_dedup
 from .spm import tokenize
 from .topk import SQL as TOPK_SQL, topk
@@ -69,6 +70,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(find_runs(with_cycles(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontamination": op2_decontamination,
@@ -81,5 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_language": page_language,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality": op10_quality,
+    "op11_runs": op11_runs,
 }
-ORACLE: dict[str, str] = {"op4_topk": TOPK_SQL, "op5_warc": WARC_SQL, "op7_preferences": PREFERENCE_SQL}
+ORACLE: dict[str, str] = {"op4_topk": TOPK_SQL, "op5_warc": WARC_SQL, "op7_preferences": PREFERENCE_SQL, "op11_runs": RUNS_SQL}
