@@ -19,6 +19,7 @@ from .spm import tokenize
 from .topk import SQL as TOPK_SQL, topk
 from .urls import filter_urls, host_of
 from .warc import SQL as WARC_SQL, round_trip
+from .whiten import whitened_components
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,10 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_runs(with_cycles(table(spark, sf_dir, "documents"))))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(table(spark, sf_dir, "embeddings"), components=8, scale=1024, offset=100000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontamination": op2_decontamination,
@@ -87,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality": op10_quality,
     "op11_runs": op11_runs,
+    "op13_whitening": op13_whitening,
 }
 ORACLE: dict[str, str] = {"op4_topk": TOPK_SQL, "op5_warc": WARC_SQL, "op7_preferences": PREFERENCE_SQL, "op11_runs": RUNS_SQL}
