@@ -13,6 +13,7 @@ from .html_text import extract_pages
 from .kneser import judge
 from .langid import address_suffix, identify, markup_language
 from .preference import SQL as PREFERENCE_SQL, format_preferences, shortened_answers
+from .repeats import SQL as REPEATS_SQL, remove_repeats
 from .runs import SQL as RUNS_SQL, digests, find_runs, with_cycles
 from .simhash import simhash_dedup
 from .spm import tokenize
@@ -75,6 +76,10 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_runs(with_cycles(table(spark, sf_dir, "documents"))))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), least=13).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened_components(table(spark, sf_dir, "embeddings"), components=8, scale=1024, offset=100000)
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality": op10_quality,
     "op11_runs": op11_runs,
+    "op12_repeats": op12_repeats,
     "op13_whitening": op13_whitening,
 }
-ORACLE: dict[str, str] = {"op4_topk": TOPK_SQL, "op5_warc": WARC_SQL, "op7_preferences": PREFERENCE_SQL, "op11_runs": RUNS_SQL}
+ORACLE: dict[str, str] = {"op4_topk": TOPK_SQL, "op5_warc": WARC_SQL, "op7_preferences": PREFERENCE_SQL, "op11_runs": RUNS_SQL, "op12_repeats": REPEATS_SQL}
