@@ -83,6 +83,23 @@ def _trigrams(texts):
             yield i, (((piece[:-2] << 16) | (piece[1:-1] << 8) | piece[2:]) * np.uint32(2654435761)) >> np.uint32(17)
 
 
+def _counts(texts):
+    """Number of each text and how often it has each bucket; holds the counts of one text at a time."""
+    import numpy as np
+
+    last, own = None, None
+    for i, buckets in _trigrams(texts):
+        n = np.bincount(buckets, minlength=BUCKETS)
+        if i == last:
+            own += n
+            continue
+        if last is not None:
+            yield last, own
+        last, own = i, n
+    if last is not None:
+        yield last, own
+
+
 def _borders(labelled: DataFrame, counts: dict[str, int], sample: int) -> dict[str, int]:
     """For each language the ``sample``-th smallest hash of its distinct texts, or the largest if it has fewer.
 
@@ -165,11 +182,8 @@ def typical(chosen: DataFrame, names: list[str], smoothed) -> tuple[object, obje
         import pyarrow as arrow
 
         for batch in batches:
-            own = {}
-            for i, buckets in _trigrams(batch.column("text")):
-                own[i] = own.get(i, 0) + np.bincount(buckets, minlength=BUCKETS)
             labels, out = batch.column("language").to_pylist(), []
-            for i, n in own.items():
+            for i, n in _counts(batch.column("text")):
                 at = np.flatnonzero(n)
                 if len(at):
                     rest = smoothed[:, place[labels[i]]]
