@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, ship, stored, text_or_empty
+from .common import bounded_batches, sent, ship, stored, text_or_empty
 
 ship(__name__)
 
@@ -30,8 +30,6 @@ ORDER = 5
 CHUNK, SHARD, SYMBOLS = 1 << 20, 1 << 21, 257
 #: Trusted ids that are sent at once.
 IDS = 1 << 21
-#: Languages with a threshold of their own, the most frequent among trusted rows; others share one.
-LANGUAGES = 256
 BEGIN, END = 2, 3  # control bytes that stand around a text
 
 
@@ -217,7 +215,9 @@ def _sums(text: Column, shard: int, shards: int, sent) -> Column:
         import numpy as np
         import pyarrow as arrow
 
-        lookup, out = Lookup(sent.value), np.zeros(len(texts))
+        if "lookup" not in sent.value:  # once a worker, not once a batch
+            sent.value["lookup"] = Lookup(sent.value)
+        lookup, out = sent.value["lookup"], np.zeros(len(texts))
         for first, codes, starts in _grams(t.as_py() for t in texts):
             if shards > 1:
                 own = np.flatnonzero(_shard_of(codes, shards) == shard)
@@ -239,6 +239,7 @@ def log_perplexity(rows: DataFrame, model: DataFrame, entries: int = SHARD) -> D
     for shard, n, arrays in _shards(model, entries):
         sent = spark.sparkContext.broadcast(arrays)
         parts.append(stored(rows.select("doc_id", "key", "kept", "language", "bytes", _sums(F.col("text"), shard, n, sent).alias("total")), "scores"))
+        sent.destroy()
     if len(parts) == 1:
         return parts[0]
     sums = None
@@ -274,7 +275,7 @@ def judge(
     One in ``held_out`` distinct trusted texts gives means and thresholds, each text once however often it is copied; the
     model is trained on all rows of the others.  The log perplexity is shrunk towards its language's mean as if by ``prior``
     more bytes, as that of a short text varies.  The threshold of a language is its median plus ``margin`` times the distance
-    from the median to the ``quantile``.  A language without held-out texts, null, or not among the 256 most frequent has
+    from the median to the ``quantile``.  A language without held-out texts, or null, has
     the threshold of all of them together, one of fewer than ``least`` the larger of the two; without any, everything is
     accepted.  Null texts are empty; they and repeated rows are scored like others.
     """
@@ -288,13 +289,12 @@ def judge(
     scores = log_perplexity(rows, train(trained.select("text")), entries)
     known = scores.where(F.pmod("key", F.lit(held_out)) == 0).join(good, scores["doc_id"] == good["trusted_id"], "left_semi")
     known = stored(known.select("language", "key", "bytes", "total").dropDuplicates(["language", "key"]), "held_out")
-    means = known.groupBy("language").agg((-F.sum("total") / F.sum(F.col("bytes") + 1)).alias("mean"), F.count("*").alias("n"))
-    means = stored(means.orderBy(F.desc("n"), "language").limit(LANGUAGES).drop("n"), "means")
+    means = stored(known.groupBy("language").agg((-F.sum("total") / F.sum(F.col("bytes") + 1)).alias("mean")), "means")
     mean = known.agg((-F.sum("total") / F.sum(F.col("bytes") + 1)).alias("m")).first()[0]
 
     def shrunk(df: DataFrame) -> DataFrame:
         m = F.coalesce("mean", F.lit(mean if mean is not None else 0.0))
-        return df.join(F.broadcast(means), "language", "left").withColumn("log_perplexity", (m * prior - F.col("total")) / (F.col("bytes") + 1 + prior))
+        return df.join(sent(means), "language", "left").withColumn("log_perplexity", (m * prior - F.col("total")) / (F.col("bytes") + 1 + prior))
 
     quantiles = F.percentile_approx("log_perplexity", [0.5, quantile], F.lit(10000)).alias("q")
     border = (F.col("q")[0] + margin * (F.col("q")[1] - F.col("q")[0])).alias("border")
@@ -302,6 +302,6 @@ def judge(
     limits = stored(shrunk(known).where("mean is not null").groupBy("language").agg(quantiles, F.count("*").alias("n")).select("language", border, "n"), "limits")
     whole = F.lit(shrunk(known).agg(quantiles).select(border).first()[0]).cast("double")
     own = F.when(F.col("n") < least, F.greatest("border", whole)).otherwise(F.coalesce("border", whole))
-    out = shrunk(scores).join(F.broadcast(limits), "language", "left").withColumn("threshold", own)
+    out = shrunk(scores).join(sent(limits), "language", "left").withColumn("threshold", own)
     accepted = F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(True)).alias("accepted")
     return out.select(F.col("doc_id").alias(id), "log_perplexity", "threshold", accepted, *[F.col("kept")[c].alias(c) for c in keep])
