@@ -23,6 +23,8 @@ DATE = "2024-01-01T00:00:00Z"
 #: Payloads below this many bytes are never turned into revisits.
 LEAST_BYTES = 100
 READ = 1 << 20
+#: Bytes of archives that a task reads back.
+TASK = 64 << 20
 INDEX = "archive string, offset long, length long, record_id string"
 
 
@@ -36,7 +38,10 @@ def deduplicated(pages: DataFrame, id: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(id).alias("page_id"), F.col(url).alias("url"), text_or_empty(F.col(html)).alias("payload"))
     rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha2(F.col("payload").cast("binary"), 256)})
     first = rows.where(F.col("bytes") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(first.drop("n"), "digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first"))).drop("first")
+    # Pages that can have no partner, as all empty ones, are dealt out evenly.
+    key = F.when(F.col("bytes") >= LEAST_BYTES, F.col("digest")).otherwise(F.concat(F.lit("\0"), F.xxhash64("page_id", "url").cast("string")))
+    found = rows.withColumn("_key", key).join(first.select(F.col("digest").alias("_key"), "first"), "_key", "left")
+    return found.withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first"))).drop("first", "_key")
 
 
 def write_archives(records: DataFrame, path: str) -> None:
@@ -195,7 +200,10 @@ def read_records(index: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    return index.repartitionByRange("archive", "offset").mapInArrow(
+    # A count by the bytes of the archives: left to itself, Spark would go by those of the index.
+    whole, records = index.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    tasks = max(1, -(-whole // TASK), min(records, index.sparkSession.sparkContext.defaultParallelism))
+    return index.repartitionByRange(tasks, "archive", "offset").mapInArrow(
         read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
     )
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leakscope.llm import repeats, runs, whiten
+from leakscope.llm import langid, repeats, runs, warc, whiten
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, chunk long, words long, found int, group int, kept string, v int, id string, runs int"
@@ -216,3 +216,33 @@ def test_odd_vectors(spark):
     got = {r.vec_id: int(r.deviation) for r in whiten.whiten(mid, whiten.fit(mid), 2).collect()}
     assert got == {0: 9 * 2**120, 1: 0, 2: 9 * 2**120}
     assert got and whiten.whitened_components(mid, scale=1, offset=0).select(F.max("deviation")).first()[0] == 0
+
+
+# --- 5 and 8 ---------------------------------------------------------------
+
+
+def test_archives_are_read_by_several_tasks(spark, tmp_path):
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"), F.when(F.col("id") > 5, F.repeat(F.lit("x"), 200)).alias("html"))
+    warc.write_archives(warc.deduplicated(pages.coalesce(1)), str(tmp_path / "in"))
+    index = warc.normalise(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    read = warc.read_records(index)
+    assert read.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in read.collect()}
+    assert got == {i: (0, "response", None) if i < 6 else (200, "response", None) if i == 6 else (200, "revisit", 6) for i in range(40)}
+
+
+def test_language_fit_holds_one_text_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([f"text number {i} of the batch" for i in range(4000)])
+    tracemalloc.start()
+    seen = sum(int(n.sum()) > 0 for _, n in langid._counts(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 4000 and peak < 16 << 20
+    whole = {}
+    for i, buckets in langid._trigrams(texts):
+        whole[i] = whole.get(i, 0) + np.bincount(buckets, minlength=langid.BUCKETS)
+    assert all((whole[i] == n).all() for i, n in langid._counts(texts))
