@@ -583,6 +583,30 @@ add("knn_join", f"""SELECT query_id, id, similarity, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank
     FROM (SELECT c.label AS query_id, vec_id AS id, {COS} AS similarity FROM embeddings, centroid c)) WHERE rank <= 10""")
 
+CTE["plane"] = "SELECT b, j, CASE WHEN substr(sha1(b || ':' || j), 1, 1) < '8' THEN 1 ELSE -1 END AS s FROM range(8) x(b), range(64) y(j)"
+CTE["vector_bucket"] = """SELECT vec_id, sum(CASE WHEN m >= 0 THEN 1 << b ELSE 0 END) AS bucket FROM (
+    SELECT vec_id, b, sum(s * floor(1024 * CAST(embedding[j + 1] AS DOUBLE))) AS m FROM embeddings, plane GROUP BY vec_id, b) GROUP BY vec_id"""
+CTE["bucket_size"] = "SELECT bucket, count(*) AS n FROM vector_bucket GROUP BY bucket"
+CTE["near_vector"] = """SELECT a.vec_id AS query_id, CASE WHEN b.vec_id IS NULL THEN CAST(a.embedding AS DOUBLE[])
+        ELSE list_transform(range(1, 65), lambda j: CAST(a.embedding[j] AS DOUBLE) + CAST(b.embedding[j] AS DOUBLE) * 0.25) END AS q
+    FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 50 = 0"""
+CTE["asked_vector"] = "SELECT * FROM near_vector UNION ALL SELECT -1, q FROM mean_vector"
+CTE["probe"] = """SELECT query_id, bucket, n FROM (
+    SELECT query_id, bucket, n, sum(n) OVER (PARTITION BY query_id ORDER BY cost, bucket) - n AS before FROM (
+        SELECT query_id, bucket, n, sum(CASE WHEN (m >= 0) <> ((bucket >> b) & 1 = 1) THEN abs(m) ELSE 0 END) AS cost FROM bucket_size,
+            (SELECT query_id, b, sum(s * floor(1024 * q[j + 1])) AS m FROM asked_vector, plane GROUP BY query_id, b) GROUP BY query_id, bucket, n))
+    WHERE before < (SELECT ceil(count(*) / 12) FROM embeddings)"""
+CTE["ann"] = f"""SELECT query_id, vec_id AS id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (
+    SELECT query_id, vec_id, {COS} AS similarity FROM probe JOIN vector_bucket USING (bucket) JOIN embeddings USING (vec_id) JOIN asked_vector USING (query_id))"""
+CTE["visit"] = "SELECT query_id, sum(n) AS visited FROM probe GROUP BY query_id"
+add("cosine_ann", "SELECT id, similarity FROM ann WHERE query_id = -1 AND rank <= 20")
+add("ann_topk", "SELECT query_id, id, similarity, rank, visited FROM ann JOIN visit USING (query_id) WHERE query_id >= 0 AND rank <= 10")
+add("ann_recall", f"""SELECT round(avg(CASE WHEN rank = 1 THEN hit END), 6) AS recall_at_1, round(avg(hit), 6) AS recall_at_10,
+    round((SELECT avg(visited) FROM visit WHERE query_id >= 0) / (SELECT count(*) FROM embeddings), 6) AS visited
+    FROM (SELECT t.rank, CASE WHEN a.id IS NULL THEN 0 ELSE 1 END AS hit FROM (
+        SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY {COS} DESC, vec_id) AS rank FROM embeddings, near_vector) t
+        LEFT JOIN (SELECT query_id, id FROM ann WHERE rank <= 10) a USING (query_id, id) WHERE t.rank <= 10)""")
+
 # --- extensions -------------------------------------------------------------
 
 add("entropy_tokens", f"""SELECT doc_id, token_no, length(token) AS original_length, e AS entropy FROM (

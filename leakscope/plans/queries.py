@@ -12,6 +12,7 @@ from ..catalog import default_catalog, parse_catalog_lines, prefix_terms
 from ..functions import scalars as S
 from ..functions import urls as U
 from ..knowledge import KnowledgeBase
+from ..operators import ann as AN
 from ..operators import browser as B
 from ..operators import detect as D
 from ..operators import extras as X
@@ -670,9 +671,49 @@ def cosine_topk(spark, d):
     return VE.cosine_topk(VW.vectors(spark, d), mean_vector(spark, d), 20)
 
 
+def vector_index(spark, d) -> tuple[str, int]:
+    """A stored index, filled in two steps, and the number of vectors that a query visits at least: one in twelve."""
+    path, rows = shared_dir(spark, "index"), VW.vectors(spark, d)
+    AN.create_index(spark, path, 64, bits=8)
+    AN.add_vectors(path, rows.where("id % 3 > 0"))
+    AN.add_vectors(path, rows.where("id % 3 = 0"))
+    return path, -(-AN.bucket_counts(spark, path).agg(F.sum("n")).first()[0] // 12)
+
+
+def near_vectors(spark, d) -> DataFrame:
+    """Queries: one vector in 50, moved a quarter of the way of its neighbour by id."""
+    rows = VW.vectors(spark, d).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    other = rows.select((F.col("id") - 1).alias("id"), F.col("vector").alias("other"))
+    moved = F.coalesce(F.zip_with("vector", "other", lambda x, y: x + y * 0.25), F.col("vector"))
+    return rows.where("id % 50 = 0").join(other, "id", "left").select(F.col("id").alias("query_id"), moved.alias("vector"))
+
+
 @query
 def cosine_ann(spark, d):
-    return VE.cosine_ann(VW.vectors(spark, d), mean_vector(spark, d), 20)
+    path, least = vector_index(spark, d)
+    asked = spark.createDataFrame([(0, mean_vector(spark, d))], "query_id long, vector array<double>")
+    return AN.search(spark, path, asked, 20, least=least).select("id", "similarity")
+
+
+@query
+def ann_topk(spark, d):
+    """Approximate neighbours of many vectors, with the number of rows that each visited."""
+    path, least = vector_index(spark, d)
+    asked = near_vectors(spark, d)
+    visited = AN.probes(spark, path, asked, least).groupBy("query_id").agg(F.sum("n").alias("visited"))
+    return AN.search(spark, path, asked, 10, least=least).join(visited, "query_id")
+
+
+@query
+def ann_recall(spark, d):
+    """How many of the exact first 1 and first 10 neighbours the index finds, and the share of rows it visits."""
+    found, rows = ann_topk(spark, d), VW.vectors(spark, d)
+    exact = VE.knn_join(rows, near_vectors(spark, d), 10).select("query_id", "id", F.col("rank").alias("true_rank"))
+    hits = exact.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    first = F.avg(F.when(F.col("true_rank") == 1, F.coalesce("hit", F.lit(0))))
+    recall = hits.agg(F.round(first, 6).alias("recall_at_1"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall_at_10"))
+    share = found.groupBy("query_id").agg(F.max("visited").alias("visited")).agg(F.avg("visited").alias("visited"))
+    return recall.crossJoin(share).crossJoin(rows.agg(F.count(F.lit(1)).alias("n"))).select("recall_at_1", "recall_at_10", F.round(F.col("visited") / F.col("n"), 6).alias("visited"))
 
 
 @query
