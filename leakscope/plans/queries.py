@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import values as V
@@ -23,6 +23,7 @@ from ..operators import retrieve as R
 from ..operators import traffic as T
 from ..operators import vectors as VE
 from ..operators import web as W
+from ..operators.store import FindingStore, upsert_stream
 from ..session import local_table, shared_dir
 from ..sources import readers, writers
 from ..streaming import traffic_stream as TS
@@ -838,6 +839,98 @@ def stream_tail(spark, d):
     return TS.current(spark, out).groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("oldest"))
 
 
+def in_slices(frame: DataFrame, path: str, run, column: str = "slice", n: int = 3) -> None:
+    """Write the rows to a folder slice by slice, and run what reads it after each."""
+    for i in range(n):
+        frame.where(F.col(column) == i).drop(column).write.mode("append").parquet(path)
+        run()
+
+
+def slice_of(ts: str) -> Column:
+    """Three slices of the log by time."""
+    return F.when(F.col(ts) < VW.SCAN_B_START, 0).when(F.col(ts) < VW.SCAN_A_END, 1).otherwise(2)
+
+
+def live_table(spark, path: str, like: DataFrame) -> DataFrame:
+    like.limit(0).write.parquet(path)
+    return spark.readStream.schema(like.schema).parquet(path)
+
+
+@query
+def stream_upsert(spark, d):
+    """The log as a stream in three parts, merged into a stored table; the last part is offered twice."""
+    path, out = shared_dir(spark, "log"), shared_dir(spark, "store")
+    log = VW.traffic_log(spark, d).where("stage = 'security_finding'").drop("event_id")
+    store = FindingStore(spark, out, buckets=8, compact_after=2)
+    stream = FN.normalize(T.split_log(live_table(spark, path, log)).drop("finding_id", "metadata"))
+    in_slices(log.withColumn("slice", slice_of("ts")), path, lambda: TS.run_to_end(upsert_stream(stream, store, out + "-checkpoint")))
+    store.merge(VW.log_findings(spark, d), 2)  # a replay: nothing changes
+    return store.read().select("finding_id", "severity", "source", "url", "ts", "occurrence_count")
+
+
+@query
+def stream_pairs(spark, d):
+    """Requests and responses of the live log, joined as they arrive; responses after five minutes belong to none."""
+    paths, out = [shared_dir(spark, name) for name in ("requests", "responses")], shared_dir(spark, "pairs")
+    log = VW.traffic_log(spark, d).select(F.col("event_id").alias("exchange_id"), "ts", "url")
+    answered = F.col("ts") + F.col("exchange_id") * 37 % 400
+    sides = [
+        log.select("exchange_id", F.timestamp_seconds("ts").alias("event_time"), "url", slice_of("ts").alias("slice")),
+        log.where("exchange_id % 7 <> 0").withColumn("ts", answered).select(
+            "exchange_id", F.timestamp_seconds("ts").alias("event_time"), (200 + F.col("exchange_id") % 5).alias("status"), slice_of("ts").alias("slice")
+        ),
+    ]
+    requests, responses = (live_table(spark, p, s.drop("slice")) for p, s in zip(paths, sides))
+    pairs = TS.pair_exchanges(requests, responses)
+
+    def run() -> None:
+        TS.run_to_end(TS.append_to(pairs, out, out + "-checkpoint"))
+
+    for i in range(3):
+        sides[0].where(F.col("slice") == i).drop("slice").write.mode("append").parquet(paths[0])
+        in_slices(sides[1].where(F.col("slice") == i).withColumn("slice", F.lit(0)), paths[1], run, n=1)
+    found = spark.read.parquet(out)
+    return found.select("exchange_id", "url", "status", F.unix_seconds("event_time").alias("asked"), F.unix_seconds("response_time").alias("answered"))
+
+
+def closed_log(spark, d, *columns: str) -> DataFrame:
+    """The log in slices, then an end mark that lets the watermark pass everything before it."""
+    log = VW.traffic_log(spark, d).select(*columns, F.timestamp_seconds("ts").alias("event_time"), slice_of("ts").alias("slice"))
+    end = spark.range(1).select(*[F.lit("end").alias(c) for c in columns], F.timestamp_seconds(F.lit(4102444800)).alias("event_time"), F.lit(3).alias("slice"))
+    return log.unionByName(end)
+
+
+@query
+def stream_sessions(spark, d):
+    """Sessions of each client and stage, rows less than an hour apart."""
+    path, out = shared_dir(spark, "log"), shared_dir(spark, "sessions")
+    log = closed_log(spark, d, "client", "stage")
+    stream = TS.client_sessions(live_table(spark, path, log.drop("slice")), ["client", "stage"], gap="1 hour")
+    in_slices(log, path, lambda: TS.run_to_end(TS.append_to(stream, out, out + "-checkpoint")), n=4)
+    return spark.read.parquet(out).select("client", "stage", F.unix_seconds("session_start").alias("first"), F.unix_seconds("session_end").alias("last"), "n")
+
+
+@query
+def stream_sliding(spark, d):
+    """Rows of each stage in hours that begin every quarter."""
+    path, out = shared_dir(spark, "log"), shared_dir(spark, "sliding")
+    log = closed_log(spark, d, "stage")
+    stream = TS.sliding_counts(live_table(spark, path, log.drop("slice")), ["stage"])
+    in_slices(log, path, lambda: TS.run_to_end(TS.append_to(stream, out, out + "-checkpoint")), n=4)
+    return spark.read.parquet(out).select("stage", F.unix_seconds("window_start").alias("hour"), "n")
+
+
+@query
+def stream_late(spark, d):
+    """Rows that arrive a slice after their own: in time or late, by the time seen before."""
+    path, out = shared_dir(spark, "log"), shared_dir(spark, "late")
+    log = VW.traffic_log(spark, d).select("event_id", F.timestamp_seconds("ts").alias("event_time"), (slice_of("ts") + VW.every("event_id", 97).cast("int")).alias("slice"))
+    stream = live_table(spark, path, log.drop("slice"))
+    in_slices(log, path, lambda: TS.run_to_end(TS.keep_late(stream, out, out + "-checkpoint", delay="2 days")), n=4)
+    parts = [spark.read.schema("event_id long").parquet(f"{out}/{name}").select("event_id", F.lit(name == "late").alias("late")) for name in ("rows", "late")]
+    return parts[0].unionByName(parts[1])
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Findings of the traffic log, enriched and counted by severity and risk category."""
     found = G.with_owasp(enriched(spark, d), KnowledgeBase())

@@ -6,6 +6,8 @@ and results belong in a folder that all executors reach.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,6 +45,60 @@ def distinct_findings(findings: DataFrame, *, delay: str = "10 minutes") -> Data
     return timed.dropDuplicatesWithinWatermark(["finding_id"])
 
 
+def pair_exchanges(requests: DataFrame, responses: DataFrame, *, within: str = "5 minutes", delay: str = "10 minutes", unanswered: bool = False) -> DataFrame:
+    """Requests with their responses, as each arrives, from two streams or two tables.
+
+    ``requests`` and ``responses`` have ``exchange_id`` and ``event_time``.  A response belongs to a request of its id if it
+    comes no earlier and at most ``within`` later.  Both sides have a watermark of ``delay``, so a request
+    is kept for ``within`` and ``delay`` and a response for ``delay``, however long the stream runs.  With ``unanswered``, requests without a
+    response come too, once none can follow.
+    """
+    left = requests.withWatermark("event_time", delay)
+    right = responses.withColumnRenamed("event_time", "response_time").withColumnRenamed("exchange_id", "response_id").withWatermark("response_time", delay)
+    matched = F.expr(f"exchange_id = response_id AND response_time >= event_time AND response_time <= event_time + interval {within}")
+    return left.join(right, matched, "left_outer" if unanswered else "inner").drop("response_id")
+
+
+def client_sessions(log: DataFrame, by: Sequence[str], *, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Sessions of each key: rows less than ``gap`` apart; ``session_start, session_end`` (of the last row), ``n``.
+
+    A session comes out when the watermark has passed its end by ``gap``; works on tables and streams.
+    """
+    timed = log.withWatermark("event_time", delay)
+    found = timed.groupBy(*by, F.session_window("event_time", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("event_time").alias("session_end"))
+    return found.select(*by, F.col("w.start").alias("session_start"), "session_end", "n")
+
+
+def sliding_counts(log: DataFrame, by: Sequence[str], *, width: str = "1 hour", slide: str = "15 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Counts of each key in windows of ``width`` that begin every ``slide``; a window is final when the watermark passes it."""
+    timed = log.withWatermark("event_time", delay)
+    found = timed.groupBy(*by, F.window("event_time", width, slide).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return found.select(*by, F.col("w.start").alias("window_start"), "n")
+
+
+def keep_late(stream: DataFrame, path: str, checkpoint: str, *, delay: str = "10 minutes", catch_up: bool = True) -> StreamingQuery:
+    """Write rows in time to ``path/rows`` and late ones to ``path/late``, by batch, instead of losing the late ones without a word.
+
+    A row is late if it lies more than ``delay`` before the latest time of the batches before its own.  That time is kept beside
+    the rows (``path/seen``), and a batch that is run again replaces itself.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        seen = spark.read.schema("latest timestamp").parquet(f"{path}/seen/batch={number - 1}").first()["latest"] if number > 0 else None
+        late = F.lit(False) if seen is None else F.coalesce(F.col("event_time") < F.lit(seen) - F.expr(f"interval {delay}"), F.lit(False))
+        marked = batch.withColumn("_late", late).persist()
+        try:
+            for name, test in (("rows", "not _late"), ("late", "_late")):
+                marked.where(test).drop("_late").write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+            latest = marked.agg(F.greatest(F.max("event_time"), F.lit(seen).cast("timestamp")).alias("latest"))
+            latest.coalesce(1).write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
+        finally:
+            marked.unpersist()
+
+    return _start(stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save), catch_up)
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str, *, catch_up: bool = True) -> StreamingQuery:
     """Append results to a parquet folder; ``catch_up`` stops at the end of the input."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
