@@ -634,7 +634,7 @@ add("stream_upsert", "SELECT finding_id, severity, source, url, ts, occurrence_c
 add("stream_pairs", """SELECT event_id AS exchange_id, url, 200 + event_id % 5 AS status, ts AS asked, ts + event_id * 37 % 400 AS answered
     FROM log WHERE event_id % 7 <> 0 AND event_id * 37 % 400 <= 300""")
 add("stream_sessions", """SELECT client, stage, min(ts) AS first, max(ts) AS last, count(*) AS n FROM (
-    SELECT *, sum(CASE WHEN ts - before < 3600 THEN 0 ELSE 1 END) OVER (PARTITION BY client, stage ORDER BY ts, event_id) AS session
+    SELECT *, sum(CASE WHEN ts - before <= 3600 THEN 0 ELSE 1 END) OVER (PARTITION BY client, stage ORDER BY ts, event_id) AS session
     FROM (SELECT *, lag(ts) OVER (PARTITION BY client, stage ORDER BY ts, event_id) AS before FROM log)) GROUP BY client, stage, session""")
 add("stream_sliding", "SELECT stage, ts - ts % 900 - 900 * k AS hour, count(*) AS n FROM log, range(4) r(k) GROUP BY ALL")
 SLICE = f"CASE WHEN ts < {VW.SCAN_B_START} THEN 0 WHEN ts < {VW.SCAN_A_END} THEN 1 ELSE 2 END + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END"

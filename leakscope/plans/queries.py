@@ -902,7 +902,7 @@ def closed_log(spark, d, *columns: str) -> DataFrame:
 
 @query
 def stream_sessions(spark, d):
-    """Sessions of each client and stage, rows less than an hour apart."""
+    """Sessions of each client and stage, rows at most an hour apart."""
     path, out = shared_dir(spark, "log"), shared_dir(spark, "sessions")
     log = closed_log(spark, d, "client", "stage")
     stream = TS.client_sessions(live_table(spark, path, log.drop("slice")), ["client", "stage"], gap="1 hour")

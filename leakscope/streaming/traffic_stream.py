@@ -60,7 +60,7 @@ def pair_exchanges(requests: DataFrame, responses: DataFrame, *, within: str = "
 
 
 def client_sessions(log: DataFrame, by: Sequence[str], *, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Sessions of each key: rows less than ``gap`` apart; ``session_start, session_end`` (of the last row), ``n``.
+    """Sessions of each key: rows at most ``gap`` apart; ``session_start, session_end`` (of the last row), ``n``.
 
     A session comes out when the watermark has passed its end by ``gap``; works on tables and streams.
     """
