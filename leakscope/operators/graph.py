@@ -6,6 +6,7 @@ shuffled for it.  Nodes are ``id, label, name, attrs``; edges ``src, dst, label`
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..knowledge import KnowledgeBase
 from ..session import cut_lineage, local_table, small
-from .findings import endpoints, latest
+from .findings import check_positive, endpoints, latest
 
 NODE_LABELS = ("Finding", "Endpoint", "CWE", "OWASP", "Mitigation", "AttackVector", "CodeExample")
 EDGE_LABELS = ("found_at", "is_instance_of", "exploitable_via", "belongs_to", "fixed_by", "demonstrates", "targets")
@@ -193,6 +194,30 @@ def finding_paths(edge_table: DataFrame, kb: KnowledgeBase) -> DataFrame:
     return of("is_instance_of", "finding", "cwe").join(small(weakness), "cwe").select("finding", "cwe", "owasp", "mitigation")
 
 
+def reachable(edge_table: DataFrame, start: DataFrame, max_depth: int, labels: Sequence[str] | None = None) -> DataFrame:
+    """``start, node, depth`` of all nodes within ``max_depth`` edges of each ``start(id)``, with the least number of edges.
+
+    One round an edge: the pairs found last meet the edges that leave their nodes, and pairs known before are left out, so cycles
+    end by themselves and no pair is extended twice.  Many starts share few nodes, so the edges in use are broadcast where a count
+    shows that they are few; otherwise the join is a shuffle whose skewed parts Spark splits.  A start is not reached by itself, unless over a cycle.
+    """
+    check_positive("max_depth", max_depth)
+    used = (edge_table if labels is None else edge_table.where(F.col("label").isin(*labels))).select("src", "dst").distinct()
+    new = cut_lineage(start.select(F.col("id").alias("start"), F.col("id").alias("node")).where("start is not null").distinct())
+    found = None
+    for depth in range(1, max_depth + 1):
+        leaving = used.join(new.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+        pairs = new.join(small(leaving), F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        if found is not None:
+            pairs = pairs.join(found.select("start", "node"), ["start", "node"], "left_anti")
+        new = cut_lineage(pairs)
+        level = new.withColumn("depth", F.lit(depth))
+        found = level if found is None else found.unionByName(level)
+        if new.isEmpty():
+            break
+    return found
+
+
 def successors(node_table: DataFrame, edge_table: DataFrame, src: str | Column, label: str | None = None) -> DataFrame:
     """Neighbours of a node, or of all nodes whose id starts with a prefix like ``cwe:``.
 

@@ -311,6 +311,9 @@ add("pattern_catalog", f"""SELECT raw_name, name, regex, coalesce(docs, 0) AS do
 add("diff_lines", """SELECT commit, path, substr(line, 1, 1) AS sign, count(*) AS n, sum(line_no) AS line_nos, max(file_no) AS file_no, sum(length(line)) AS chars
     FROM diff_rows GROUP BY commit, path, substr(line, 1, 1)""")
 
+add("diff_log", """SELECT commit, commit_ts, path, substr(line, 1, 1) AS sign, count(*) AS n, sum(line_no) AS line_nos, max(file_no) AS file_no, sum(length(line)) AS chars
+    FROM diff_rows GROUP BY commit, commit_ts, path, substr(line, 1, 1)""")
+
 # --- detection --------------------------------------------------------------
 
 add("pattern_scan_docs", f"SELECT doc_id, pattern, '[REDACTED]' AS snippet, least(n, 400) AS original_length FROM ({hits('docs', 'doc_id', 'text')})")
@@ -536,6 +539,10 @@ add("graph_stats", """SELECT kind, coalesce(n, 0) AS n FROM (VALUES ('findings',
 add("graph_paths", """SELECT a.src AS finding, a.dst AS cwe, b.dst AS owasp, c.dst AS mitigation
     FROM edge a JOIN edge b ON b.src = a.dst AND b.label = 'belongs_to' JOIN edge c ON c.src = a.dst AND c.label = 'fixed_by'
     JOIN (SELECT DISTINCT 'owasp:' || owasp_id AS o, 'mitigation:' || mitigation_id AS m FROM owasp_mit) om ON om.o = b.dst AND om.m = c.dst WHERE a.label = 'is_instance_of'""")
+ORACLE["graph_reach"] = with_ctes("SELECT 1 FROM edge").replace(" SELECT 1 FROM edge", """, walk AS (
+        SELECT src AS start, dst AS node, 1 AS depth FROM edge WHERE label = 'is_instance_of'
+        UNION ALL SELECT start, dst, depth + 1 FROM walk JOIN edge ON src = node WHERE depth < 5 AND label IN ('is_instance_of', 'belongs_to', 'fixed_by', 'demonstrates'))
+    SELECT start, node, min(depth) AS depth FROM walk WHERE node LIKE 'code_example:%' GROUP BY start, node""")
 add("graph_successors", "SELECT e.dst, n.label AS dst_label, n.name AS dst_name, count(*) AS n FROM edge e JOIN node n ON n.id = e.dst WHERE e.label = 'is_instance_of' GROUP BY ALL")
 EVIDENCE = "CAST(json_object('description', summary, 'url', url, 'method', method, 'client', source) AS VARCHAR)"
 add("graph_finding_attrs", f"""SELECT 'finding:' || finding_id AS id, url, method, summary AS description, severity,

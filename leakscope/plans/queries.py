@@ -26,6 +26,7 @@ from ..operators import web as W
 from ..operators.store import FindingStore, upsert_stream
 from ..session import local_table, shared_dir
 from ..sources import readers, writers
+from ..sources.diff_log import read_diff_log
 from ..streaming import traffic_stream as TS
 from . import audit as A
 from . import views as VW
@@ -111,6 +112,18 @@ def diff_lines(spark, d):
     )
 
 
+@query
+def diff_log(spark, d):
+    """Commits written as the text of a log with patches and read back; commit and time come from the text."""
+    path = shared_dir(spark, "history")
+    head = F.concat(F.lit("commit "), "commit", F.lit("\nAuthor: a <a@example.com>\nDate:   "), F.col("commit_ts").cast("string"), F.lit("\n\n    change\n\n"))
+    VW.commit_diffs(spark, d).select(F.concat(head, "diff", F.lit("\n")).alias("value")).write.text(path)
+    lines = read_diff_log(spark, path)
+    return lines.groupBy("commit", "commit_ts", "path", "sign").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("line_no").alias("line_nos"), F.max("file_no").alias("file_no"), F.sum(F.length("line")).alias("chars")
+    )
+
+
 # --- detection --------------------------------------------------------------
 
 
@@ -575,6 +588,15 @@ def graph_paths(spark, d):
     return G.finding_paths(readers.read_graph(spark, path)[1], KnowledgeBase())
 
 
+@query
+def graph_reach(spark, d):
+    """Code examples that each finding reaches, over weakness, category and mitigation, by the fewest edges."""
+    edges = G.build_graph(VW.log_findings(spark, d), KnowledgeBase())[1]
+    start = edges.where("label = 'is_instance_of'").select(F.col("src").alias("id"))
+    found = G.reachable(edges, start, 5, ["is_instance_of", "belongs_to", "fixed_by", "demonstrates"])
+    return found.where(F.col("node").startswith("code_example:"))
+
+
 @query
 def graph_successors(spark, d):
     nodes, edges = G.build_graph(VW.log_findings(spark, d), KnowledgeBase())

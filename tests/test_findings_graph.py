@@ -300,3 +300,28 @@ def test_no_warning_on_a_normal_report(spark, tmp_path):
     with warnings.catch_warnings():
         warnings.simplefilter("error", UserWarning)
         readers.read_report(spark, report(tmp_path, THREE))
+
+
+def test_reachable_is_a_breadth_first_search(spark):
+    import random
+
+    rnd = random.Random(2)
+    pairs = [(rnd.randrange(25), rnd.randrange(25), rnd.choice("xy")) for _ in range(45)] + [(1, 2, "x"), (2, 1, "x"), (3, 3, "x")]
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", c) for a, b, c in pairs], "src string, dst string, label string")
+    start = spark.createDataFrame([("n1",), ("n1",), ("n3",), ("n7",), ("none",), (None,)], "id string")
+    for labels, depth in ((None, 30), (("x",), 30), (None, 2)):
+        out = {}
+        for a, b, c in pairs:
+            if labels is None or c in labels:
+                out.setdefault(f"n{a}", set()).add(f"n{b}")
+        want = set()
+        for s in ("n1", "n3", "n7"):
+            seen, level = {}, {s}
+            for d in range(1, depth + 1):
+                level = {y for x in level for y in out.get(x, ()) if y not in seen}
+                seen |= dict.fromkeys(level, d)
+            want |= {(s, n, d) for n, d in seen.items()}
+        got = [tuple(r) for r in G.reachable(edges, start, depth, labels).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    with pytest.raises(ValueError):
+        G.reachable(edges, start, 0)
