@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .findings import check_positive
-from .retrieve import check_query, keyword_topk, tokens
-from .vectors import finding_vector_topk
+from .retrieve import check_query, keyword_scores, tokens
+from .top import global_rank
+from .vectors import TextModel, finding_similarity
 
 ENTROPY_THRESHOLD = 3.5
 TOKEN_REGEX = r"[A-Za-z0-9+/=_-]{20,}"
@@ -25,15 +26,17 @@ def entropy_tokens(df: DataFrame, text: str, *, keep: Sequence[str], threshold:
     return measured.where(F.col("entropy") >= threshold)
 
 
-def hybrid_topk(findings: DataFrame, query: str, k: int = 5, *, c: int = 60) -> DataFrame:
-    """Keyword and vector ranks of all findings merged by reciprocal rank."""
+def hybrid_topk(findings: DataFrame, query: str, k: int = 5, *, c: int = 60, model: TextModel | None = None) -> DataFrame:
+    """Keyword and vector ranks of all findings merged by reciprocal rank: ``id, score, lists``.
+
+    Both lists are ranked as a whole, by score and then id.  Findings without a word of the query are in the vector list
+    alone, those without a weighted word in the keyword list alone.
+    """
     check_positive("k", k)
-    everything = max(1, findings.count())
-    words = keyword_topk(findings, query, everything).select("id", F.col("score").cast("double").alias("s"), F.lit("keyword").alias("how"))
-    near = finding_vector_topk(findings, query, everything).select("id", F.col("similarity").alias("s"), F.lit("vector").alias("how"))
-    both = words.unionByName(near)
-    ranked = both.withColumn("r", F.row_number().over(Window.partitionBy("how").orderBy(F.col("s").desc(), "id")))
-    merged = ranked.groupBy("id").agg(F.round(F.sum(1.0 / (c + F.col("r"))), 8).alias("score"), F.count(F.lit(1)).alias("lists"))
+    words = keyword_scores(findings, query).where(F.col("score") > 0).select("id", F.col("score").cast("double").alias("s"))
+    near = finding_similarity(findings, query, model=model).where(F.col("similarity").isNotNull()).select("id", F.col("similarity").alias("s"))
+    lists = [global_rank(rows, [F.col("s").desc(), F.col("id")], rank="r").select("id", "r") for rows in (words, near)]
+    merged = lists[0].unionByName(lists[1]).groupBy("id").agg(F.round(F.sum(1.0 / (c + F.col("r"))), 8).alias("score"), F.count(F.lit(1)).alias("lists"))
     return merged.orderBy(F.col("score").desc(), "id").limit(k)
 
 

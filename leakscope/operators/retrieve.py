@@ -56,6 +56,11 @@ def _context() -> list[Column]:
     ]
 
 
+def keyword_scores(findings: DataFrame, query: str) -> DataFrame:
+    """``id, score``: how many words of the query each finding's text contains."""
+    return findings.select(_context()[0], _score(_text(), tokens(check_query(query))).alias("score"))
+
+
 def keyword_topk(findings: DataFrame, query: str, k: int = 5, *, tie: Sequence[str] = ("ts", "finding_id")) -> DataFrame:
     """The ``k`` findings whose text contains most words of the query, worst severity first."""
     words = tokens(check_query(query))

@@ -7,17 +7,18 @@ a batch emits only its best ``k`` per query.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator, Sequence
-from math import ceil, sqrt
+from dataclasses import dataclass
+from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -207,31 +208,87 @@ def cosine_ann(vectors: DataFrame, query: Sequence[float], k: int = 10, *, id_co
 
 # --- text vectors -----------------------------------------------------------
 
+#: What stands between words.
+BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
 
-def fit_text_vectors(texts: DataFrame, text: str = "text", dim: int = 384) -> PipelineModel:
-    """Hashed words weighted by rarity, scaled to length 1."""
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=1),
-            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim),
-            IDF(inputCol="_tf", outputCol="_tfidf"),
-            Normalizer(inputCol="_tfidf", outputCol="_unit", p=2.0),
-        ]
-    ).fit(texts)
 
+@dataclass(frozen=True)
+class TextModel:
+    """Weight of each bucket of words: ``ln((n + 1) / (df + 1))``, df the number of the n texts with a word of the bucket."""
 
-def text_vectors(texts: DataFrame, model: PipelineModel, *, keep: Sequence[str]) -> DataFrame:
-    done = model.transform(texts)
-    return done.select(*keep, vector_to_array("_unit", "float32").alias("vector"))
+    weights: tuple[float, ...]
 
 
-def finding_vector_topk(findings: DataFrame, query: str, k: int = 5, *, dim: int = 384) -> DataFrame:
-    """Cosine search over the summary and snippet of findings."""
-    spark = findings.sparkSession
-    texts = findings.select(
-        F.col("finding_id").alias("id"),
-        F.concat(F.coalesce("summary", F.lit("")), F.lit(" "), F.coalesce("snippet", F.lit(""))).alias("text"),
-    )
-    model = fit_text_vectors(texts, dim=dim)
-    asked = text_vectors(spark.createDataFrame([(query,)], "text string"), model, keep=[]).first()
-    return cosine_topk(text_vectors(texts, model, keep=["id"]), asked.vector, k)
+def word_bucket(word: str, dim: int) -> int:
+    """The bucket of a word: its SHA-1, so that every engine finds the same."""
+    return int(hashlib.sha1(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % dim
+
+
+def _bucket_counts(words: pa.Array, dim: int) -> np.ndarray:
+    """How many words of each bucket a list of words has, one row a list; empty words do not count."""
+    lists = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    bucket = np.array([word_bucket(w, dim) if w else dim for w in coded.dictionary.to_pylist()], dtype=np.int64)
+    out = np.zeros((len(words), dim + 1))
+    if len(coded):
+        np.add.at(out, (np.repeat(np.arange(len(words)), lists), bucket[coded.indices.to_numpy()]), 1)
+    return out[:, :dim]
+
+
+def _words(text) -> Column:
+    return F.split(F.lower(F.coalesce(col(text).cast("string"), F.lit(""))), BETWEEN_WORDS)
+
+
+def fit_text_vectors(texts: DataFrame, text: str = "text", dim: int = 384) -> TextModel:
+    """Weights over all texts; each task adds up its own, so ``dim`` numbers a task are shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, df = 0, np.zeros(dim, np.int64)
+        for b in batches:
+            df += (_bucket_counts(b.column(0), dim) > 0).sum(axis=0)
+            n += len(b)
+        if n:
+            yield pa.record_batch([pa.array(np.arange(dim, dtype=np.int32)), pa.array(df), pa.array([n] * dim, pa.int64())], names=["bucket", "df", "n"])
+
+    rows = texts.select(_words(text).alias("words")).mapInArrow(count, "bucket int, df long, n long")
+    found = rows.groupBy("bucket").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).orderBy("bucket").collect()
+    return TextModel(tuple(log((r["n"] + 1) / (r["df"] + 1)) for r in found) or (0.0,) * dim)
+
+
+def text_vector(text, model: TextModel) -> Column:
+    """Weighted word counts by bucket, scaled to length 1; all zero for a text without weighted words."""
+    weights = np.array(model.weights)
+
+    @F.arrow_udf("array<double>")
+    def vector(words: pa.Array) -> pa.Array:
+        found = _bucket_counts(words, len(weights)) * weights
+        norms = np.linalg.norm(found, axis=1, keepdims=True)
+        found = found / np.where(norms > 0, norms, 1)
+        return pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1], found.ravel())
+
+    return vector(_words(text))
+
+
+def text_vectors(texts: DataFrame, model: TextModel, *, keep: Sequence[str], text: str = "text") -> DataFrame:
+    return texts.select(*keep, text_vector(text, model).alias("vector"))
+
+
+def finding_text() -> Column:
+    return F.concat(F.coalesce("summary", F.lit("")), F.lit(" "), F.coalesce("snippet", F.lit("")))
+
+
+def finding_similarity(findings: DataFrame, query: str, *, dim: int = 384, model: TextModel | None = None) -> DataFrame:
+    """``id, similarity`` of each finding's summary and snippet to a query; null where either has no weighted word.
+
+    A model that was fitted before (``fit_text_vectors``) can serve many questions.
+    """
+    texts = findings.select(F.col("finding_id").alias("id"), finding_text().alias("text"))
+    model = model or fit_text_vectors(texts, dim=dim)
+    asked = findings.sparkSession.createDataFrame([(query,)], "text string").select(text_vector("text", model).alias("vector")).first().vector
+    return text_vectors(texts, model, keep=["id"]).select("id", F.round(cosine("vector", asked), 6).alias("similarity"))
+
+
+def finding_vector_topk(findings: DataFrame, query: str, k: int = 5, *, dim: int = 384, model: TextModel | None = None) -> DataFrame:
+    """The ``k`` findings whose summary and snippet are most like the query, ties by id."""
+    check_positive("k", k)
+    return finding_similarity(findings, query, dim=dim, model=model).orderBy(F.col("similarity").desc_nulls_last(), "id").limit(k)

@@ -614,6 +614,29 @@ add("ann_recall", f"""SELECT round(avg(CASE WHEN rank = 1 THEN hit END), 6) AS r
         SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY {COS} DESC, vec_id) AS rank FROM embeddings, near_vector) t
         LEFT JOIN (SELECT query_id, id FROM ann WHERE rank <= 10) a USING (query_id, id) WHERE t.rank <= 10)""")
 
+def weighted_words(source: str) -> str:
+    """CTE bodies for the rows ``(id, text)`` of a source: words by bucket, and their weights."""
+    return f"""SELECT id, CAST('0x' || substr(sha1(w), 1, 8) AS BIGINT) % 384 AS bucket, CAST(count(*) AS DOUBLE) AS tf
+        FROM (SELECT id, unnest(string_split_regex(lower(text), '[^\\pL\\pN_]+')) AS w FROM ({source})) WHERE w <> '' GROUP BY ALL"""
+
+
+CTE["doc_word"] = weighted_words("SELECT doc_id AS id, text FROM documents")
+CTE["doc_weight"] = """SELECT id, bucket, tf * ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) AS w
+    FROM doc_word JOIN (SELECT bucket, count(*) AS df FROM doc_word GROUP BY bucket) USING (bucket)"""
+CTE["found_word"] = weighted_words("SELECT finding_id AS id, summary || ' ' AS text FROM latest")
+CTE["bucket_weight"] = "SELECT b.bucket, ln(((SELECT count(*) FROM latest) + 1) / (coalesce(df, 0) + 1)) AS idf FROM range(384) b(bucket) LEFT JOIN (SELECT bucket, count(*) AS df FROM found_word GROUP BY bucket) USING (bucket)"
+CTE["asked_word"] = weighted_words(f"SELECT 0 AS id, {q(Q.QUESTION)} AS text")
+CTE["alike"] = """SELECT id, round(CASE WHEN n > 0 THEN coalesce(dot, 0) / (sqrt(n) * (SELECT sqrt(sum(tf * idf * tf * idf)) FROM asked_word JOIN bucket_weight USING (bucket))) END, 6) AS similarity FROM (
+    SELECT f.id, sum(f.tf * b.idf * f.tf * b.idf) AS n, sum(f.tf * b.idf * a.tf * b.idf) AS dot
+    FROM found_word f JOIN bucket_weight b USING (bucket) LEFT JOIN asked_word a USING (bucket) GROUP BY f.id)"""
+add("text_vectors", """SELECT doc_id, 384 AS dim, coalesce(buckets, 0) AS buckets, top_bucket, coalesce(round(top / n, 6), 0) AS top_weight, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END AS norm
+    FROM documents LEFT JOIN (SELECT id, count(*) AS buckets, arg_max(bucket, (w, -bucket)) AS top_bucket, max(w) AS top, sqrt(sum(w * w)) AS n FROM doc_weight WHERE w > 0 GROUP BY id) ON id = doc_id""")
+add("finding_vector_topk", "SELECT id, similarity FROM alike ORDER BY similarity DESC NULLS LAST, id LIMIT 5")
+add("hybrid_topk", f"""SELECT id, round(sum(1.0 / (60 + r)), 8) AS score, count(*) AS lists FROM (
+    SELECT id, row_number() OVER (ORDER BY similarity DESC, id) AS r FROM alike WHERE similarity IS NOT NULL
+    UNION ALL SELECT finding_id, row_number() OVER (ORDER BY s DESC, finding_id) FROM (SELECT finding_id, {keyword_score(Q.QUESTION)} AS s FROM latest) WHERE s > 0)
+    GROUP BY id ORDER BY score DESC, id LIMIT 5""")
+
 # --- extensions -------------------------------------------------------------
 
 add("entropy_tokens", f"""SELECT doc_id, token_no, length(token) AS original_length, e AS entropy FROM (

@@ -752,9 +752,15 @@ def knn_join(spark, d):
 
 @query
 def text_vectors(spark, d):
+    """The weighted buckets of each text: how many, the heaviest, and the length of the vector."""
     docs = VW.documents(spark, d)
     done = VE.text_vectors(docs, VE.fit_text_vectors(docs), keep=["doc_id"])
-    return done.select("doc_id", F.size("vector").alias("dim"), F.round(F.sqrt(VE.dot("vector", "vector")), 3).alias("norm"))
+    top = F.array_max("vector")
+    return done.select(
+        "doc_id", F.size("vector").alias("dim"), F.size(F.filter("vector", lambda x: x > 0)).alias("buckets"),
+        F.when(top > 0, F.array_position("vector", top) - 1).alias("top_bucket"), F.round(top, 6).alias("top_weight"),
+        F.round(F.sqrt(VE.dot("vector", "vector")), 3).alias("norm"),
+    )
 
 
 @query

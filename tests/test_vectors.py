@@ -83,3 +83,39 @@ def test_text_vectors_and_round_trip(spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, vecs.collect()))
     query = VE.text_vectors(spark.createDataFrame([("password",)], "text string"), model, keep=[]).first().vector
     assert VE.cosine_topk(back, query, 1).first().id == 1
+
+
+def test_text_vectors_are_brute_force(spark):
+    import hashlib
+    import math
+    import re
+    from collections import Counter
+
+    texts = ["api key leak, API key!", "password in config", "api token", "", None, " ;; ", "é_1 Ünder key"]
+    df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "id int, text string, words double").repartition(3)
+    model = VE.fit_text_vectors(df, dim=16)
+    bucket = lambda w: int(hashlib.sha1(w.encode()).hexdigest()[:8], 16) % 16
+    counts = [Counter(bucket(w) for w in re.findall(r"\w+", (t or "").lower())) for t in texts]
+    weights = [math.log(8 / (1 + sum(b in c for c in counts))) for b in range(16)]
+    assert np.allclose(model.weights, weights)
+    for r in VE.text_vectors(df, model, keep=["id"]).collect():
+        want = np.array([counts[r.id][b] * weights[b] for b in range(16)])
+        assert np.allclose(r.vector, want / (np.linalg.norm(want) or 1))
+    assert VE.text_vectors(df.limit(0), VE.fit_text_vectors(df.limit(0), dim=4), keep=["id"]).count() == 0
+
+
+def test_global_rank_is_the_row_number(spark):
+    import random
+
+    from leakscope.operators.top import global_rank
+
+    rnd = random.Random(1)
+    rows = [(i, rnd.choice([None, 1.0, 2.0, rnd.random()])) for i in range(500)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "id int, s double")
+    ranked = global_rank(df, [F.col("s").desc(), F.col("id")])
+    got = [(r["rank"], r.id) for r in ranked.collect()]
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert sorted(got) == [(n, i) for n, (i, _) in enumerate(want, 1)]
+    assert "SinglePartition" not in ranked._jdf.queryExecution().toString()
+    assert global_rank(df.limit(0), [F.col("s")]).count() == 0
