@@ -50,6 +50,30 @@ def scan_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return seen.select("finding_id", state.alias("state"))
 
 
+def scan_history(findings: DataFrame, scan: str = "scan_id") -> DataFrame:
+    """Unbroken stretches of scans that have a finding: ``finding_id, first_scan, last_scan, fixed_in, state``.
+
+    Scans are all values of the column, in their order; ``fixed_in`` is the first scan without the finding, null while it lasts.  The first
+    stretch of a finding is ``new``, later ones are ``returned``.  An id is one row with the set of its scans from the map side on; the driver
+    holds the scans' names.  Null ids and scans are left out.
+    """
+    rows = findings.select("finding_id", F.col(scan).alias("scan")).where("finding_id is not null and scan is not null")
+    names = [r[0] for r in rows.select("scan").distinct().orderBy("scan").collect()]
+    if not names:
+        return rows.select("finding_id", *[F.col("scan").alias(c) for c in ("first_scan", "last_scan", "fixed_in")], F.lit("").alias("state"))
+    every = F.array(*[F.lit(n) for n in names])
+    seen = rows.groupBy("finding_id").agg(F.collect_set("scan").alias("scans"))
+    seen = seen.select("finding_id", F.array_sort(F.transform("scans", lambda s: F.array_position(every, s).cast("int"))).alias("at"))
+    number = lambda i: F.get(F.col("at"), i)
+    begins = F.filter("at", lambda s, i: (i == 0) | (number(i - 1) < s - 1))
+    ends = F.filter("at", lambda s, i: (i == F.size("at") - 1) | (number(i + 1) > s + 1))
+    stretches = seen.select("finding_id", F.posexplode(F.arrays_zip(begins.alias("a"), ends.alias("b"))).alias("nth", "s"))
+    return stretches.select(
+        "finding_id", F.get(every, F.col("s.a") - 1).alias("first_scan"), F.get(every, F.col("s.b") - 1).alias("last_scan"), F.get(every, F.col("s.b")).alias("fixed_in"),
+        F.when(F.col("nth") == 0, "new").otherwise("returned").alias("state"),
+    )
+
+
 def text_index(findings: DataFrame) -> DataFrame:
     """Inverted index ``token, finding_id, tf`` over summary and snippet."""
     text = F.lower(F.concat_ws(" ", "summary", "snippet"))

@@ -17,6 +17,7 @@ from .. import values as V
 from ..catalog import Pattern
 from ..functions import scalars as S
 from ..functions import urls as U
+from ..session import small
 from . import detect
 from .findings import as_findings
 from .top import top_per_key
@@ -36,6 +37,24 @@ def bypassed(url="url") -> Column:
     return F.coalesce((host != "") & (host.rlike(named) | by_path), F.lit(True))
 
 
+def match_domains(rows: DataFrame, domains: DataFrame, url: str = "url") -> DataFrame:
+    """``rows`` with ``domain``: the longest of ``domains(domain)`` that the url's host is or lies below; null if none.
+
+    Hosts, each once, are cut into the names that they lie below and meet the domains by equality, so the list may have any length.
+    The hosts found are broadcast where a count shows that they are few; else Spark splits a frequent host's part of the join.
+    Domains count in lower case; null and empty ones match nothing.
+    """
+    names = [c for c in rows.columns if c != "domain"]
+    hosted = rows.select(*names, U.host(url).alias("_host"))
+    listed = domains.select(F.lower("domain").alias("_domain")).where("_domain <> ''").distinct()
+    hosts = hosted.select("_host").where("_host <> ''").distinct()
+    labels = F.split("_host", r"\.")
+    below = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = hosts.select("_host", F.explode(below).alias("_domain"))
+    longest = suffixes.join(small(listed), "_domain").groupBy("_host").agg(F.max_by("_domain", F.length("_domain")).alias("domain"))
+    return hosted.join(small(longest), "_host", "left").drop("_host")
+
+
 def ignored(url="url", host_regex: str = V.IGNORE_HOST_REGEX) -> Column:
     """Whether an exchange is left out of the counters and the sample."""
     low = F.lower(F.coalesce(S.col(url), F.lit("")))

@@ -564,6 +564,15 @@ add("flagship", "SELECT severity, e.cwe_id, owasp_id, count(*) AS n FROM enriche
 add("keyword_topk", f"""SELECT finding_id AS id, summary, severity, CAST(NULL AS VARCHAR) AS snippet, url, score
     FROM (SELECT *, {keyword_score(Q.QUESTION)} AS score FROM latest) WHERE score > 0 ORDER BY score DESC, {RANK} DESC, ts, finding_id LIMIT 10""")
 add("keyword_topk_batch", "SELECT query_id, rank, finding_id AS id, severity, score FROM batch")
+CTE["question"] = f"""SELECT c_custkey AS query_id, {pick(('password', 'api key', 'seen for', 'Basic auth', 'cookie cookie', 'zebra', 'storage user', 'in header'), 'c_custkey % 8')}
+    || ' user ' || (c_custkey % 1000) || ' no' AS text FROM customer"""
+CTE["question_word"] = """SELECT text, w, count(*) AS times FROM (SELECT DISTINCT text FROM question), unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) u(w)
+    WHERE length(w) > 2 GROUP BY text, w"""
+# Equal questions have equal answers, and a word is looked for once in each text.
+CTE["word_hit"] = "SELECT w, finding_id, severity, ts FROM (SELECT DISTINCT w FROM question_word) JOIN latest ON contains(lower(summary || ' '), w)"
+CTE["answered"] = f"""SELECT text, finding_id, severity, score, row_number() OVER (PARTITION BY text ORDER BY score DESC, {RANK} DESC, ts, finding_id) AS rank
+    FROM (SELECT text, finding_id, severity, ts, sum(times) AS score FROM question_word JOIN word_hit USING (w) GROUP BY ALL)"""
+add("keyword_topk_table", "SELECT query_id, rank, finding_id AS id, severity, score FROM question JOIN answered USING (text) WHERE rank <= 3")
 RULES = "\n".join(V.PROMPT_RULES)
 INSTRUCTIONS = "\n".join(V.PROMPT_INSTRUCTIONS)
 add("prompt_context", f"""SELECT query_id, n_contexts, context, length(context) + length(question) + {len(chr(10) + INSTRUCTIONS + chr(10) * 3 + 'Context (from retrieval):' + chr(10)) + len(chr(10) * 2 + 'Query: ') + len(chr(10) * 2 + 'Provide remediation following these rules:' + chr(10) + RULES + chr(10))} AS prompt_length
@@ -650,6 +659,17 @@ CTE["word"] = f"""SELECT token, finding_id, count(*) AS tf FROM (SELECT finding_
     WHERE token IN ({', '.join(q(t) for t in FTS)}) GROUP BY token, finding_id"""
 add("fts_rank", """SELECT finding_id, round(sum(tf * ln((SELECT CAST(count(*) AS DOUBLE) FROM latest) / df)), 6) AS score
     FROM word JOIN (SELECT token, count(*) AS df FROM word GROUP BY token) USING (token) GROUP BY finding_id ORDER BY score DESC, finding_id LIMIT 20""")
+add("scan_history", """SELECT finding_id, min(scan) AS first_scan, max(scan) AS last_scan, CASE WHEN max(scan) < (SELECT max((ts - 1704067200) // 432000) FROM finding) THEN max(scan) + 1 END AS fixed_in,
+    CASE WHEN row_number() OVER (PARTITION BY finding_id ORDER BY min(scan)) = 1 THEN 'new' ELSE 'returned' END AS state
+    FROM (SELECT *, scan - row_number() OVER (PARTITION BY finding_id ORDER BY scan) AS stretch FROM (SELECT DISTINCT finding_id, (ts - 1704067200) // 432000 AS scan FROM finding))
+    GROUP BY finding_id, stretch""")
+add("domain_match", f"""WITH hosts AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN 'x' || (event_id % 3) || '.c' || (event_id % 1999) || '.example.net'
+        WHEN event_id // 11 % 3 = 0 THEN 'eu.api.stripe.com' WHEN event_id // 11 % 3 = 1 THEN 'notstripe.com' END AS host FROM events),
+    listed AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'c' ELSE 'x1.c' END || c_custkey || '.example.net' AS domain FROM customer UNION SELECT unnest({array((*V.BYPASS_DOMAINS, 'net'))})),
+    names AS (SELECT host, list_aggregate(string_split(host, '.')[i:], 'string_agg', '.') AS domain FROM (SELECT host, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM (SELECT DISTINCT host FROM hosts))),
+    longest AS (SELECT host, arg_max(domain, length(domain)) AS domain FROM names JOIN listed USING (domain) GROUP BY host)
+    SELECT event_id, domain FROM hosts LEFT JOIN longest USING (host)""")
+ORACLE["fts_stored"] = ORACLE["fts_rank"]
 add("ignore_globs", f"""SELECT DISTINCT path, {' OR '.join(f'regexp_matches(path, {q(glob_regex(g))})' for g in Q.GLOBS)} AS ignored FROM diff_files""")
 add("severity_by_minute", "SELECT ts - ts % 60 AS minute, severity, count(*) AS n FROM finding GROUP BY ALL")
 

@@ -20,6 +20,7 @@ from ..operators import findings as FN
 from ..operators import graph as G
 from ..operators import history as H
 from ..operators import retrieve as R
+from ..operators import search as SE
 from ..operators import traffic as T
 from ..operators import vectors as VE
 from ..operators import web as W
@@ -271,6 +272,20 @@ def traffic_bypass(spark, d):
     return VW.urls(spark, d).select("event_id", T.bypassed("url").alias("bypass"))
 
 
+@query
+def domain_match(spark, d):
+    """Urls of the log, their hosts below a domain of each customer, against the domains of all customers and the fixed list."""
+    log = VW.traffic_log(spark, d).select("event_id")
+    host = F.concat(F.lit("https://X"), F.col("event_id") % 3, F.lit(".c"), F.col("event_id") % 1999, F.lit(".example.net/a?b=http://other.example/"))
+    fixed = VW.pick(("https://eu.api.stripe.com/v1", "https://notstripe.com/", "/relative"), F.floor(F.col("event_id") / 11) % 3)
+    urls = log.select("event_id", F.when(VW.every("event_id", 11), fixed).otherwise(host).alias("url"))
+    key = F.col("c_custkey").cast("string")
+    own = F.when(VW.every("c_custkey", 2), F.concat(F.lit("c"), key, F.lit(".example.net"))).otherwise(F.concat(F.lit("x1.C"), key, F.lit(".example.net")))
+    domains = VW.table(spark, d, "customer").select(own.alias("domain"))
+    listed = local_table(spark, [(x,) for x in (*V.BYPASS_DOMAINS, "net")], "domain string")
+    return T.match_domains(urls, domains.unionByName(listed)).select("event_id", "domain")
+
+
 @query
 def traffic_ignore(spark, d):
     return VW.messages(spark, d).select("event_id", "kind", T.ignored("url").alias("ignored"))
@@ -660,6 +675,20 @@ def keyword_topk_batch(spark, d):
     return found.select("query_id", "rank", "id", "severity", "score")
 
 
+def questions(spark, d) -> DataFrame:
+    """A question for each customer: words of its segment and address that findings may have, and some that they never have."""
+    c = VW.table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"))
+    word = VW.pick(("password", "api key", "seen for", "Basic auth", "cookie cookie", "zebra", "storage user", "in header"), F.col("query_id") % 8)
+    return c.select("query_id", F.concat(word, F.lit(" user "), (F.col("query_id") % 1000).cast("string"), F.lit(" no")).alias("text"))
+
+
+@query
+def keyword_topk_table(spark, d):
+    """As many questions as customers, answered in one pass over the findings."""
+    found = SE.keyword_topk_table(latest_findings(spark, d), questions(spark, d), 3)
+    return found.select("query_id", "rank", "id", "severity", "score")
+
+
 @query
 def prompt_context(spark, d):
     found = R.keyword_topk_batch(latest_findings(spark, d), QUESTIONS, 5)
@@ -786,12 +815,30 @@ def scan_diff(spark, d):
     return X.scan_diff(*VW.two_scans(spark, d))
 
 
+@query
+def scan_history(spark, d):
+    """Findings over scans of five days each: new, fixed and returned."""
+    found = VW.log_findings(spark, d).withColumn("scan", F.floor((F.col("ts") - 1704067200) / 432000))
+    return X.scan_history(found, "scan")
+
+
 @query
 def fts_rank(spark, d):
     f = latest_findings(spark, d)
     return X.search_index(X.text_index(f), QUESTION, f.count(), 20)
 
 
+@query
+def fts_stored(spark, d):
+    """Two scans added to a stored index, the second twice, and searched."""
+    path, scans = shared_dir(spark, "fts"), [latest_findings(spark, d).where(t) for t in ("severity IN ('CRITICAL', 'LOW')", "severity NOT IN ('CRITICAL', 'LOW')")]
+    SE.add_scan(spark, path, scans[0], "first")
+    SE.add_scan(spark, path, scans[1], "second")
+    SE.add_scan(spark, path, scans[1], "second")
+    SE.add_scan(spark, path, scans[1], "again")  # ids that are known
+    return SE.search_stored(spark, path, QUESTION, 20)
+
+
 @query
 def ignore_globs(spark, d):
     lines = diff_table(spark, d).select("path").distinct()
