@@ -28,6 +28,7 @@ from ..operators.store import FindingStore, upsert_stream
 from ..session import local_table, shared_dir
 from ..sources import readers, writers
 from ..sources.diff_log import read_diff_log
+from ..sources.text_lines import read_text_lines
 from ..streaming import traffic_stream as TS
 from . import audit as A
 from . import views as VW
@@ -85,13 +86,14 @@ def audit_summary(spark, d):
 
 @query
 def text_files(spark, d):
-    """Documents written as text files; those of one language are made binary by a NUL."""
+    """Documents written as text files; those of one language are made binary by a NUL, and all are there once more as archives."""
     path = shared_dir(spark, "texts")
     docs = VW.documents(spark, d, "lang")
     text = F.when(F.col("lang") == "de", F.concat(F.lit("\0"), "text")).otherwise(F.col("text"))
     docs.select("lang", text.alias("value")).write.partitionBy("lang").text(path)
-    found = readers.read_text_files(spark, path, glob="*.txt")
-    return D.scan_lines(found, "text", default_catalog(), keep=["path"]).groupBy("pattern").agg(F.count(F.lit(1)).alias("line_hits"))
+    docs.select("lang", F.col("text").alias("value")).write.mode("append").option("compression", "gzip").partitionBy("lang").text(path)
+    found = read_text_lines(spark, path, glob="*.txt*")
+    return D.scan(found, "line", default_catalog(), keep=["path"]).groupBy("pattern").agg(F.count(F.lit(1)).alias("line_hits"))
 
 
 @query

@@ -44,3 +44,31 @@ def test_lines_know_their_commit_in_any_split(spark, tmp_path, split):
             spark.conf.set(k, v)
     assert sorted(got, key=str) == sorted(want, key=str)
     assert tasks > 20 or split > 64
+
+
+@pytest.mark.parametrize("split", [5000, 1 << 20])
+def test_text_lines_are_those_of_text_files(spark, tmp_path, split):
+    import gzip
+
+    from leakscope.sources.text_lines import read_text_lines
+
+    texts = {
+        "a/long.txt": "line\n" * 5000 + "é" * 9000 + "\nlast", "b.txt": "x\0y\n" * 9, "c.TXT": "\n\n", "late.txt": "z" * 4096 + "\n\0 after the window\n",
+        "edge.txt": "z" * 4094 + "\n\0", "empty.txt": "",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "pic.PNG").write_text("not text")
+    (tmp_path / "d.txt.gz").write_bytes(gzip.compress(b"packed"))
+    keys = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = [(r.path.rsplit("/", 1)[-1], r.line) for r in read_text_lines(spark, str(tmp_path)).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = [(n.rsplit("/", 1)[-1], x) for n in ("a/long.txt", "c.TXT", "late.txt") for x in texts[n].removesuffix("\n").split("\n")]
+    assert sorted(got) == sorted(want)
