@@ -17,6 +17,7 @@ import html as html_lib
 import math
 import random
 import re
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
@@ -28,7 +29,11 @@ from .common import bounded_batches, ship, text_or_empty
 
 ship(__name__)
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: A comment, a declaration, or a tag.  Nothing is tried twice: quantifiers do not give back.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+#: The same where the quotes of a page do not pair up: a tag ends at the next sign.
+PLAIN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+OPEN = re.compile(r"<(?=[!?/a-zA-Z])")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 TOKEN = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
@@ -66,76 +71,114 @@ class Node:
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block nodes in page order (0 is the root) and the text blocks as (node, text)."""
-    nodes, blocks = [Node("#", -1, 0)], []
-    open_, run, links, at = [("#", 0)], [], 0, 0  # open elements as (tag, node or None)
+    """Block nodes in page order (0 is the root) and the text blocks as (node, text).
 
-    def here() -> int:
-        return next(n for _, n in reversed(open_) if n is not None)
+    Text outside all elements lies in a body of its own.  Each step looks at the top of a stack, so the time grows with the page
+    alone, however its tags are nested or left open.
+    """
+    nodes, blocks = [Node("#", -1, 0)], []
+    open_, run, links, at = ["#"], [], 0, 0  # open elements
+    within: dict[str, list[int]] = defaultdict(list)  # tag -> its places among the open elements
+    held = [(0, 0)]  # open blocks as (place among the open elements, node)
+    loose, endless, pattern = 0, set(), TAG
 
     def flush() -> None:
+        nonlocal loose
         if run:
             text = SPACE.sub(" ", html_lib.unescape("".join(run))).strip()
             run.clear()
             if text:
-                owner = nodes[here()]
-                blocks.append((here(), text))
+                i = held[-1][1]
+                if not i:
+                    if not loose:
+                        loose = len(nodes)
+                        nodes[0].children.append(loose)
+                        nodes.append(Node("body", 0, 1))
+                    i = loose
+                owner = nodes[i]
+                blocks.append((i, text))
                 owner.own += len(text)
                 owner.words += text.count(" ") + 1
                 owner.stops += sum(text.count(c) for c in ".,;:!?")
 
-    def close(to: int) -> None:
+    def cut(to: int) -> None:
         nonlocal links
-        flush()
         while len(open_) > to:
-            tag, _ = open_.pop()
+            tag = open_.pop()
+            within[tag].pop()
             links -= tag == "a"
+        while held[-1][0] >= to:
+            held.pop()
+
+    def close(to: int) -> None:
+        flush()
+        cut(to)
+
+    def place_of(tags: tuple) -> int:
+        return max((within[t][-1] for t in tags if within[t]), default=0)
 
-    def implied(tags: tuple, within: tuple) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i][0] in tags:
-                close(i)
-                return
-            if open_[i][0] in within:
-                return
+    def implied(tags: tuple, borders: tuple) -> None:
+        i = place_of(tags)
+        if i > place_of(borders):
+            close(i)
+
+    def put(tag: str, block: bool) -> None:
+        within[tag].append(len(open_))
+        if block:
+            held.append((len(open_), len(nodes)))
+        open_.append(tag)
 
     def say(text: str) -> None:
         if text:
             run.append(text)
             if links:
-                nodes[here()].links += len(text.strip())
-
-    while m := TAG.search(page, at):
+                nodes[held[-1][1]].links += len(text.strip())
+
+    while True:
+        start = OPEN.search(page, at)
+        if not start:
+            break
+        m = pattern.match(page, start.start())
+        if not m and pattern is TAG:  # a quote that nothing closes: from here on tags end at the next sign
+            pattern = PLAIN
+            m = pattern.match(page, start.start())
+        if not m:
+            if page.find(">", start.start()) < 0:
+                break  # no tag ends any more
+            say(page[at : start.end()])
+            at = start.end()
+            continue
         say(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            i = next((i for i in range(len(open_) - 1, 0, -1) if open_[i][0] == tag), None)
-            if i is None:
+            if not within[tag]:
                 if tag in BLOCKS:
                     flush()
             elif tag in BLOCKS:
-                close(i)
-            elif open_[i + 1 :] and any(n is not None for _, n in open_[i + 1 :]):
+                close(within[tag][-1])
+            elif held[-1][0] > within[tag][-1]:
                 pass  # the end of a phrase that a block was opened in: the block goes on
             else:
-                links -= sum(t == "a" for t, _ in open_[i:])
-                del open_[i:]
+                cut(within[tag][-1])
             continue
-        nodes[here()].tags += 1
+        nodes[held[-1][1]].tags += 1
         if tag in RAW:
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page) if tag != "head" else at
+                end = None if tag in endless else re.compile(rf"</{re.escape(tag)}(?![\w-])", re.I).search(page, at)
+                to = page.find(">", end.end()) + 1 if end else 0
+                if not to:
+                    endless.add(tag)
+                at = to or (len(page) if tag != "head" else at)
             run.append(" " if tag in ("svg", "object") else "")
             continue
         if tag in VOID and tag not in BLOCKS:
             if tag == "br":
                 run.append("\n")
             if tag == "input":
-                nodes[here()].inputs += 1
+                nodes[held[-1][1]].inputs += 1
             continue
         if tag in BLOCKS:
             flush()
@@ -145,21 +188,21 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 implied(tuple(SIBLINGS[tag][0].split()), SIBLINGS[tag][1])
             if tag == "hr":
                 continue
-            parent = here()
+            parent = held[-1][1]
             node = Node(tag, parent, nodes[parent].depth + 1)
             nodes[parent].children.append(len(nodes))
             for name, value in ATTRIBUTE.findall(m[3]):
                 name, value = name.lower(), value.strip("\"'").lower()
-                if name == "data-label":
+                if name == "data-label" and value.isdigit():
                     node.label = int(value)
                 elif name in ("class", "id", "role", "itemprop", "aria-label", "style", "hidden"):
                     found = {*TOKEN.findall(value)} | ({"hidden"} if name == "hidden" else set())
                     node.against += len(found & AGAINST)
                     node.for_ += len(found & FOR)
-            open_.append((tag, len(nodes)))
+            put(tag, True)
             nodes.append(node)
         else:
-            open_.append((tag, None))
+            put(tag, False)
             links += tag == "a"
     say(page[at:])
     close(1)
@@ -178,11 +221,14 @@ def features(nodes: list[Node]) -> list[list[float]]:
     """One row of numbers a node; all but the root."""
     whole, out = nodes[0].text or 1, [None]
     above = [(0, 0)] * len(nodes)
+    places, alike = [0] * len(nodes), [Counter(nodes[c].tag for c in n.children) for n in nodes]
+    for n in nodes:
+        for k, c in enumerate(n.children):
+            places[c] = k
     for i, n in enumerate(nodes[1:], 1):
         p = nodes[n.parent]
         above[i] = (above[n.parent][0] + p.against, above[n.parent][1] + (p.tag in ("article", "main")))
-        place, many = p.children.index(i) if len(p.children) < 64 else 32, len(p.children)
-        same = sum(nodes[c].tag == n.tag for c in p.children[:64])
+        place, many, same = places[i], len(p.children), alike[n.parent][n.tag]
         kinds = [0.0] * len(KINDS)
         if n.tag in KIND:
             kinds[KIND[n.tag]] = 1.0
@@ -190,7 +236,7 @@ def features(nodes: list[Node]) -> list[list[float]]:
         out.append([
             *kinds, float(n.depth), math.log1p(n.text), n.text / whole, n.links / text, n.tags / text, n.stops / (n.words or 1), n.text / (n.words or 1),
             math.log1p(n.words), n.own / text, float(n.paragraphs), n.paragraphs / (nodes[0].paragraphs or 1), float(n.inputs), float(len(n.children)),
-            place / many, many - 1.0 - place, float(many), same / min(many, 64), n.text / (p.text or 1), float(n.against), float(n.for_), float(above[i][0]), float(above[i][1]),
+            place / many, many - 1.0 - place, float(many), same / many, n.text / (p.text or 1), float(n.against), float(n.for_), float(above[i][0]), float(above[i][1]),
         ])
     return out[1:]
 
@@ -273,11 +319,21 @@ def _labelled(nodes: list[Node]) -> list[tuple[float, list[float]]]:
 
 
 def training_rows(page: str, seed: int, variants: int) -> list[tuple[float, list[float]]]:
-    """Labelled node features of pages composed from the parts of one; none if it has no article or main element."""
+    """Labelled node features of pages composed from the parts of one.
+
+    Main text is that of article and main elements.  A page without them lends its paragraphs of ten words and more that lie in
+    nothing that speaks against them, and as such a guess is no truth about the page itself, only the composed pages are learned from.
+    """
     nodes, blocks = parse(page)
+    marked = any(n.tag in ("article", "main") for n in nodes)
     inside = [False] * len(nodes)
     for i, n in enumerate(nodes):
         inside[i] = n.tag in ("article", "main") or (n.parent >= 0 and inside[n.parent] and n.tag not in ("nav", "aside", "footer", "form") and not n.against)
+    if not marked:
+        bad = [n.against > 0 or n.tag in ("nav", "aside", "footer", "form", "header") for n in nodes]
+        for i, n in enumerate(nodes[1:], 1):
+            bad[i] = bad[i] or bad[n.parent]
+            inside[i] = n.tag not in ("li", "a", "button", "label") and n.own > 0 and n.words >= 10 and n.links < n.text / 2 and not bad[i]
     main = [html_lib.escape(t) for i, t in blocks if inside[i]]
     other = [html_lib.escape(t) for i, t in blocks if not inside[i] and nodes[i].tag != "li"] or ["x x x"]
     links = [html_lib.escape(t) for i, t in blocks if not inside[i] and nodes[i].tag == "li"] or ["x", "y"]
@@ -285,7 +341,7 @@ def training_rows(page: str, seed: int, variants: int) -> list[tuple[float, list
         return []
     for i, n in enumerate(nodes):
         n.label = int(inside[i]) if inside[i] or n.tag not in ("#", "html", "body", "div") else None
-    draw, out = random.Random(seed), _labelled(nodes)
+    draw, out = random.Random(seed), _labelled(nodes) if marked else []
     for _ in range(variants):
         # Some pages get short articles, some get asides that are as long as articles.
         size = draw.random()
@@ -298,10 +354,13 @@ def training_rows(page: str, seed: int, variants: int) -> list[tuple[float, list
 def fit(pages: DataFrame, text: str = "html", sample: int = 300, variants: int = 6, rounds: int = 25, depth: int = 5) -> list:
     """Trees as nested tuples ``(feature, border, low, high)`` with numbers as leaves; weights are multiplied in.
 
-    Fitted on the ``sample`` pages of lowest text hash that have an article or main element; no such page, no trees.
+    Fitted on the ``sample`` pages of lowest text hash that have an article or main element, or of all pages if none has;
+    no trees if there is nothing to tell apart.
     """
     has = F.col(text).rlike(r"(?i)<(article|main)\b")
-    chosen = pages.where(has).select(F.col(text).alias("html"), F.xxhash64(text).alias("h")).orderBy("h").limit(sample)
+    known = pages.where(has)
+    known = pages.where(F.col(text).isNotNull()) if known.isEmpty() else known
+    chosen = known.select(F.col(text).alias("html"), F.xxhash64(text).alias("h")).orderBy("h").limit(sample)
 
     def rows(batches):
         import pyarrow as arrow
@@ -357,11 +416,11 @@ def _texts(pages: list[str], trees: list) -> list[str]:
     raw = np.zeros(len(x))
     for tree in trees:
         _raw(tree, x, raw, np.arange(len(x)))
-    chances, at, out = (1 / (1 + np.exp(-2 * raw))).tolist(), 0, []
+    chances, at, out = (1 / (1 + np.exp(-2 * raw))).tolist() if trees else [1.0] * len(x), 0, []
     for (nodes, blocks), own in zip(parsed, rows):
         kept = decode(nodes, chances[at : at + len(own)])
         at += len(own)
-        out.append("\n\n".join(text for node, text in blocks if kept[node] and (node or len(nodes) == 1)))
+        out.append("\n\n".join(text for node, text in blocks if kept[node]))
     return out
 
 
@@ -387,11 +446,9 @@ def main_text(page: Column, trees: list) -> Column:
 def extract_pages(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", **fitting) -> DataFrame:
     """One row for each page: id, url, ``text``, ``n_chars`` (code points).
 
-    A null or empty page has an empty text, and so has every page if the table has no page with an
-    article or main element to fit on.  Text outside all block elements counts only where
-    there are none.  Repeated rows stay.
+    A null or empty page has an empty text.  Text outside all block elements lies in a body of its own.  A table that
+    nothing can be learned from, as no page has both main text and something else, keeps all text.  Repeated rows stay.
     """
     bounded_batches(pages.sparkSession)
-    trees = fit(pages, html, **fitting)
-    rows = pages.select(id, url, main_text(F.col(html), trees).alias("text") if trees else F.lit("").alias("text"))
+    rows = pages.select(id, url, main_text(F.col(html), fit(pages, html, **fitting)).alias("text"))
     return rows.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leakscope.llm import langid, repeats, runs, warc, whiten
+from leakscope.llm import html_text, langid, repeats, runs, warc, whiten
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, chunk long, words long, found int, group int, kept string, v int, id string, runs int"
@@ -246,3 +246,55 @@ def test_language_fit_holds_one_text_at_a_time():
     for i, buckets in langid._trigrams(texts):
         whole[i] = whole.get(i, 0) + np.bincount(buckets, minlength=langid.BUCKETS)
     assert all((whole[i] == n).all() for i, n in langid._counts(texts))
+
+
+# --- 6 ---------------------------------------------------------------------
+
+
+def test_loose_text_is_kept_and_classified():
+    nodes, blocks = html_text.parse("Intro text of the page.<div>a block of words</div> tail <b>text</b>")
+    assert [t for _, t in blocks] == ["Intro text of the page.", "a block of words", "tail text"]
+    assert nodes[blocks[0][0]].tag == "body" and blocks[0][0] == blocks[2][0] and len(html_text.features(nodes)) == 2
+    assert html_text._texts(["Intro.<div>words</div>tail", "only text", ""], []) == ["Intro.\n\nwords\n\ntail", "only text", ""]
+
+
+def test_siblings_are_numbered_in_any_number():
+    nodes, _ = html_text.parse("<div>" + "<p>x y</p>" * 9000 + "<ul><li>z</ul></div>")
+    rows = html_text.features(nodes)
+    many = len(nodes[1].children)
+    place = len(html_text.KINDS) + 13
+    assert many == 9001 and [r[place] for r in rows[1:9002]] == [k / many for k in range(many)]
+
+
+@pytest.mark.parametrize("page", [
+    '<a href="x>y ' * 70000, "<p class='a>text</p>" * 50000, "<div>" * 100000 + "x", "<b>" * 250000 + "x", "<a><div>" * 60000 + "</a>" * 60000,
+    '<a b="c ' * 100000, "< <x " * 200000, "<head>" * 100000, "</script" * 100000 + "<script>" * 1000, "<!--" * 200000, "<li>" * 100000, "<p>x<table>" * 60000,
+], ids=lambda p: p[:12])
+def test_hostile_pages_take_time_in_proportion(page):
+    import time
+
+    def seconds(text):
+        start = time.process_time()
+        nodes, _ = html_text.parse(text)
+        html_text.decode(nodes, [0.5] * len(html_text.features(nodes)))
+        return time.process_time() - start
+
+    half, whole = seconds(page[: len(page) // 2]), seconds(page)
+    assert whole < 3.2 * half + 0.3  # twice the page takes about twice the time
+
+
+def test_tables_without_article_elements_have_texts(spark):
+    import re
+
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").limit(120)
+    marked = {r.page_id: r.text for r in html_text.extract_pages(pages).collect()}
+    plain = pages.withColumn("html", F.regexp_replace("html", r"(?i)<(/?)(article|main)\b", "<$1div"))
+    assert plain.where(F.col("html").rlike("(?i)<(article|main)")).count() == 0
+    found = {r.page_id: r.text for r in html_text.extract_pages(plain).collect()}
+    words = lambda t: set(re.findall(r"\w+", t))
+    scores = []
+    for i, text in marked.items():
+        a, b = words(text), words(found[i])
+        if a:
+            scores.append(2 * len(a & b) / (len(a) + len(b)))
+    assert sum(scores) / len(scores) > 0.9, sum(scores) / len(scores)
