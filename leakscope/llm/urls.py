@@ -1,16 +1,14 @@
 """URL filters: host and path rules, and trust and distrust that spread along links between hosts.
 
-Hosts whose pages the rules allow are seeds of trust; hosts whose pages they block
-are seeds of distrust, each by the share of its pages.  The verdict looks at two shares
-(``host_shares``): of a host's own links, how many lead to blocked pages, and of the
-links to it, how many come from allowed ones, both damped along further links.  They
-do not depend on how many others link to the same host, so a farm of many
-linkers is blocked like one, and a hub with one bad link is not.  A host is blocked where
-the first exceeds the second by the threshold; rules come before that.
-
-``host_scores`` are ranks: trust follows the links (personalised PageRank), distrust goes
-against them, relative to a seed that is allowed or blocked entirely.  Links to or from a
-host split them, so they have no threshold.
+Hosts whose pages the rules allow are seeds of trust, hosts whose pages they block seeds of distrust, each by the share of
+its pages.  Trust is a personalised PageRank from the trusted seeds along the links.  Distrust goes against
+them, from the blocked seeds to those that link to them: a host gets the share of its own links that its targets' distrust
+is reached by, so its distrust is the mass that a walk from it along its links, damped by each step, leaves on blocked seeds.
+
+Both are compared on a scale that no number of linkers changes.  Distrust is a share already: each of many hosts that link to one blocked
+host alone gets the same, and a hub with one bad link of many gets little.  Trust is taken relative to
+the PageRank of all hosts (the share of a host's rank that stems from trusted seeds).  A host is blocked where its
+distrust exceeds its relative trust by the threshold; rules come before that.
 """
 
 from __future__ import annotations
@@ -55,60 +53,42 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def _spread(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float, rounds: int) -> DataFrame:
-    """``score = seed + damping * sum of weight * score`` along ``edges(src, dst, weight)``; ``(host, score)``.
+    """For each column of ``seeds(host, ...)``: ``score = seed + damping * sum of weight * score`` along ``edges(src, dst, weight)``.
 
-    One stored table of scores a round.  Sums are partial on the map side.
+    One stored table a round, with the scores before beside the new ones, until no score changes by more than ``tolerance`` of itself (or of 1,
+    if it is less).  Sums are partial on the map side.  Not to get there in ``rounds`` is an error.
     """
-    scores = stored(seeds.select("host", F.col("seed").alias("score")), "scores")
+    names = [c for c in seeds.columns if c != "host"]
+    scores = seeds
     for _ in range(rounds):
-        given = edges.join(scores, edges["src"] == scores["host"]).groupBy("dst").agg(F.sum(F.col("weight") * F.col("score")).alias("got"))
-        new = seeds.join(given, seeds["host"] == given["dst"], "full").select(
-            F.coalesce("host", "dst").alias("host"), (F.coalesce("seed", F.lit(0.0)) + damping * F.coalesce("got", F.lit(0.0))).alias("score")
-        )
-        old, scores = scores.withColumnRenamed("score", "before"), stored(new, "scores")
-        change = scores.join(old, "host", "full").agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))))).first()[0]
-        if (change or 0.0) <= tolerance:
-            break
-    return scores
-
-
-def _seeds_and_links(judged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Seeds ``(host, allowed, blocked)``, and links ``(src, dst, weight)``: by the share of the source's links, and of the target's."""
+        given = edges.join(scores.select(F.col("host").alias("src"), *names), "src").groupBy(F.col("dst").alias("host")).agg(*[F.sum(F.col("weight") * F.col(c)).alias(f"got_{c}") for c in names])
+        before = scores.select("host", *[F.col(c).alias(f"old_{c}") for c in names])
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        new = seeds.join(given, "host", "full").join(before, "host", "left")
+        scores = stored(new.select("host", *[(zero(c) + damping * zero(f"got_{c}")).alias(c) for c in names], *[zero(f"old_{c}").alias(f"old_{c}") for c in names]), "scores")
+        changes = [F.max(F.abs(F.col(c) - F.col(f"old_{c}")) / F.greatest(F.col(c), F.lit(1.0))) for c in names]
+        if (scores.agg(F.greatest(*changes, F.lit(0.0))).first()[0] or 0.0) <= tolerance:
+            return scores.select("host", *names)
+    raise ArithmeticError(f"scores change by more than {tolerance} after {rounds} rounds")
+
+
+def host_scores(judged: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 300) -> DataFrame:
+    """``(host, trust, rank, distrust)`` from pages ``(host, action, html)``, for hosts of pages and of links.
+
+    ``trust`` is the personalised PageRank from the allowed seeds, ``rank`` that from all hosts alike, ``distrust`` the blocked share of the host's
+    pages and, for the share without a rule, the damped mean distrust of what it links to.
+    """
     share = lambda action: F.avg(F.when(F.col("action") == action, 1.0).otherwise(0.0))
-    seeds = stored(judged.where("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "seeds")
-    links = stored(host_links(judged), "links")
-    out_of, into = links.groupBy("src").agg(F.sum("n").alias("all")), links.groupBy("dst").agg(F.sum("n").alias("all"))
+    own = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked"))
+    found = stored(host_links(judged), "links")
     weight = (F.col("n") / F.col("all")).alias("weight")
-    return seeds, stored(links.join(out_of, "src").select("src", "dst", weight), "out"), stored(links.join(into, "dst").select("src", "dst", weight), "into")
-
-
-def _back(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-
-
-def host_scores(judged: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
-    """Ranks ``(host, trust, distrust)`` from pages ``(host, action, html)``."""
-    seeds, out, into = _seeds_and_links(judged)
-    trust = _spread(seeds.select("host", F.col("allowed").alias("seed")), out, damping, tolerance, rounds)
-    distrust = _spread(seeds.select("host", F.col("blocked").alias("seed")), _back(into), damping, tolerance, rounds)
-    names = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
-    return names.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-
-
-def host_shares(judged: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
-    """``(host, risk, backing)`` in [0, 1] from pages ``(host, action, html)``.
-
-    ``risk`` is the blocked share of the host's pages, and for the share without a rule the
-    damped mean risk of what it links to; ``backing`` the allowed share, and for the rest the
-    damped mean backing of what links to it.
-    """
-    seeds, out, into = _seeds_and_links(judged)
-    free = stored(seeds.select(F.col("host").alias("dst"), (1.0 - F.col("allowed") - F.col("blocked")).alias("free")), "free")
-    towards = lambda edges: stored(edges.join(free, "dst", "left").select("src", "dst", (F.col("weight") * F.coalesce("free", F.lit(1.0))).alias("weight")), "towards")
-    risk = _spread(seeds.select("host", F.col("blocked").alias("seed")), towards(_back(out)), damping, tolerance, rounds)
-    backing = _spread(seeds.select("host", F.col("allowed").alias("seed")), towards(into), damping, tolerance, rounds)
-    names = risk.withColumnRenamed("score", "risk").join(backing.withColumnRenamed("score", "backing"), "host", "full")
-    return names.select("host", F.coalesce("risk", F.lit(0.0)).alias("risk"), F.coalesce("backing", F.lit(0.0)).alias("backing"))
+    links = stored(found.join(found.groupBy("src").agg(F.sum("n").alias("all")), "src").select("src", "dst", weight), "weighted")
+    named = links.select(F.col("dst").alias("host"), F.lit(0.0).alias("allowed"), F.lit(0.0).alias("blocked"))
+    seeds = stored(own.unionByName(named).groupBy("host").agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked")), "seeds")
+    forward = _spread(seeds.select("host", F.col("allowed").alias("trust"), F.lit(1.0).alias("rank")), links, damping, tolerance, rounds)
+    free = seeds.select(F.col("host").alias("src"), (1.0 - F.col("allowed") - F.col("blocked")).alias("free"))
+    back = stored(links.join(free, "src").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") * F.col("free")).alias("weight")), "back")
+    return forward.join(_spread(seeds.select("host", F.col("blocked").alias("distrust")), back, damping, tolerance, rounds), "host")
 
 
 def filter_urls(
@@ -123,8 +103,8 @@ def filter_urls(
     """
     rows = pages.select(F.col(id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).cast("string").alias("html"))
     rows = rows.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
-    shares = host_shares(rows.select("host", F.col("found.action").alias("action"), "html"), **spread)
-    bad = shares.where(F.col("risk") - F.col("backing") >= threshold).select("host", F.lit("block").alias("judged"))
+    scores = host_scores(rows.select("host", F.col("found.action").alias("action"), "html"), **spread)
+    bad = scores.where(F.col("distrust") - F.col("trust") / F.col("rank") >= threshold).select("host", F.lit("block").alias("judged"))
     return rows.drop("html").join(stored(bad, "blocked"), "host", "left").select(
         F.col("page_id").alias(id), "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.action", "judged", F.lit("allow")).alias("verdict")
     )

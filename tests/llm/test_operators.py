@@ -160,20 +160,58 @@ def test_rules_and_parts(spark):
     }
 
 
+def brute_scores(rows):
+    """Trust, rank and distrust of hosts ``(host, action, html)`` by solving their equations; links are those of the rows' pages."""
+    import re
+
+    import numpy as np
+
+    links, hosts = {}, sorted({h for h, _, _ in rows if h} | {t for h, _, html in rows if h for t in re.findall("http://([^/]+)", html)})
+    for h, _, html in rows:
+        for t in re.findall("http://([^/]+)", html):
+            if h and t != h:
+                links[h, t] = links.get((h, t), 0) + 1
+    at = {h: i for i, h in enumerate(hosts)}
+    w = np.zeros((len(hosts), len(hosts)))
+    for (a, b), n in links.items():
+        w[at[a], at[b]] = n
+    w /= np.where(w.sum(axis=1) > 0, w.sum(axis=1), 1)[:, None]
+    share = lambda action: np.array([np.mean([x == action for h, x, _ in rows if h == name] or [0]) for name in hosts])
+    allowed, blocked, one = share("allow"), share("block"), np.eye(len(hosts))
+    solve = np.linalg.solve
+    found = (solve(one - 0.85 * w.T, allowed), solve(one - 0.85 * w.T, np.ones(len(hosts))), solve(one - 0.85 * (1 - allowed - blocked)[:, None] * w, blocked))
+    return {h: tuple(float(x[i]) for x in found) for h, i in at.items()}
+
+
 def test_scores_are_the_fixed_point(spark):
     html = lambda *to: "".join(f'<a href="http://{x}/">' for x in to)
     rows = [("bad", "block", ""), ("near", None, html("bad")), ("far", None, html("near", "good", "good")), ("good", "allow", html("next")), ("next", None, html("far"))]
-    got = {r.host: (r.trust, r.distrust) for r in urls.host_scores(spark.createDataFrame(rows, "host string, action string, html string"), tolerance=1e-12, rounds=200).collect()}
-    links = {("near", "bad"): 1, ("far", "near"): 1, ("far", "good"): 2, ("good", "next"): 1, ("next", "far"): 1}
-    hosts = {x[0] for x in rows}
-    trust, distrust = dict.fromkeys(hosts, 0.0), dict.fromkeys(hosts, 0.0)
-    out = {h: sum(n for (a, _), n in links.items() if a == h) or 1 for h in hosts}
-    into = {h: sum(n for (_, b), n in links.items() if b == h) or 1 for h in hosts}
-    for _ in range(300):
-        trust = {h: (h == "good") + 0.85 * sum(n / out[a] * trust[a] for (a, b), n in links.items() if b == h) for h in hosts}
-        distrust = {h: (h == "bad") + 0.85 * sum(n / into[b] * distrust[b] for (a, b), n in links.items() if a == h) for h in hosts}
-    for h in hosts:
-        assert got[h] == pytest.approx((trust[h], distrust[h]), abs=1e-6)
+    rows += [("half", "block", html("far", "only")), ("half", None, ""), ("", "block", html("far")), ("bad", "block", html("bad"))]
+    table = spark.createDataFrame(rows, "host string, action string, html string")
+    got = {r.host: (r.trust, r.rank, r.distrust) for r in urls.host_scores(table, tolerance=1e-12).collect()}
+    want = brute_scores(rows)
+    assert got.keys() == want.keys() and all(got[h] == pytest.approx(want[h], abs=1e-6) for h in want)
+    with pytest.raises(ArithmeticError):
+        urls.host_scores(table, tolerance=1e-12, rounds=5)
+    assert urls.host_scores(table.limit(0)).count() == 0
+
+
+def test_verdicts_are_brute_force(spark):
+    rng = random.Random(8)
+    names = [f"h{i}.com" for i in range(14)] + ["a.net", "b.net", "c.net", "x.org", "y.org"]
+    rows = []
+    for i in range(60):
+        host = rng.choice(names)
+        path = "/fr/1" if host.endswith("org") and rng.random() < 0.8 else "/p"
+        rows.append((i, f"http://{host.upper()}{path}?q", "".join(f'<a href="http://{x}/">' for x in rng.choices(names, weights=[1] * 14 + [6] * 3 + [2] * 2, k=rng.randrange(4)))))
+    judged = []
+    for _, url, html in rows:
+        host, path = url[7:].split("/")[0].lower(), "/" + url[7:].split("/", 1)[1]
+        judged.append((host, "block" if host.endswith(".net") else "allow" if host.endswith(".org") and path.startswith("/fr/") else None, html))
+    scores = brute_scores(judged)
+    want = {i: a or ("block" if scores[h][2] - scores[h][0] / scores[h][1] >= 0.5 else "allow") for (i, _, _), (h, a, _) in zip(rows, judged)}
+    got = {r.page_id: r.verdict for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and len({want[i] for i, (_, a, _) in enumerate(judged) if a is None}) == 2
 
 
 def test_verdicts_of_farms_and_hubs(spark):
