@@ -29,7 +29,7 @@ ship(__name__)
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Bytes of text that are handled at once, and words whose pieces are kept between.
-CHUNK, KEPT = 1 << 22, 1 << 18
+CHUNK, KEPT = 1 << 22, 1 << 17
 NEVER = float("-inf")
 
 
