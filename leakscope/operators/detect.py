@@ -9,6 +9,7 @@ never emitted; only its pattern, its length and the redaction mark are.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -26,16 +27,20 @@ HIT_COLUMNS = ("ord", "pattern", "snippet", "original_length")
 def might_match(text, regexes: Sequence[str]) -> Column | None:
     """Whether any regex may match, by one linear pass; never false for a match.
 
-    None if a regex has no equivalent for the automaton.  Text that is not valid
+    None, with a warning, if a regex has no equivalent for the automaton: then all texts go through the exact regexes.  Text that is not valid
     UTF-8 passes, as the two engines decode it differently.
     """
     wide = [prefilter_regex(r) for r in regexes]
-    if not wide or None in wide:
+    if not wide:
+        return None
+    if None in wide:
+        warnings.warn(f"no fast filter: {regexes[wide.index(None)]!r} has no equivalent in linear time")
         return None
     combined = "|".join(f"(?:{r})" for r in wide)
     try:
         pc.match_substring_regex(pa.array([""]), combined)
-    except pa.ArrowInvalid:
+    except pa.ArrowInvalid as e:
+        warnings.warn(f"no fast filter: {e}")
         return None
 
     @F.arrow_udf("boolean")

@@ -6,6 +6,7 @@ A page has ``url``, a body column, ``status``, ``headers map`` and optionally
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -144,17 +145,24 @@ def source_map_refs(pages: DataFrame, *, body: str = "body") -> DataFrame:
 
 
 def source_map_patterns(
-    refs: DataFrame, maps: DataFrame, patterns: Sequence[Pattern], *, content: str = "content"
+    refs: DataFrame, maps: DataFrame, patterns: Sequence[Pattern], *, content: str = "content", per_reference: bool = True
 ) -> DataFrame:
-    """Secrets in the sources embedded in source maps, with the index of the source."""
+    """Secrets in the sources embedded in source maps, with the index of the source.
+
+    Reported once per reference to the map, or once with the number of references in ``metadata`` when ``per_reference`` is False.
+    """
     parsed = F.from_json(content, "sourcesContent array<string>")
     sources = (
         maps.where(F.col("status") == 200)
         .select("url", F.posexplode(parsed["sourcesContent"]).alias("source_index", "_source"))
     )
     hits = detect.scan(sources, "_source", patterns, keep=["url", "source_index"], cap=V.CAP_WEB)
-    joined = _report_per_reference(hits, refs.select(F.col("link").alias("url")))
+    references = refs.select(F.col("link").alias("url"))
     index = F.create_map(F.lit("source_index"), F.col("source_index").cast("string"))
+    if not per_reference:
+        joined = hits.join(references.groupBy("url").agg(F.count(F.lit(1)).alias("_links")), "url")
+        return _web(joined, "sourcemap_pattern", metadata=F.map_concat(index, F.create_map(F.lit("links"), F.col("_links").cast("string"))))
+    joined = _report_per_reference(hits, references)
     return _web(joined, "sourcemap_pattern", metadata=index)
 
 
@@ -213,7 +221,7 @@ def exposed_paths(probes: DataFrame, *, paths: Sequence[str] = V.PROBE_PATHS) ->
     are relabelled as a catch-all page.  ``probes`` has ``host, url, status, body``.
     """
     hits = probes.where(
-        reduce(lambda a, b: a | b, [U.path("url").endswith(p) for p in paths]) & (F.col("status") == 200) & F.col("body").rlike(r"\S")
+        U.path("url").rlike("(?:" + "|".join(re.escape(p) for p in paths) + r")\z") & (F.col("status") == 200) & F.col("body").rlike(r"\S")
     ).select(
         "host",
         "url",
@@ -274,6 +282,16 @@ def wrap(findings: DataFrame, *, hide_type: bool = False) -> DataFrame:
     )
 
 
+def captured_pages(exchanges: DataFrame) -> DataFrame:
+    """Exchanges as pages for ``scan_pages``: ``url, status, headers, set_cookies, body``.
+
+    Each ``Set-Cookie`` of a response is an element of ``set_cookies``; where that is missing, the header of that name counts as one.
+    """
+    cookies = F.map_values(F.map_filter("resp_headers", lambda k, _: F.lower(k) == "set-cookie"))
+    given = F.col("set_cookies") if "set_cookies" in exchanges.columns else F.lit(None).cast("array<string>")
+    return exchanges.select("url", "status", F.col("resp_headers").alias("headers"), F.coalesce(given, cookies, F.array().cast("array<string>")).alias("set_cookies"), F.col("resp_body").alias("body"))
+
+
 def scan_pages(pages: DataFrame, patterns: Sequence[Pattern], *, body: str = "body", headers: str = "headers", cookies: str = "set_cookies") -> DataFrame:
     """Status, body, header and cookie checks of captured pages."""
     return (

@@ -19,18 +19,32 @@ def collect_findings(
     diffs: DataFrame | None = None,
     exchanges: DataFrame | None = None,
     pages: DataFrame | None = None,
+    scripts: DataFrame | None = None,
+    source_maps: DataFrame | None = None,
+    probes: DataFrame | None = None,
     snapshots: DataFrame | None = None,
     log: DataFrame | None = None,
     max_commits: int | None = None,
 ) -> DataFrame:
-    """Findings of the given sources in one table."""
+    """Findings of the given sources in one table.
+
+    ``scripts`` and ``source_maps`` (``url, status, content``) are scanned where a page names them, once each; ``probes`` are answers to the well-known paths.
+    """
     parts = []
+    if pages is None and (scripts is not None or source_maps is not None):
+        raise ValueError("scripts and source maps need the pages that name them")
     if diffs is not None:
         parts.append(history.scan_diffs(diffs, patterns, max_commits=max_commits))
     if exchanges is not None:
         parts.append(traffic.scan_traffic(exchanges, patterns))
     if pages is not None:
         parts.append(web.real_issues(web.scan_pages(pages, patterns)))
+    if scripts is not None:
+        parts.append(web.asset_patterns(web.links(pages), scripts, patterns, per_reference=False))
+    if source_maps is not None:
+        parts.append(web.source_map_patterns(web.source_map_refs(pages), source_maps, patterns, per_reference=False))
+    if probes is not None:
+        parts.append(web.exposed_paths(probes))
     if snapshots is not None:
         parts.append(browser.scan_browser(snapshots))
     if log is not None:

@@ -347,6 +347,13 @@ add("sourcemap_pattern", f"""SELECT regexp_extract(p.url, '^[a-z]+://[^/?#]*', 0
     least(n, 400) AS original_length, source_index FROM ({hits('map_source', 'page_id, source_index', 'source')}) s JOIN pages p USING (page_id)""")
 add("same_host_links", f"""SELECT page_url, count(*) AS n FROM link
     WHERE {url_host('link')} = {url_host('page_url')} OR {url_host('link')} IN ('localhost', '127.0.0.1') GROUP BY page_url""")
+CTE["host_page"] = f"SELECT page_id, url, {url_host('url')} AS host, row_number() OVER (PARTITION BY {url_host('url')} ORDER BY page_id) AS n FROM page"
+CTE["host_link"] = f"""SELECT DISTINCT src, dst FROM (SELECT page_url AS src, link AS dst FROM link
+        UNION ALL SELECT p.url, c.url FROM host_page p JOIN host_page c ON p.host = c.host AND c.n // 2 = p.n AND c.n > 1)
+    WHERE {url_host('dst')} = (SELECT {url_host('min_by(url, page_id)')} FROM page)"""
+ORACLE["crawl_links"] = with_ctes("SELECT 1 FROM host_link").replace(" SELECT 1 FROM host_link", """, walk AS (
+        SELECT min_by(url, page_id) AS url, 0 AS depth FROM pages UNION SELECT dst, depth + 1 FROM walk JOIN host_link ON src = url WHERE depth < 40)
+    SELECT url, min(depth) AS depth FROM walk GROUP BY url ORDER BY depth, url LIMIT 40""")
 ORACLE["crawl_reach"] = """WITH RECURSIVE reach(page_id, depth) AS (
         SELECT min(page_id), 0 FROM pages
         UNION ALL SELECT p.page_id, r.depth + 1 FROM reach r JOIN pages p ON p.page_id > 0 AND (p.page_id - 1) // 2 = r.page_id)
@@ -690,3 +697,11 @@ add("stream_sliding", "SELECT stage, ts - ts % 900 - 900 * k AS hour, count(*) A
 SLICE = f"CASE WHEN ts < {VW.SCAN_B_START} THEN 0 WHEN ts < {VW.SCAN_A_END} THEN 1 ELSE 2 END + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END"
 add("stream_late", f"""SELECT event_id, ts < coalesce((SELECT max(ts) FROM (SELECT ts, {SLICE} AS s FROM log) b WHERE b.s < a.slice), 0) - 172800 AS late
     FROM (SELECT event_id, ts, {SLICE} AS slice FROM log) a""")
+ORACLE["catalog_file"] = ORACLE["pattern_catalog"]
+ORACLE["exchange_file"] = ORACLE["web_wrap"]
+add("sourcemap_counted", f"""SELECT * FROM (SELECT url, pattern, count(*) AS links, source_index FROM ({ORACLE['sourcemap_pattern']}) GROUP BY url, pattern, source_index)""")
+# Pages whose url holds a user name a source map that is not there under that name.
+ORACLE["audit_web"] = f"""SELECT inner_type AS type, CASE WHEN inner_type = 'status' THEN 'INFO' ELSE severity END AS severity, count(*) AS n FROM ({ORACLE['web_wrap']}) GROUP BY ALL
+    UNION ALL SELECT 'js_pattern', 'HIGH', count(*) FROM ({ORACLE['asset_pattern_counted']}) HAVING count(*) > 0
+    UNION ALL SELECT 'sourcemap_pattern', 'HIGH', count(*) FROM ({ORACLE['sourcemap_counted']}) WHERE CAST(regexp_extract(url, '/maps/([0-9]+)', 1) AS INT) % 17 <> 0 HAVING count(*) > 0
+    UNION ALL SELECT type, 'MEDIUM', sum(n) FROM ({ORACLE['probe_catchall']}) GROUP BY type"""

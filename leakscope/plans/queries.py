@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import values as V
-from ..catalog import default_catalog, parse_catalog_lines, prefix_terms
+from ..catalog import catalog_table, default_catalog, parse_catalog_lines, prefix_terms, read_catalog
 from ..functions import scalars as S
 from ..functions import urls as U
 from ..knowledge import KnowledgeBase
@@ -106,6 +107,20 @@ def pattern_catalog(spark, d):
     return parse_catalog_lines(lines).join(counted, "raw_name", "left").select("raw_name", "name", "regex", F.coalesce("docs", F.lit(0)).alias("docs"))
 
 
+@query
+def catalog_file(spark, d):
+    """A catalog file with comments and an invalid regex, read and used for a scan."""
+    path = shared_dir(spark, "catalog")
+    lines = [(f" {p.raw_name} = {p.regex}",) for p in default_catalog()] + [("# note = x",), ("",), ("BROKEN=(",), ("EMPTY=",)]
+    local_table(spark, lines, "value string").coalesce(1).write.text(path)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        patterns = read_catalog(spark, path, missing="error")
+    hits = D.scan(VW.documents(spark, d), "text", patterns, keep=["doc_id"], raw=True)
+    counted = hits.groupBy("pattern").agg(F.count(F.lit(1)).alias("docs")).withColumnRenamed("pattern", "raw_name")
+    return catalog_table(spark, patterns).join(counted, "raw_name", "left").select("raw_name", "name", "regex", F.coalesce("docs", F.lit(0)).alias("docs"))
+
+
 @query
 def diff_lines(spark, d):
     lines = diff_table(spark, d)
@@ -228,6 +243,14 @@ def sourcemap_pattern(spark, d):
     return hits.select("url", "type", "pattern", "original_length", F.col("metadata")["source_index"].cast("int").alias("source_index"))
 
 
+@query
+def sourcemap_counted(spark, d):
+    """Each hit in a source map once, with the number of references to the map."""
+    refs = W.source_map_refs(VW.pages(spark, d))
+    hits = W.source_map_patterns(refs, VW.source_maps(spark, d), default_catalog(), per_reference=False)
+    return hits.select("url", "pattern", F.col("metadata")["links"].cast("bigint").alias("links"), F.col("metadata")["source_index"].cast("int").alias("source_index"))
+
+
 @query
 def same_host_links(spark, d):
     found = W.links(VW.pages(spark, d))
@@ -241,6 +264,41 @@ def crawl_reach(spark, d):
     return W.crawl(VW.link_graph(spark, d), base, max_pages=None, same_host_only=False)
 
 
+def linked_pages(spark, d) -> DataFrame:
+    """Pages that also link to two later pages of their host, as a tree in the order of their ids."""
+    place = Window.partitionBy("host").orderBy("page_id")
+    rows = VW.pages(spark, d).withColumn("host", U.host("url")).withColumn("n", F.row_number().over(place))
+    children = rows.where("n > 1").select("host", F.floor(F.col("n") / 2).alias("n"), F.concat(F.lit('<a href="'), "url", F.lit('">c</a>')).alias("a"))
+    anchors = children.groupBy("host", "n").agg(F.concat_ws("", F.sort_array(F.collect_list("a"))).alias("a"))
+    return rows.join(anchors, ["host", "n"], "left").select("url", F.concat("body", F.coalesce("a", F.lit(""))).alias("body"))
+
+
+@query
+def crawl_links(spark, d):
+    """Crawl over the links in the pages' texts, on the host of the first page and within a budget of pages."""
+    base = VW.table(spark, d, "pages").agg(F.min_by("url", "page_id")).first()[0]
+    edges = W.links(linked_pages(spark, d)).select(F.col("page_url").alias("src"), F.col("link").alias("dst"))
+    return W.crawl(edges, base, max_pages=40)
+
+
+@query
+def exchange_file(spark, d):
+    """Exchanges written as JSON lines and read back, checked as pages, each of several cookies by itself."""
+    path = shared_dir(spark, "exchanges")
+    VW.exchanges(spark, d).withColumn("set_cookies", F.concat("set_cookies", F.array(F.lit("lang=en")))).write.json(path)
+    found = W.real_issues(W.scan_pages(W.captured_pages(readers.read_exchanges(spark, path)), default_catalog()))
+    return W.wrap(found, hide_type=True).select(
+        "url", "type", "summary", "severity", F.col("metadata")["type"].alias("inner_type"), F.col("metadata")["pattern"].alias("inner_pattern")
+    )
+
+
+@query
+def audit_web(spark, d):
+    """Findings of pages, their scripts and source maps, and probes, by type."""
+    found = A.collect_findings(default_catalog(), pages=VW.web_pages(spark, d), scripts=VW.assets(spark, d), source_maps=VW.source_maps(spark, d), probes=VW.probes(spark, d))
+    return found.groupBy("type", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def probe_exposed_path(spark, d):
     found = W.exposed_paths(VW.probes(spark, d))

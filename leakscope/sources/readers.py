@@ -33,6 +33,7 @@ EXCHANGE = (
     "ts bigint, client string, method string, url string, req_headers map<string,string>, req_body string, "
     "status int, resp_headers map<string,string>, resp_body string"
 )
+CAPTURED = EXCHANGE + ", set_cookies array<string>"
 CORRUPT = "_corrupt_record"
 NUL_WINDOW = 4096
 
@@ -125,7 +126,8 @@ def read_browser_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_exchanges(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EXCHANGE).json(path)
+    """Captured exchanges, one JSON object a line; ``set_cookies`` lists the ``Set-Cookie`` headers, of which there may be several."""
+    return spark.read.schema(CAPTURED).json(path)
 
 
 def read_diffs(spark: SparkSession, path: str) -> DataFrame:

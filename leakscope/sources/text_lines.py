@@ -42,7 +42,7 @@ def _binary(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_pydict({"path": pa.array(sorted(found), pa.string())})
 
 
-def read_text_lines(spark: SparkSession, path: str, *, exclude: Sequence[str] = V.BINARY_SUFFIXES, glob: str | None = None, window: int = 4096) -> DataFrame:
+def read_text_lines(spark: SparkSession, path: str, *, exclude: Sequence[str] = V.BINARY_SUFFIXES, glob: str | None = None, window: int = 4096, max_bytes: int | None = None) -> DataFrame:
     """``path, line`` of the text files below a folder.
 
     Left out are files of an excluded suffix, in any case, and files with a NUL in their first ``window`` bytes, which are looked for
@@ -51,9 +51,11 @@ def read_text_lines(spark: SparkSession, path: str, *, exclude: Sequence[str] =
     reader = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    named = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    named = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"), F.col("_metadata.file_size").alias("_size"))
     if exclude:
         named = named.where(~F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in exclude) + ")$"))
+    if max_bytes is not None:
+        named = named.where(F.col("_size") <= max_bytes)
     first = named.where(F.col("block") == 0).select("path", "line")
     binary = first.mapInArrow(lambda batches: _binary(batches, window), "path string")
     return named.select("path", "line").join(small(binary), "path", "left_anti")
