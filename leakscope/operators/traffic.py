@@ -394,11 +394,14 @@ def counters(messages: DataFrame, *, kind: str = "kind", url: str = "url") -> Da
 
 
 def newest(log: DataFrame, n: int = 200, *, tie: str | None = None) -> DataFrame:
-    """The newest ``n`` entries, as kept for the traffic sample."""
-    order = [F.col("ts").desc(), *([F.col(tie).desc()] if tie else [])]
-    return log.orderBy(*order).limit(n)
+    """The newest ``n`` entries, as kept for the traffic sample; of one time by ``tie``, or by all columns."""
+    return log.orderBy(*_newest_first(log, tie)).limit(n)
+
+
+def _newest_first(log: DataFrame, tie: str | None) -> list[Column]:
+    rest = [tie] if tie else [c for c, kind in log.dtypes if c != "ts" and "map<" not in kind]
+    return [F.col("ts").desc(), *[F.col(c).desc() for c in rest]]
 
 
 def newest_per_client(log: DataFrame, n: int = 200, *, tie: str | None = None) -> DataFrame:
-    order = [F.col("ts").desc(), *([F.col(tie).desc()] if tie else [])]
-    return top_per_key(log, ["client"], order, n)
+    return top_per_key(log, ["client"], _newest_first(log, tie), n)

@@ -941,11 +941,10 @@ def stream_traffic_counts(spark, d):
 
 @query
 def stream_severity_window(spark, d):
-    path, out = write_log(spark, d), shared_dir(spark, "windows")
-    log = readers.stream_traffic_log(spark, path)
-    TS.run_to_end(TS.append_to(TS.severity_windows(log), out, out + "-checkpoint"))
-    rows = TS.with_open_windows(spark.read.parquet(out), readers.read_traffic_log(spark, path))
-    return rows.select(F.unix_seconds("window_start").alias("minute"), "severity", "n")
+    """Counts by minute and severity of the log read as a stream, windows that are still open among them."""
+    log, out = readers.stream_traffic_log(spark, write_log(spark, d)), shared_dir(spark, "windows")
+    TS.run_to_end(TS.update_at(TS.severity_windows(log), out, out + "-checkpoint"))
+    return TS.updated(spark, out, ["window_start", "severity"]).select(F.unix_seconds("window_start").alias("minute"), "severity", "n")
 
 
 @query

@@ -109,16 +109,37 @@ def replace_at(stream: DataFrame, path: str, checkpoint: str, *, catch_up: bool
     """Write the whole state after each batch, for small aggregates.
 
     Each batch goes to its own folder ``batch=N``, so a batch that is run again
-    replaces itself; the folder with the highest number is current.
+    replaces itself; the folder with the highest number is current, the one before stays for its readers.
     """
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _drop(batch.sparkSession, f"{path}/batch={number - 2}")
 
     writer = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(save)
     return _start(writer, catch_up)
 
 
+def update_at(stream: DataFrame, path: str, checkpoint: str, *, catch_up: bool = True) -> StreamingQuery:
+    """Write the groups that each batch changes, with their counts so far, to a folder of its own; see ``updated``.
+
+    So open windows can be read at any time, and only the stream reads the log.  A batch that is run again replaces itself.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return _start(stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save), catch_up)
+
+
+def updated(spark, path: str, keys: Sequence[str]) -> DataFrame:
+    """The last state of each group that ``update_at`` wrote; one partial aggregate."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("batch")).alias("last"))
+    return last.select(*keys, "last.*")
+
+
 def current(spark, path: str) -> DataFrame:
     """The state written last by :func:`replace_at`."""
     batches = spark.read.parquet(path)
@@ -135,11 +156,18 @@ def tail(stream: DataFrame, path: str, checkpoint: str, n: int = 200, *, catch_u
             spark = batch.sparkSession
             rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/batch={number - 1}"))
         rows.orderBy(F.col("ts").desc(), F.col("url").desc(), F.col("stage").desc()).limit(n).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _drop(batch.sparkSession, f"{path}/batch={number - 2}")
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
     return _start(writer, catch_up)
 
 
+def _drop(spark, path: str) -> None:
+    """Delete a folder, if it is there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _start(writer, catch_up: bool) -> StreamingQuery:
     writer = writer.trigger(availableNow=True) if catch_up else writer.trigger(processingTime="10 seconds")
     return writer.start()

@@ -72,3 +72,12 @@ def test_text_lines_are_those_of_text_files(spark, tmp_path, split):
             spark.conf.set(k, v)
     want = [(n.rsplit("/", 1)[-1], x) for n in ("a/long.txt", "c.TXT", "late.txt") for x in texts[n].removesuffix("\n").split("\n")]
     assert sorted(got) == sorted(want)
+
+
+def test_larger_files_are_left_out_on_request(spark, tmp_path):
+    from leakscope.sources.text_lines import read_text_lines
+
+    (tmp_path / "small.txt").write_text("abc\n")
+    (tmp_path / "large.txt").write_text("abc\n" * 100)
+    assert [r.line for r in read_text_lines(spark, str(tmp_path), max_bytes=4).collect()] == ["abc"]
+    assert read_text_lines(spark, str(tmp_path)).count() == 101

@@ -140,3 +140,14 @@ def test_late_rows_are_kept_aside(spark, tmp_path):
         TS.run_to_end(TS.keep_late(log, str(tmp_path / "out"), str(tmp_path / "checkpoint")))
     ids = lambda name: sorted(r.id for r in spark.read.parquet(str(tmp_path / "out" / name)).collect())
     assert ids("rows") == [1, 2, 4, 5, 7] and ids("late") == [3, 6, 8]
+
+
+def test_open_windows_are_read_from_the_updates(spark, tmp_path):
+    schema = "client string, event_time timestamp"
+    log, out = live(spark, tmp_path, "log", schema), str(tmp_path / "out")
+    counts = log.withWatermark("event_time", "10 minutes").groupBy(F.window("event_time", "1 hour"), "client").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "client", "n")
+    for part in ([("a", at(0)), ("b", at(5))], [("a", at(30)), ("a", at(90))], [("a", at(59))]):  # the last is late
+        put(spark, tmp_path, "log", part, schema)
+        TS.run_to_end(TS.update_at(counts, out, str(tmp_path / "checkpoint")))
+    got = sorted((r.start, r.client, r.n) for r in TS.updated(spark, out, ["start", "client"]).collect())
+    assert got == [(at(0), "a", 2), (at(0), "b", 1), (at(60), "a", 1)]
