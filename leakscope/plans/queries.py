@@ -823,9 +823,10 @@ def ann_recall(spark, d):
     exact = VE.knn_join(rows, near_vectors(spark, d), 10).select("query_id", "id", F.col("rank").alias("true_rank"))
     hits = exact.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
     first = F.avg(F.when(F.col("true_rank") == 1, F.coalesce("hit", F.lit(0))))
-    recall = hits.agg(F.round(first, 6).alias("recall_at_1"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall_at_10"))
-    share = found.groupBy("query_id").agg(F.max("visited").alias("visited")).agg(F.avg("visited").alias("visited"))
-    return recall.crossJoin(share).crossJoin(rows.agg(F.count(F.lit(1)).alias("n"))).select("recall_at_1", "recall_at_10", F.round(F.col("visited") / F.col("n"), 6).alias("visited"))
+    n, visited = rows.count(), found.groupBy("query_id").agg(F.max("visited").alias("v")).agg(F.avg("v")).first()[0] or 0.0
+    return hits.agg(
+        F.round(first, 6).alias("recall_at_1"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall_at_10"), F.round(F.lit(visited / max(1, n)), 6).alias("visited")
+    )
 
 
 @query
