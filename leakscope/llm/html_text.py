@@ -73,7 +73,7 @@ class Node:
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes in page order (0 is the root) and the text blocks as (node, text).
 
-    Text outside all elements lies in a body of its own.  Each step looks at the top of a stack, so the time grows with the page
+    Text outside all elements lies in a body of its own, or in the root of a page without elements.  Each step looks at the top of a stack, so the time grows with the page
     alone, however its tags are nested or left open.
     """
     nodes, blocks = [Node("#", -1, 0)], []
@@ -206,6 +206,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             links += tag == "a"
     say(page[at:])
     close(1)
+    if loose and len(nodes) == 2:  # nothing but text: it is the root's own
+        body = nodes.pop()
+        nodes[0].children.clear()
+        nodes[0].own, nodes[0].words, nodes[0].stops = body.own, body.words, body.stops
+        blocks = [(0, text) for _, text in blocks]
     for i in range(len(nodes) - 1, -1, -1):  # children come after their parents
         n = nodes[i]
         n.text += n.own
