@@ -103,3 +103,33 @@ def test_domains_of_a_table_match_like_the_fixed_rule(spark):
         want = [d for d in V.BYPASS_DOMAINS if host == d or host.endswith("." + d)]
         assert got[i] == (max(want, key=len) if want else None), u
     assert {r.domain for r in T.match_domains(rows, listed.limit(0)).collect()} == {None}
+
+
+def test_a_word_of_all_texts_brings_up_no_question_that_is_answered():
+    import numpy as np
+
+    rnd = random.Random(5)
+    # Word 0 is in every question and row, and a thousand rows meet a thousand questions: a million pairs before.
+    asked = [sorted({0, *rnd.sample(range(1, 60), 3)}) for _ in range(1000)]
+    start = np.cumsum([0, *map(len, asked)])
+    held = SE._Held(60, 3, start, np.concatenate(asked), np.concatenate([[2, 1, 1, 1][: len(a)] for a in asked]))
+    rows, met, enter = [{0, *rnd.sample(range(1, 60), rnd.randrange(3))} for _ in range(1000)], [], held._enter
+    held._enter = lambda row, who: met.append(len(who)) or enter(row, who)
+    for i, r in enumerate(rows):
+        held.add(i, r)
+    assert sum(met) < 150_000
+    for q, a in enumerate(asked):
+        scores = [sum({0: 2}.get(w, 1) for w in r & set(a)) for r in rows]
+        want = sorted(range(1000), key=lambda i: (-scores[i], i))[:3]
+        assert held.row[q].tolist() == want and held.score[q].tolist() == [scores[i] for i in want]
+    assert not len(held.live[0][0])
+
+
+def test_questions_that_share_a_word_and_ids_that_ask_the_same(spark):
+    rows = latest(some(spark, 120)).drop("occurrence_count")
+    asked = [(i, f"seen for user {'api key password'.split()[i % 3]} zebra{i}") for i in range(60)] + [(60 + i, "cookie_x api") for i in range(20)]
+    table = spark.createDataFrame(asked, "query_id int, text string").repartition(4)
+    for per_pass in (1000, 9):
+        got = [(r.query_id, r.rank, r.id, r.score) for r in SE.keyword_topk_table(rows, table, 3, per_pass=per_pass).collect()]
+        alone = {q: [(n, r.id, r.score) for n, r in enumerate(keyword_topk(rows, q, 3).collect(), 1)] for q in {q.split(" zebra")[0] for _, q in asked}}
+        assert sorted(got) == sorted((i, *r) for i, q in asked for r in alone[q.split(" zebra")[0]])
