@@ -21,22 +21,28 @@ from .top import top_per_key
 BROADCAST_COMMITS = 100_000
 
 
-def diff_lines(diffs: DataFrame, *, commit: str = "commit", commit_ts: str = "commit_ts", diff: str = "diff") -> DataFrame:
-    """Unified diffs to lines.
-
-    The text is cut at each ``diff --git`` header, so the path of a line comes
-    from its own file section without ordering the lines of a commit.
-    """
+def _sections(diffs: DataFrame, commit: str = "commit", commit_ts: str = "commit_ts", diff: str = "diff") -> DataFrame:
+    """``commit, commit_ts, file_no, _section, path``, one row for each file of a diff."""
     sections = diffs.select(
         F.col(commit).alias("commit"),
         F.col(commit_ts).alias("commit_ts"),
         F.posexplode(F.split(F.concat(F.lit("\n"), F.col(diff)), "\ndiff --git ")).alias("file_no", "_section"),
     ).where(F.col("file_no") > 0)
     path = F.regexp_extract("_section", r"\n\+\+\+ b/([^\n]+)", 1)
+    return sections.withColumn("path", F.when(path == "", F.lit("unknown")).otherwise(path))
+
+
+def diff_lines(diffs: DataFrame, *, commit: str = "commit", commit_ts: str = "commit_ts", diff: str = "diff") -> DataFrame:
+    """Unified diffs to lines.
+
+    The text is cut at each ``diff --git`` header, so the path of a line comes
+    from its own file section without ordering the lines of a commit.
+    """
+    sections = _sections(diffs, commit, commit_ts, diff)
     lines = sections.select(
         "commit",
         "commit_ts",
-        F.when(path == "", F.lit("unknown")).otherwise(path).alias("path"),
+        "path",
         "file_no",
         F.posexplode(F.split("_section", "\n")).alias("line_no", "line"),
     )
@@ -127,6 +133,7 @@ def scan_history(
     max_commits: int | None = None,
     dedupe: str | None = "finding",
     examined: DataFrame | None = None,
+    files: DataFrame | None = None,
 ) -> DataFrame:
     """Secrets in added lines.
 
@@ -134,7 +141,8 @@ def scan_history(
     what the term search finds within that budget.  ``dedupe`` keeps the first
     hit per (commit, path, pattern), or per commit with ``"commit"``, where the
     path is that of the first file of the diff; None keeps every hit.  ``examined``
-    gives the commits when they are known already.
+    gives the commits when they are known already, ``files`` the files ``(commit, file_no, path)`` to choose the first from, by
+    default those of ``lines``.
     """
     if dedupe not in (None, "finding", "commit"):
         raise ValueError(f"dedupe must be 'finding', 'commit' or None, got {dedupe!r}")
@@ -149,8 +157,9 @@ def scan_history(
         hits = _first(hits, ["commit", "path", "pattern"], ["file_no", "line_no"])
     elif dedupe == "commit":
         hits = _first(hits, ["commit"], ["ord", "file_no", "line_no", "path"])
-        # Aggregated before the shuffle: a commit of any size is one row per task.
-        first_path = source.groupBy("commit").agg(F.min_by("path", F.struct("file_no", "path")).alias("path"))
+        # Lines of a file are put together by hashing first: the choice of the least sorts its rows.
+        files = source.select("commit", "file_no", "path").distinct() if files is None else files
+        first_path = files.groupBy("commit").agg(F.min_by("path", F.struct("file_no", "path")).alias("path"))
         hits = hits.drop("path").join(first_path, "commit")
     short = F.substring("commit", 1, 12)
     return as_findings(
@@ -176,16 +185,18 @@ def scan_diffs(
     max_commits: int | None = None,
     dedupe: str | None = "finding",
 ) -> DataFrame:
-    """:func:`scan_history` over whole diffs; only diffs that may hold a secret are split.
+    """:func:`scan_history` over whole diffs; only diffs that may hold a secret are split into lines.
 
-    ``dedupe="commit"`` needs the first path of a commit, so it splits all diffs.
+    ``dedupe="commit"`` needs the first path of a commit, which comes from the file headers of all diffs.
     """
     examined = None
     if max_commits is not None:
         examined = examined_commits(diff_lines(diffs), patterns, max_commits, diffs=diffs)
-    if dedupe != "commit":
-        diffs = diffs_with(diffs, [p.regex for p in patterns])
-    return scan_history(diff_lines(diffs), patterns, max_commits=max_commits, dedupe=dedupe, examined=examined)
+    files = None
+    if dedupe == "commit":
+        files = _sections(diffs).where(F.col("_section").contains("\n")).select("commit", "file_no", "path")
+    lines = diff_lines(diffs_with(diffs, [p.regex for p in patterns]))
+    return scan_history(lines, patterns, max_commits=max_commits, dedupe=dedupe, examined=examined, files=files)
 
 
 def _first(hits: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -60,6 +60,24 @@ def test_history_modes(spark):
     assert rows(dedupe="commit") == [(c, "src/a.py", "Aws Access Key Id"), (d, "z.txt", "Github Token"), (e, "y.txt", "Aws Access Key Id")]
 
 
+def test_first_file_of_a_commit_without_its_lines_in_the_plan(spark):
+    # The first file may lie in another diff of the commit, without any secret, and a header alone is no file.
+    rows = [
+        ("c" * 40, 30, diff(("b.py", [f"+k={AWS}"]))), ("c" * 40, 30, diff(("a.py", ["+x"] * 50))), ("d" * 40, 20, "diff --git a/0 b/0"),
+        ("d" * 40, 20, diff(("y.txt", ["-x"]), ("x.txt", [f"+{AWS}"]))), ("e" * 40, 10, diff(("n.txt", ["+x"]))), ("f" * 40, 5, None),
+    ]
+    diffs = spark.createDataFrame(rows, "commit string, commit_ts bigint, diff string")
+    want = [("c" * 12, "a.py"), ("d" * 12, "y.txt")]
+    scans = H.scan_diffs(diffs, P, dedupe="commit"), H.scan_history(H.diff_lines(diffs), P, dedupe="commit")
+    for got in scans:
+        assert sorted({(r.commit, r.path) for r in got.collect()}) == want
+    # No sort of lines: the files are those of sections, or of lines put together by hashing.
+    plans = [got._jdf.queryExecution().optimizedPlan().toString() for got in scans]
+    sections, lines = [p[p.index("min_by(path") :].splitlines() for p in plans]
+    assert sum("Generate" in x for x in sections) == 1
+    assert lines[1].strip(" :+-").startswith("Aggregate [commit")
+
+
 def test_pickaxe_counts_changes_per_file(spark):
     found = H.pickaxe(H.diff_lines(table(spark)), prefix_terms(P))
     rows = {(r.commit[0], r.term, r.files) for r in found.collect()}
