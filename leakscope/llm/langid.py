@@ -10,7 +10,7 @@ The posterior only weighs the fitted languages against each other.  So a text mu
 language that is found: its log likelihood a trigram, shrunk by its number of distinct trigrams, must not lie
 far below that of the language's own texts, each under a model without it.  Else its language is unknown.
 
-Only the trigram model is fitted on a bounded sample (``sample`` distinct texts a language).
+The trigram model and what is typical come from all distinct texts that have a label; ``sample`` bounds them if it is given.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, ship, stored, text_or_empty
+from .common import bounded_batches, sent, ship, stored, text_or_empty
 
 ship(__name__)
 
@@ -31,12 +31,14 @@ BUCKETS, CHUNK = 1 << 15, 1 << 20
 FREQUENT = 1000
 #: Trigrams overlap, so each counts as this share of an independent observation.
 INDEPENDENT = 0.2
-#: Languages whose counts are sent to the driver at once.
+#: Languages whose counts are held by a task, or sent to the driver, at once.
 BLOCK = 64
 #: Fixed values of ISO 639: tags that name no language.
 NO_LANGUAGE = ("und", "zxx", "mul", "mis")
 #: Distinct trigrams as which the language's usual likelihood counts beside a text's own.
 PRIOR = 200
+#: Digits to which likelihoods are rounded for their quantiles.
+DIGITS = 3
 #: A text is typical down to so many times the distance of the lower quartile from the median, and to so many nats a trigram at least.
 QUARTILES, NATS = 4.0, 2.0
 
@@ -123,55 +125,81 @@ def _borders(labelled: DataFrame, counts: dict[str, int], sample: int) -> dict[s
     return borders
 
 
-def fit(rows: DataFrame, text: str, language: str, sample: int = 1000) -> tuple[list[str], object]:
+def _distinct(labelled: DataFrame) -> DataFrame:
+    """Each text of a language once; only texts whose hash occurs again move."""
+    hashed = labelled.select("language", "text", F.xxhash64("text").alias("hash"))
+    again = stored(hashed.groupBy("language", "hash").count().where("count > 1").select("language", "hash"), "again")
+    copies = hashed.join(sent(again), ["language", "hash"], "left_semi").select("language", "text").distinct()
+    return hashed.join(sent(again), ["language", "hash"], "left_anti").select("language", "text").unionByName(copies)
+
+
+def _sampled(labelled: DataFrame, counted: dict[str, int], sample: int) -> DataFrame:
+    """The ``sample`` distinct texts of lowest hash of each language."""
+    borders = _borders(labelled, counted, sample)
+    border = reduce(lambda c, name: c.when(F.col("language") == name, borders[name]), counted, F.when(F.lit(False), F.lit(0).cast("long")))
+    hashed = labelled.withColumn("hash", F.xxhash64("text"))
+    chosen = hashed.where(F.col("hash") <= border).groupBy("language", "hash").agg(F.min("text").alias("text")).select("language", "text")
+    return stored(chosen, "sample")
+
+
+def fit(rows: DataFrame, text: str, language: str, sample: int | None = None) -> tuple[list[str], object]:
     """Names of the languages and the table of log probabilities (bucket by language).
 
-    All values that have a text; for each the ``sample`` distinct texts of lowest hash.
+    All values that have a text; for each all its distinct texts, or the ``sample`` ones of lowest hash.
     """
     return _fit(rows, text, language, sample)[:2]
 
 
-def _fit(rows: DataFrame, text: str, language: str, sample: int) -> tuple[list[str], object, object, DataFrame]:
-    """As ``fit``, then the smoothed counts and the sample ``(language, text)``."""
+def _fit(rows: DataFrame, text: str, language: str, sample: int | None) -> tuple[list[str], object, object, DataFrame]:
+    """As ``fit``, then the smoothed counts and the texts ``(language, text)`` that were counted."""
     import numpy as np
 
     labelled = rows.select(F.col(text).alias("text"), F.col(language).alias("language")).where("language is not null and length(text) > 2")
-    counted = labelled.groupBy("language").count().orderBy("language").collect()
-    common = [r["language"] for r in counted]
-    borders = _borders(labelled, {r["language"]: r["count"] for r in counted}, sample)
-    border = reduce(lambda c, name: c.when(F.col("language") == name, borders[name]), common, F.when(F.lit(False), F.lit(0).cast("long")))
-    hashed = labelled.withColumn("hash", F.xxhash64("text"))
-    chosen = hashed.where(F.col("hash") <= border).groupBy("language", "hash").agg(F.min("text").alias("text")).select("language", "text")
-    chosen = stored(chosen, "sample")
+    counted = {r["language"]: r["count"] for r in labelled.groupBy("language").count().orderBy("language").collect()}
+    names = sorted(counted)
+    table = np.full((BUCKETS, len(names)), 0.5)
+    if not names:
+        return names, table, table, labelled
+    chosen = _distinct(labelled) if sample is None else _sampled(labelled, counted, sample)
 
     def count(batches):
         import numpy as np
         import pyarrow as arrow
 
+        def rows(table):
+            for name, counts in table.items():
+                at = np.flatnonzero(counts)
+                yield arrow.RecordBatch.from_pydict({"language": arrow.array([name] * len(at), arrow.string()), "bucket": arrow.array(at, arrow.int32()), "n": arrow.array(counts[at])})
+
         table = {}
         for batch in batches:
             names = batch.column("language").to_pylist()
             for i, buckets in _trigrams(batch.column("text")):
-                table.setdefault(names[i], np.zeros(BUCKETS, np.int64))
-                table[names[i]] += np.bincount(buckets, minlength=BUCKETS)
-        for name, counts in table.items():
-            at = np.flatnonzero(counts)
-            yield arrow.RecordBatch.from_pydict({"language": arrow.array([name] * len(at), arrow.string()), "bucket": arrow.array(at, arrow.int32()), "n": arrow.array(counts[at])})
-
-    names = sorted(common)
-    table = np.full((BUCKETS, len(names)), 0.5)
+                if names[i] not in table:
+                    if len(table) >= BLOCK:
+                        yield from rows(table)
+                        table = {}
+                    table[names[i]] = np.zeros(BUCKETS, np.int64)
+                # A long text fills a table of its own; of a short one only the buckets that it has are touched.
+                if len(buckets) * 4 > BUCKETS:
+                    table[names[i]] += np.bincount(buckets, minlength=BUCKETS)
+                else:
+                    np.add.at(table[names[i]], buckets, 1)
+        yield from rows(table)
+
+    counts = chosen.mapInArrow(count, "language string, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
+    counts = stored(counts, "trigrams")  # at most as many rows as the table has numbers
     for at in range(0, len(names), BLOCK):
-        block = chosen.where(F.col("language").isin(names[at : at + BLOCK]))
-        counts = block.mapInArrow(count, "language string, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
-        for name, own in counts.groupby("language"):
+        block = counts.where(F.col("language").isin(names[at : at + BLOCK])).toPandas()
+        for name, own in block.groupby("language"):
             table[own["bucket"].to_numpy(), names.index(name)] += own["n"].to_numpy()
-    return names, np.log(table / table.sum(axis=0)).astype(np.float32) if names else table, table, chosen
+    return names, np.log(table / table.sum(axis=0)).astype(np.float32), table, chosen
 
 
 def typical(chosen: DataFrame, names: list[str], smoothed) -> tuple[object, object]:
     """Usual log likelihood a trigram of each language, and the least that is typical of it.
 
-    Each text of the sample is measured under the model of its language without that text.
+    Each text that was counted is measured under the model of its language without that text.
     """
     import numpy as np
 
@@ -192,14 +220,15 @@ def typical(chosen: DataFrame, names: list[str], smoothed) -> tuple[object, obje
             if out:
                 yield arrow.RecordBatch.from_pydict({c: arrow.array(v, t) for c, v, t in zip(("language", "d", "mean"), zip(*out), (arrow.string(), arrow.int64(), arrow.float64()))})
 
-    measured = chosen.mapInArrow(measure, "language string, d long, mean double").toPandas()  # numbers of the bounded sample
+    measured = stored(chosen.mapInArrow(measure, "language string, d long, mean double"), "measured")  # three numbers a text
+    # Rounded, so that a quantile has few values to tell apart however many texts there are.
+    middle = measured.groupBy("language").agg(F.percentile(F.round("mean", DIGITS), 0.5).alias("usual"))
+    score = (F.col("d") * F.col("mean") + PRIOR * F.col("usual")) / (F.col("d") + PRIOR)
+    quartiles = F.percentile(F.round(score, DIGITS), [0.25, 0.5]).alias("q")
     usual, least = np.zeros(len(names)), np.full(len(names), -np.inf)
-    for j, name in enumerate(names):
-        own = measured[measured["language"] == name]
-        if len(own):
-            usual[j] = own["mean"].median()
-            score = (own["d"] * own["mean"] + PRIOR * usual[j]) / (own["d"] + PRIOR)
-            least[j] = score.median() - max(NATS, QUARTILES * (score.median() - score.quantile(0.25)))
+    for r in measured.join(F.broadcast(middle), "language").groupBy("language").agg(F.first("usual").alias("usual"), quartiles).collect():
+        low, median = r["q"]
+        usual[place[r["language"]]], least[place[r["language"]]] = r["usual"], median - max(NATS, QUARTILES * (median - low))
     return usual, least
 
 
@@ -276,13 +305,13 @@ def _given_language(sums: DataFrame, key: str, whole: Column) -> DataFrame:
 
 def identify(
     rows: DataFrame, id: str = "doc_id", text: str = "text", declared: Column | str | None = "lang", host: Column | str | None = "source", suffix: Column | str | None = None,
-    train: Column | str | None = None, sample: int = 1000, weight: float = 20.0, least: float = 0.5, keep: tuple[str, ...] = (),
+    train: Column | str | None = None, sample: int | None = None, weight: float = 20.0, least: float = 0.5, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row for each row: id, ``language``, ``confidence``, ``accepted``, then ``keep``.
 
     ``declared``, ``host`` and ``suffix`` are columns or None; null values are no evidence.  Language
     tags count by their primary subtag in lower case, and each that has a text is a language.  ``train`` (by default
-    ``declared``) labels the sample that the trigram model is fitted on.  A row is not accepted if its text has no
+    ``declared``) labels the texts that the trigram model is fitted on, all of them or ``sample`` distinct ones a language.  A row is not accepted if its text has no
     letter, its confidence is below ``least`` or its text is not typical of the language; without any labelled text, all languages are null and nothing
     is accepted.  Null texts are empty.  Repeated rows stay, and count again in the aggregates.
     """

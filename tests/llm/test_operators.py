@@ -364,6 +364,34 @@ def test_language_sample_counts_copies_once(spark):
 
 
 
+def test_language_is_fitted_on_all_distinct_texts(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [(lang, f"{word} number {i}") for lang, word in (("en", "house"), ("fr", "maison")) for i in range(1500)] + [("en", "house number 7")] * 30
+    table = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    names, logs = langid.fit(table, "text", "lang")
+    want = np.full((langid.BUCKETS, 2), 0.5)
+    for lang, text in set(rows):
+        for _, buckets in langid._trigrams(pa.array([text])):
+            want[:, names.index(lang)] += np.bincount(buckets, minlength=langid.BUCKETS)
+    assert (logs == np.log(want / want.sum(axis=0)).astype(np.float32)).all()
+    # What is typical: quantiles over all those texts, each without itself.
+    _, _, smoothed, chosen = langid._fit(table, "text", "lang", None)
+    usual, least = langid.typical(chosen, names, smoothed)
+    for j, lang in enumerate(names):
+        means, distinct = [], []
+        for text in sorted(t for x, t in set(rows) if x == lang):
+            n = sum(np.bincount(b, minlength=langid.BUCKETS) for _, b in langid._trigrams(pa.array([text])))
+            rest, at = want[:, j] - n, np.flatnonzero(n)
+            means.append((n[at] * np.log(rest[at] / rest.sum())).sum() / n.sum())
+            distinct.append(len(at))
+        means, distinct = np.array(means), np.array(distinct)
+        assert abs(usual[j] - np.median(means)) < 0.002
+        score = (distinct * means + langid.PRIOR * usual[j]) / (distinct + langid.PRIOR)
+        assert abs(least[j] - (np.median(score) - max(langid.NATS, langid.QUARTILES * (np.median(score) - np.quantile(score, 0.25))))) < 0.01
+
+
 def test_language_of_held_out_texts(spark, sample):
     rows = sample.withColumn("train", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
     got = langid.identify(rows, declared=None, host=None, train="train", keep=("lang",)).where("doc_id % 2 = 1").collect()
