@@ -23,6 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import local_table
 from .findings import check_positive
 from .top import top_per_key
 from .vectors import ROWS_PER_BLOCK, _best, _column, _matrix, _result, require_dimension
@@ -33,6 +34,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SCALE = 1024
 #: Projections, and so buckets as a power of two, that an index may have: the counts are held by the driver.
 MAX_BITS = 16
+#: Queries of a bucket that meet a block of its rows at once.
+QUERIES_PER_BLOCK = 50_000
 
 
 def projections(bits: int, dim: int) -> np.ndarray:
@@ -121,16 +124,19 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, *, l
     """
     check_positive("k", k)
     visited = probes(spark, path, queries, max(k, least))
-    counts = {r["bucket"]: r["n"] for r in visited.select("bucket", "n").distinct().collect()}  # at most 2^bits rows
+    counts = visited.groupBy("bucket", "n").count().collect()  # at most 2^bits rows
     rows = spark.read.parquet(f"{path}/vectors") if counts else None
     if rows is None:
         return spark.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, id long, similarity double, rank int")
     known = [r["addition"] for r in bucket_counts(spark, path).select("addition").distinct().collect()]  # one for each addition
-    rows = rows.where(F.col("addition").isin(known) & F.col("bucket").isin(list(counts))).select("id", "vector", "bucket")
-    blocks = F.ceil(F.col("n") / ROWS_PER_BLOCK).cast("int")
-    n = F.create_map(*[F.lit(x) for b, c in counts.items() for x in (b, ceil(c / ROWS_PER_BLOCK))])[F.col("bucket")]
-    left = rows.withColumn("_part", F.pmod(F.xxhash64("id"), n.cast("long")).cast("int")).groupBy("bucket", "_part")
-    right = visited.select("query_id", "vector", "bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_part")).groupBy("bucket", "_part")
+    rows = rows.where(F.col("addition").isin(known) & F.col("bucket").isin([r["bucket"] for r in counts])).select("id", "vector", "bucket")
+    blocks = [(r["bucket"], ceil(r["n"] / ROWS_PER_BLOCK), ceil(r["count"] / QUERIES_PER_BLOCK)) for r in counts]
+    blocks = F.broadcast(local_table(spark, blocks, "bucket int, _rows bigint, _queries bigint"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    own = lambda n, *key: F.pmod(F.xxhash64(*key), F.col(n))
+    left = rows.join(blocks, "bucket").select("id", "vector", "bucket", own("_rows", "id").alias("_part"), each("_queries").alias("_qpart"))
+    right = visited.join(blocks, "bucket").select("query_id", "vector", "bucket", own("_queries", "query_id", "vector").alias("_qpart"), each("_rows").alias("_part"))
+    left, right = left.groupBy("bucket", "_part", "_qpart"), right.groupBy("bucket", "_part", "_qpart")
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         ids, qids = _column(a, "id"), _column(b, "query_id")

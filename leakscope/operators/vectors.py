@@ -33,6 +33,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 EPS = 1e-12
 MAX_BROADCAST_QUERIES = 4096
 ROWS_PER_BLOCK = 50_000
+#: Scores that a task holds at once.
+SCORES = 1 << 21
 
 
 def dot(a, b) -> Column:
@@ -84,16 +86,20 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int | None = None) -> np.nd
 
 
 def _best(ids: pa.Array, mat: np.ndarray, qids: pa.Array, qmat: np.ndarray, k: int) -> pa.RecordBatch:
-    """Best k rows per query by rounded similarity, ties by id."""
+    """Best k rows per query by rounded similarity, ties by id; as many queries at once as make ``SCORES`` scores."""
     id_type, qid_type = ids.type, qids.type
     ids, qids = np.array(ids.to_pylist()), qids.to_pylist()
     norms = np.linalg.norm(mat, axis=1)
     safe = np.where(norms == 0, 1.0, norms)
-    sims = (mat @ qmat.T) / safe[:, None] / (np.linalg.norm(qmat, axis=1) + EPS)
-    sims = np.where(norms[:, None] == 0, -np.inf, np.round(sims, 6))
+    step = max(1, SCORES // max(1, len(mat)))
     out_q, out_id, out_s = [], [], []
     for j, qid in enumerate(qids):
-        s = sims[:, j]
+        at = j % step
+        if at == 0:
+            some = qmat[j : j + step]
+            sims = (some @ mat.T) / safe / (np.linalg.norm(some, axis=1) + EPS)[:, None]
+            sims = np.where(norms == 0, -np.inf, np.round(sims, 6))
+        s = sims[at]
         if len(s) > k:
             cut = np.partition(s, len(s) - k)[len(s) - k]
             rows = np.flatnonzero(s >= cut)

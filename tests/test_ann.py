@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leakscope.operators import ann
+from leakscope.operators.top import top_per_key
 
 
 def frame(spark, m):
@@ -45,6 +46,22 @@ def test_search_is_exact_in_the_visited_buckets(spark, tmp_path, monkeypatch):
         assert sorted(got[i]) == [(r, j, s) for r, (s, j) in enumerate(best, 1)]
 
 
+def test_queries_of_a_bucket_are_cut_into_blocks(spark, tmp_path, monkeypatch):
+    m = np.random.default_rng(4).normal(size=(200, 8))
+    path, rows = str(tmp_path / "index"), frame(spark, m)
+    ann.create_index(spark, path, 8, bits=2)
+    ann.add_vectors(path, rows)
+    queries = rows.select(F.col("id").alias("query_id"), "vector")
+    want = sorted(map(tuple, ann.search(spark, path, queries, 4, least=90).collect()))
+    met = []
+    monkeypatch.setattr(ann, "ROWS_PER_BLOCK", 20)
+    monkeypatch.setattr(ann, "QUERIES_PER_BLOCK", 15)
+    monkeypatch.setattr(ann, "top_per_key", lambda df, *a: met.append(df) or top_per_key(df, *a))
+    assert sorted(map(tuple, ann.search(spark, path, queries, 4, least=90).collect())) == want
+    # A block holds 15 queries on average, not the 90 and more that visit a bucket.
+    assert "_qpart" in met[0]._jdf.queryExecution().analyzed().toString()
+
+
 def test_only_visited_buckets_are_read(spark, tmp_path):
     path, rows = str(tmp_path / "index"), frame(spark, np.random.default_rng(2).normal(size=(300, 6)))
     ann.create_index(spark, path, 6, bits=4)

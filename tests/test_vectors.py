@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,22 @@ def test_blocks_are_bounded(spark, data, monkeypatch):
     assert a == sorted(map(tuple, VE.knn_join(df, queries, 3).collect()))
 
 
+def test_scores_of_a_block_are_bounded():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    m, q = rng.normal(size=(20_000, 4)), rng.normal(size=(1000, 4))
+    tracemalloc.start()
+    got = VE._best(pa.array(range(20_000)), m, pa.array(range(1000)), q, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # 480 MB when all 20 million scores were held three times
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for i in (0, 104, 105, 999):
+        s = np.round(unit @ (q[i] / np.linalg.norm(q[i])), 6)
+        assert got.column("id").to_pylist()[2 * i : 2 * i + 2] == np.lexsort((np.arange(20_000), -s))[:2].tolist()
+
+
 def test_string_ids(spark, data):
     df, m = data
     named = df.select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("id"), "vector")
