@@ -40,9 +40,18 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` for a join that shuffles both sides, whatever Spark takes for their sizes.
+
+    Spark sizes an exploded table like the one before the explode, and a stored one by its compressed files, and would
+    send it through the driver if that is below its threshold.
+    """
+    return df.hint("merge")
+
+
 def sent(df: DataFrame) -> DataFrame:
     """A stored table of few columns, sent to all executors if it has at most ``SENT_ROWS`` rows; else the join shuffles."""
-    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+    return F.broadcast(df) if df.count() <= SENT_ROWS else dealt(df)
 
 
 def text_or_empty(c: Column) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, ship, stored, text_or_empty
+from .common import bounded_batches, dealt, ship, stored, text_or_empty
 from .components import components
 
 ship(__name__)
@@ -91,7 +91,7 @@ def links(fingerprints: DataFrame, max_bits: int = 2) -> DataFrame:
     while True:
         entries = _entries(members)
         shared = entries.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1")
-        entries = stored(entries.join(shared, "entry"), "entries")
+        entries = stored(entries.join(dealt(shared), "entry"), "entries")
         paired = entries.where(F.col("n") <= PAIRED)
         a, b = paired.select("entry", F.col("fp").alias("u")), paired.select("entry", F.col("fp").alias("v"))
         pairs = a.join(b, "entry").where(F.expr(f"u < v and bit_count(u ^ v) <= {max_bits}")).select("u", "v")

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from leakscope.llm import decontam, html_text, kneser, langid, preference, simhash, spm, topk, urls, warc
+from leakscope.llm import common, decontam, html_text, kneser, langid, preference, simhash, spm, topk, urls, warc
 from leakscope.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -79,6 +79,14 @@ def test_links_of_crowded_entries_are_complete(spark, n):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= 2}
 
 
+def test_sent_shuffles_beyond_its_rows(spark, monkeypatch):
+    ids = common.stored(spark.range(5), "ids")
+    plan = lambda: spark.range(9).join(common.sent(ids), "id", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan()
+    monkeypatch.setattr(common, "SENT_ROWS", 4)
+    assert "BroadcastExchange" not in plan()
+
+
 def test_simhash_edges(spark):
     rows = docs(spark, (1, None, "en"), (2, "", "en"), (3, " \t", "en"), (4, "one", "en"), (4, "one", "en"), (None, "One", "en"), (9, "word " * 40000, "en"))
     got = sorted((r.doc_id or 0, r.fingerprint, r.component_id) for r in simhash.simhash_dedup(rows).collect())

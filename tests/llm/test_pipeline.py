@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from check import TABLES, rows
+from leakscope.llm import simhash
 from leakscope.llm.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +65,20 @@ def test_groups_without_a_key_of_their_own_stay(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_near_duplicates_send_no_index_entries(spark, monkeypatch):
+    """There are 34 entries a fingerprint, which Spark takes for one small table."""
+    plans, stored = {}, simhash.stored
+
+    def noted(df, purpose):
+        plans[purpose] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, purpose)
+
+    monkeypatch.setattr(simhash, "stored", noted)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert corpus_pipeline.near_duplicates(spark, docs, SF).count() < docs.count()
+    assert "Generate explode" in plans["entries"] and "BroadcastExchange" not in plans["entries"]
+
+
 def test_found_language_is_handed_on(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     some = docs.where("lang = 'fr'").orderBy("doc_id").first()
