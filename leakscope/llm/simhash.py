@@ -4,7 +4,8 @@ Fingerprints of 64 bits that differ in at most two bits are cut into two halves.
 Either one half is equal, or each half differs in exactly one bit.  So an index of
 the two halves as they are, and of the left half with one bit left open (one
 variant for each of its 32 bits), has a common entry for every such pair.  Equal
-index entries are joined and the bit distance is verified.
+index entries are joined and the bit distance is verified.  Neither the entries, 34 a
+fingerprint, nor the rows are sent through the driver.
 
 An index entry that many fingerprints share is not paired: its members are indexed
 once more by the halves of the bits that are still free, and so on.  Nothing is
@@ -94,7 +95,7 @@ def links(fingerprints: DataFrame, max_bits: int = 2) -> DataFrame:
         entries = stored(entries.join(dealt(shared), "entry"), "entries")
         paired = entries.where(F.col("n") <= PAIRED)
         a, b = paired.select("entry", F.col("fp").alias("u")), paired.select("entry", F.col("fp").alias("v"))
-        pairs = a.join(b, "entry").where(F.expr(f"u < v and bit_count(u ^ v) <= {max_bits}")).select("u", "v")
+        pairs = a.join(dealt(b), "entry").where(F.expr(f"u < v and bit_count(u ^ v) <= {max_bits}")).select("u", "v")
         found = pairs if found is None else found.unionByName(pairs)
         members = entries.where(F.col("n") > PAIRED).select("entry", "fp", "lo", "hi", "bits")
         if members.isEmpty():
@@ -120,4 +121,4 @@ def simhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words
     labelled = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     named = labelled.join(smallest, "label").select("fp", "component_id", *([F.col("label").alias(group)] if group else []))
-    return rows.join(named, "fp").select(F.col("doc_id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep, *([group] if group else []))
+    return rows.join(dealt(named), "fp").select(F.col("doc_id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep, *([group] if group else []))

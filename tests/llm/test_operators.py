@@ -79,6 +79,18 @@ def test_links_of_crowded_entries_are_complete(spark, n):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= 2}
 
 
+def test_neither_entries_nor_rows_are_sent(spark):
+    """Entries repeat, so their files are small; Spark would send them, and the rows, by the size of the files."""
+    prints = spark.createDataFrame([(0,), (1,), (1 << 40,), (7,)], "fp long")
+    pairs = simhash.links(prints)
+    assert "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in pairs.collect()} == {(0, 1), (0, 1 << 40), (1, 1 << 40), (1, 7)}
+    rows = simhash.simhash_dedup(docs(spark, (1, "one", "en"), (2, "ONE", "en"), (3, "two", "en")))
+    join = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=merge)" in join
+    assert sorted((r.doc_id, r.component_id) for r in rows.collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_sent_shuffles_beyond_its_rows(spark, monkeypatch):
     ids = common.stored(spark.range(5), "ids")
     plan = lambda: spark.range(9).join(common.sent(ids), "id", "left_anti")._jdf.queryExecution().executedPlan().toString()
